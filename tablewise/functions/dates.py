@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,38 +29,14 @@ MIN_YEAR, MAX_YEAR = 1000, 3000
 MIN_VALUES = 3
 
 #: Text this shape may be parsed. Longer digit runs make the parser overflow and fail the job.
-_SHAPE = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}([ T]\d{1,2}:\d{1,2}:\d{1,2})?$"
+SHAPE = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}([ T]\d{1,2}:\d{1,2}:\d{1,2})?$"
 
 
 def parse_date(text: Column, fmt: str) -> Column:
     """Timestamp without time zone, or null. Two-digit years run from 1970 to 2069."""
-    shaped = F.when(text.rlike(_SHAPE), text)
+    shaped = F.when(text.rlike(SHAPE), text)
     parsed = F.try_to_timestamp(shaped, F.lit(SPARK_FORMAT[fmt])).cast("timestamp_ntz")
     if "%y" in fmt:
         century = F.make_ym_interval(F.lit(100), F.lit(0))
         parsed = F.when(F.year(parsed) >= 2070, parsed - century).otherwise(parsed)
     return parsed
-
-
-@dataclass(frozen=True)
-class DateFormat:
-    fmt: str
-    ambiguous: bool
-
-
-def choose_format(values: int, scores: dict[str, tuple[int, int | None, int | None]]) -> DateFormat | None:
-    """Pick the winner from (parsed, earliest year, latest year) counted for each format."""
-    if values < MIN_VALUES:
-        return None
-    fits = {
-        fmt: parsed
-        for fmt, (parsed, low, high) in scores.items()
-        if parsed / values >= MATCH_SHARE and low is not None and low >= MIN_YEAR and high <= MAX_YEAR
-    }
-    if not fits:
-        return None
-    most = max(fits.values())
-    best = next(fmt for fmt, _ in FORMATS if fits.get(fmt) == most)
-    swapped = best.translate(str.maketrans("dm", "md"))
-    rival = swapped if best.startswith(("%m/%d", "%d/%m")) else None
-    return DateFormat(best, rival is not None and fits.get(rival) == most)

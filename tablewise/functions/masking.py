@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,6 +136,13 @@ def mask_value(value: Column, column: str) -> Column:
     return F.coalesce(mask_text(value.cast("string")), F.lit(""))
 
 
+def kinds_by(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
+    """How many texts of each group hold each kind of personal value."""
+    kinds = mask_report(F.col(ident(column)))["kinds"]
+    hits = df.select(*[ident(c) for c in by], F.explode(kinds).alias("kind"))
+    return hits.groupBy(*[ident(c) for c in by], "kind").agg(F.count("*").alias("n"))
+
+
 def mask_table(df: DataFrame) -> DataFrame:
     """Every column masked: redacted when its name is sensitive, else masked by content if text."""
     out = []

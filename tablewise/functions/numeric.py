@@ -34,10 +34,7 @@ def safe_corr(a: Column, b: Column) -> Column:
     """Pearson correlation that is null, not an error, when a side is constant."""
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
-    varies = (F.max(x) > F.min(x)) & (F.max(y) > F.min(y))
-    return F.when(
-        varies, F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
-    )
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
 def clip(value: Column, low, high) -> Column:

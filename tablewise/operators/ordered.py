@@ -48,19 +48,13 @@ def slice_rows(df: DataFrame, by: Sequence[str], order: Order, slices: int | Non
     return materialise(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
-def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, (left[c].eqNullSafe(right[c]) for c in columns))
-
-
-def _renamed(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame:
-    return df.withColumnsRenamed({c: prefix + c for c in columns})
-
-
-def _join_same(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Null-safe join against a frame bounded by the number of slices."""
-    other = _renamed(small, keys, "_k_")
+def match_keys(
+    df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "left", *, small: bool = False
+) -> DataFrame:
+    """Join on equal keys, null matching null. ``small`` marks a side whose size is bounded."""
+    renamed = other.withColumnsRenamed({c: "_k_" + c for c in keys})
     on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col("_k_" + c)) for c in keys))
-    joined = df.join(F.broadcast(other), on, how)
+    joined = df.join(F.broadcast(renamed) if small else renamed, on, how)
     return joined if how == "left_semi" else joined.drop(*["_k_" + c for c in keys])
 
 
@@ -72,7 +66,7 @@ def _border_rows(sliced: DataFrame, by: Sequence[str]) -> DataFrame:
     edges = sliced.groupBy(SLICE).agg(F.min(key).alias("first"), F.max(key).alias("last"))
     ends = edges.select(F.explode(F.array("first", "last")).alias("k"), SLICE)
     cut = ends.groupBy("k").agg(F.count_distinct(SLICE).alias("n")).where("n > 1").select("k.*")
-    return _join_same(sliced, cut, by, "left_semi")
+    return match_keys(sliced, cut, by, "left_semi", small=True)
 
 
 def _window(by: Sequence[str], order: Order, reverse: bool = False) -> WindowSpec:
@@ -134,7 +128,7 @@ def running(
         *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in last],
         *[F.last(f"_t_{n}", ignorenulls=True).over(after).alias(f"_c_{n}") for n in following],
     )
-    out = _join_same(sliced.withColumns(local([SLICE, *by])), carry, [SLICE, *by], "left")
+    out = match_keys(sliced.withColumns(local([SLICE, *by])), carry, [SLICE, *by], small=True)
     final = {n: F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
     final |= {n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in (*last, *following)}
     return out.withColumns(final).drop(
@@ -198,9 +192,7 @@ def group_totals(df: DataFrame, by: Sequence[str], **aggregates: Column) -> Data
     totals = df.groupBy(*by).agg(*[e.alias(n) for n, e in aggregates.items()])
     if not by:
         return df.join(F.broadcast(totals))
-    keys = _renamed(totals, by, "_k_")
-    on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col("_k_" + c)) for c in by))
-    return df.join(keys, on, "left").drop(*["_k_" + c for c in by])
+    return match_keys(df, totals, by)
 
 
 def tie_ranks(
@@ -237,27 +229,40 @@ def tie_ranks(
     )
 
 
+def _distinct_fit(df: DataFrame, by: Sequence[str], value: str, bound: int) -> bool:
+    """Whether no group holds more than ``bound`` distinct values; estimated with a wide margin."""
+    if df.count() <= bound:
+        return True
+    about = df.groupBy(*by).agg(F.approx_count_distinct(value).alias("d")).agg(F.max("d")).first()[0]
+    return int(about or 0) <= bound // 2
+
+
 def group_quantiles(
     df: DataFrame,
     by: Sequence[str],
     value: str,
     probabilities: Mapping[str, float],
     *,
+    weight: str | None = None,
     bound: int | None = None,
     slices: int | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles for each group, whatever the group size.
 
-    Small groups use the ``percentile`` aggregate (its buffer holds the distinct values of a group).
-    Past ``bound`` rows the values are counted, ordered in slices, and only the two order statistics
-    around each quantile are kept.
+    Values are counted first (map-side, then by group and value), so a group is only as large as its
+    distinct values. Up to ``bound`` of those go into the ``percentile`` aggregate; more are ordered
+    in slices and only the two order statistics around each quantile are kept. ``weight`` names a
+    column of counts when the input is counted already.
     """
-    if _fits(df, by, bound):
-        aggregates = [F.percentile(value, p).alias(n) for n, p in probabilities.items()]
-        return df.groupBy(*by).agg(*aggregates)
-    counts = (
-        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    )
+    bound = GROUP_BOUND if bound is None else bound
+    n = F.sum(weight) if weight else F.count("*")
+    values = df.where(F.col(value).isNotNull())
+    counts = values.groupBy(*by, value).agg(n.cast("long").alias("_n"))
+    if _distinct_fit(df, by, value, bound):
+        places = F.array(*[F.lit(float(p)) for p in probabilities.values()])
+        picked = counts.groupBy(*by).agg(F.percentile(value, places, F.col("_n")).alias("_q"))
+        names = [F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probabilities)]
+        return picked.select(*by, *names)
     counts = running(counts, by, [value], sums={"_upto": F.col("_n")}, bound=bound, slices=slices)
     counts = group_totals(counts, by, _total=F.sum("_n"))
     first = F.col("_upto") - F.col("_n")

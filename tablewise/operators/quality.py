@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from tablewise.functions.text import strip
 from tablewise.functions.types import columns_where, ident, is_floating, is_numeric, is_string
 from tablewise.operators.ordered import group_quantiles
-from tablewise.operators.stats import QUARTILES, nulls_distinct, stack, value_counts, wide
+from tablewise.operators.stats import (
+    QUARTILES,
+    column_shapes,
+    nulls_distinct,
+    numeric_values,
+    value_table,
+    wide,
+)
+from tablewise.session import materialise
 
 # Thresholds of the findings.
 NULL_RATE_NOTE = 0.20
@@ -70,19 +78,14 @@ def null_issues(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     ).where(F.col("kind").isNotNull())
 
 
-def shape_issues(df: DataFrame, semantics: dict[str, str]) -> DataFrame:
+def shape_issues(
+    df: DataFrame, semantics: dict[str, str], *, shapes: DataFrame | None = None
+) -> DataFrame:
     """``constant``, ``near_constant``, ``high_cardinality`` and ``class_imbalance`` findings."""
-    columns = list(semantics)
-    counts = value_counts(df, columns, short=True)
-    shape = counts.groupBy("column").agg(
-        F.count("*").alias("distinct"),
-        F.sum("n").alias("n"),
-        F.max("n").alias("max_n"),
-        F.min("n").alias("min_n"),
-    )
+    shape = shapes if shapes is not None else column_shapes(value_table(df, list(semantics)))
+    shape = shape.where(F.col("column").isin(*semantics) & (F.col("distinct") > 0))
     semantic = F.create_map(*[F.lit(x) for kv in semantics.items() for x in kv])[F.col("column")]
-    total = df.select(F.count("*").alias("rows"))
-    shape = shape.join(F.broadcast(total)).withColumn("semantic", semantic)
+    shape = shape.withColumn("semantic", semantic)
     share = F.col("max_n") / F.col("n")
     spread = F.col("max_n") / F.col("min_n")
     varied = F.col("distinct") > 1
@@ -107,38 +110,50 @@ def shape_issues(df: DataFrame, semantics: dict[str, str]) -> DataFrame:
 
 
 def outlier_counts(
-    df: DataFrame, columns: Sequence[str] | None = None, *, bound: int | None = None
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    *,
+    values: DataFrame | None = None,
+    bound: int | None = None,
 ) -> DataFrame:
     """IQR-fence and modified-z outliers of each numeric column.
 
-    Quartiles, then the median absolute deviation, then the counts: three scans whatever the number
-    of columns. The statistics joined back hold one row for each column.
+    Works on counted values: the table is scanned once, and quartiles, median absolute deviation and
+    outlier counts are weighted aggregates over the distinct values.
     """
     columns = list(columns or columns_where(df, is_numeric))
-    values = stack(df, columns, "double").where(F.col("value").isNotNull())
-    centre = group_quantiles(values, ["column"], "value", QUARTILES, bound=bound)
-    deviation = F.abs(F.col("value") - F.col("median"))
+    if values is None:
+        values = materialise(value_table(df, columns))
+    counted = numeric_values(values, columns)
+    centre = group_quantiles(counted, ["column"], "value", QUARTILES, weight="n", bound=bound)
     # One row for each column: safe to broadcast at any table size.
-    apart = values.join(F.broadcast(centre), "column").withColumn("deviation", deviation)
-    mad = group_quantiles(apart, ["column"], "deviation", {"mad": 0.5}, bound=bound)
-    mean_ad = apart.groupBy("column").agg(F.avg("deviation").alias("mean_ad"))
+    apart = counted.join(F.broadcast(centre), "column").withColumn(
+        "deviation", F.abs(F.col("value") - F.col("median"))
+    )
+    mad = group_quantiles(apart, ["column"], "deviation", {"mad": 0.5}, weight="n", bound=bound)
+    mean_ad = apart.groupBy("column").agg(
+        (F.sum(F.col("deviation") * F.col("n")) / F.sum("n")).alias("mean_ad")
+    )
     spread = F.broadcast(mad.join(mean_ad, "column"))
     iqr = F.col("q3") - F.col("q1")
     outside = (F.col("value") < F.col("q1") - FENCE * iqr) | (F.col("value") > F.col("q3") + FENCE * iqr)
-    score = F.when(F.col("mad") > 0, F.col("deviation") * MAD_SCALE / F.nullif("mad", F.lit(0.0)))
-    score = score.when(
+    score = F.when(F.col("mad") > 0, F.col("deviation") * MAD_SCALE / F.nullif("mad", F.lit(0.0))).when(
         F.col("mean_ad") > 0, F.col("deviation") / (MEAN_AD_SCALE * F.nullif("mean_ad", F.lit(0.0)))
     )
-    counted = apart.join(spread, "column").groupBy("column").agg(
-        F.count("*").alias("n"),
-        F.count_if((iqr > 0) & outside).alias("iqr"),
-        F.count_if(score > Z_CUTOFF).alias("mad"),
+
+    def rows_where(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+
+    found = apart.join(spread, "column").groupBy("column").agg(
+        F.sum("n").alias("rows"),
+        rows_where((iqr > 0) & outside).alias("iqr"),
+        rows_where(score > Z_CUTOFF).alias("z"),
     )
-    enough = F.col("n") >= MIN_OUTLIER_VALUES
-    return counted.select(
+    enough = F.col("rows") >= MIN_OUTLIER_VALUES
+    return found.select(
         "column",
         F.when(enough, F.col("iqr")).otherwise(F.lit(0)).alias("iqr_outliers"),
-        F.when(enough, F.col("mad")).otherwise(F.lit(0)).alias("modified_z_outliers"),
+        F.when(enough, F.col("z")).otherwise(F.lit(0)).alias("modified_z_outliers"),
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from tablewise.functions.numeric import band_index, float_div, safe_corr
 from tablewise.functions.types import ident, is_numeric
-from tablewise.operators.ordered import group_quantiles, running
+from tablewise.operators.ordered import group_quantiles, match_keys, running
 from tablewise.operators.stats import wide
 
 #: Groups smaller than this are left out where a rate or a ranking of means is asked for.
@@ -147,8 +147,9 @@ def compare_groups(df: DataFrame, group: str, measure: str, *, bound: int | None
         F.stddev_samp(_c(measure)).alias("std_measure"),
     )
     middle = group_quantiles(df.select(_c(group), _c(measure)), [group], measure, {"median_measure": 0.5}, bound=bound)
-    out = moments.join(middle, moments[group].eqNullSafe(middle[group]), "left").drop(middle[group])
-    out = out.select(group, "n", "mean_measure", "median_measure", "std_measure").orderBy(group)
+    out = match_keys(moments, middle, [group]).select(
+        group, "n", "mean_measure", "median_measure", "std_measure"
+    ).orderBy(group)
     return Answer(out, "compare", (group, measure), ("mean", "median", "std", "count"))
 
 

@@ -12,20 +12,25 @@ from tablewise.functions import dates
 from tablewise.functions.numeric import lenient_double, safe_corr
 from tablewise.functions.text import strip
 from tablewise.functions.types import columns_where, ident, is_numeric, is_string
-from tablewise.operators.ordered import GROUP_BOUND, group_quantiles
+from tablewise.operators.ordered import group_quantiles
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 TOP_VALUES = 5
+#: Characters up to which a value is kept as it is in a value table.
+LONG_TEXT = 256
+DIGEST = "md5:"
+#: Pairs of columns correlated in one wide aggregate.
+WIDE_PAIRS = 10
 
 
-def wide(
-    df: DataFrame, columns: Sequence[str], fields: Callable[[Column], Mapping[str, Column]]
+def wide_by_name(
+    df: DataFrame, columns: Sequence[str], fields: Callable[[str, Column], Mapping[str, Column]]
 ) -> DataFrame:
     """One aggregate over all ``columns``, returned as one row for each column."""
     structs = [
         F.struct(
             F.lit(name).alias("column"),
-            *[e.alias(k) for k, e in fields(F.col(ident(name))).items()],
+            *[e.alias(k) for k, e in fields(name, F.col(ident(name))).items()],
         ).alias(f"c{i}")
         for i, name in enumerate(columns)
     ]
@@ -33,85 +38,112 @@ def wide(
     return row.select(F.inline(F.array(*row.columns)))
 
 
-def stack(df: DataFrame, columns: Sequence[str], cast: str, *, short: bool = False) -> DataFrame:
-    """(column, value) pairs: the columns under each other.
-
-    ``short`` replaces long text by its 128-bit digest, for callers that only count values.
-    """
+def wide(
+    df: DataFrame, columns: Sequence[str], fields: Callable[[Column], Mapping[str, Column]]
+) -> DataFrame:
+    """:func:`wide_by_name` for aggregates that do not depend on the column's name."""
+    return wide_by_name(df, columns, lambda _, c: fields(c))
 
-    def value(c: str) -> Column:
-        cell = F.col(ident(c)).cast(cast)
-        if short and is_string(df.schema[c].dataType):
-            cell = F.when(F.char_length(cell) > 64, F.md5(cell)).otherwise(cell)
-        return cell
 
-    pairs = [F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in columns]
+def stack(df: DataFrame, columns: Sequence[str], cast: str) -> DataFrame:
+    """(column, value) pairs: the columns under each other."""
+    pairs = [
+        F.struct(F.lit(c).alias("column"), F.col(ident(c)).cast(cast).alias("value")) for c in columns
+    ]
     return df.select(F.inline(F.array(*pairs)))
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], *, short: bool = False) -> DataFrame:
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, n) for the non-null values of all columns: one shuffle, combined map-side."""
-    pairs = stack(df, columns, "string", short=short).where(F.col("value").isNotNull())
+    pairs = stack(df, columns, "string").where(F.col("value").isNotNull())
     return pairs.groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-def nulls_distinct(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows, nulls, null rate and exact distinct non-null values of each column.
+def value_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Like :func:`value_counts`, with a null row for missing values and long text as a digest.
 
-    Distinct counts come from stacked pairs, so there is one shuffle of distinct values instead of
-    the row expansion that several ``count_distinct`` would plan.
+    Almost everything about a column can be read off this table, and it is as small as the distinct
+    values. A 128-bit digest stands for text above ``LONG_TEXT`` characters, which is then counted
+    but not shown.
     """
-    columns = list(columns or df.columns)
-    stacked = stack(df, columns, "string", short=True)
-    counts = stacked.groupBy("column", "value").agg(F.count("*").alias("n"))
-    return counts.groupBy("column").agg(
+    cell = F.col("value")
+    short = F.when(F.char_length(cell) > LONG_TEXT, F.concat(F.lit(DIGEST), F.md5(cell))).otherwise(cell)
+    pairs = stack(df, list(columns or df.columns), "string").withColumn("value", short)
+    return pairs.groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
+def column_shapes(values: DataFrame) -> DataFrame:
+    """Rows, nulls, distinct values and the largest and smallest frequency, from a value table."""
+    missing = F.col("value").isNull()
+    present = F.when(~missing, F.col("n"))
+    return values.groupBy("column").agg(
         F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+        F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("nulls"),
         F.count("value").alias("distinct"),
-    ).withColumn("null_rate", F.col("nulls") / F.col("rows"))
+        F.sum(present).alias("n"),
+        F.max(present).alias("max_n"),
+        F.min(present).alias("min_n"),
+        F.max(F.col("value").startswith(DIGEST)).alias("long_text"),
+    )
 
 
-def quartiles(df: DataFrame, columns: Sequence[str], bound: int | None = None) -> DataFrame:
-    """Exact quartiles of every column; the choice of plan depends on the row count."""
-    return group_quantiles(stack(df, columns, "double"), ["column"], "value", QUARTILES, bound=bound)
+def nulls_distinct(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows, nulls, null rate and exact distinct non-null values of each column.
+
+    One shuffle of distinct values instead of the row expansion that several ``count_distinct``
+    would plan.
+    """
+    shapes = column_shapes(value_table(df, columns))
+    return shapes.select(
+        "column", "rows", "nulls", "distinct", (F.col("nulls") / F.col("rows")).alias("null_rate")
+    )
+
+
+def numeric_values(values: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The non-null part of a value table for numeric columns, as doubles."""
+    kept = values.where(F.col("column").isin(*columns) & F.col("value").isNotNull())
+    return kept.select("column", F.col("value").cast("double").alias("value"), "n")
 
 
 def numeric_stats(
-    df: DataFrame, columns: Sequence[str] | None = None, *, bound: int | None = None
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    *,
+    values: DataFrame | None = None,
+    bound: int | None = None,
 ) -> DataFrame:
-    """Min, max, mean, median, std, quartiles, zeros, negatives and skew, one row for each column."""
+    """Min, max, mean, median, std, quartiles, zeros, negatives and skew, one row for each column.
+
+    Moments come from one scan of stacked values; quartiles from the value table (``values`` when the
+    caller has one).
+    """
     columns = list(columns or columns_where(df, is_numeric))
-    small = df.count() <= (GROUP_BOUND if bound is None else bound)
-
-    def fields(c: Column) -> dict[str, Column]:
-        n = F.count(c)
-        x = c.cast("double")
-        out = {
-            "n": n,
-            "minimum": F.min(x),
-            "maximum": F.max(x),
-            "mean": F.avg(x),
-            "std": F.when(n >= 2, F.stddev_samp(x)),
-            "zeros": F.count_if(c == 0),
-            "negatives": F.count_if(c < 0),
-            "skew": F.when(n >= 3, F.skewness(x)),
-        }
-        if small:
-            picked = F.percentile(x, F.array(*map(F.lit, QUARTILES.values())))
-            out |= {name: F.get(picked, F.lit(i)) for i, name in enumerate(QUARTILES)}
-        return out
-
-    stats = wide(df, columns, fields)
-    if not small:
-        stats = stats.join(F.broadcast(quartiles(df, columns, bound)), "column", "left")
+    x = F.col("value")
+    n = F.count(x)
+    stats = stack(df, columns, "double").groupBy("column").agg(
+        n.alias("n"),
+        F.min(x).alias("minimum"),
+        F.max(x).alias("maximum"),
+        F.avg(x).alias("mean"),
+        F.when(n >= 2, F.stddev_samp(x)).alias("std"),
+        F.count_if(x == 0).alias("zeros"),
+        F.count_if(x < 0).alias("negatives"),
+        F.when(n >= 3, F.skewness(x)).alias("skew"),
+    )
+    counted = numeric_values(values if values is not None else value_table(df, columns), columns)
+    middle = group_quantiles(counted, ["column"], "value", QUARTILES, weight="n", bound=bound)
     order = ["column", "n", "minimum", "maximum", "mean", "median", "std", "q1", "q3", "zeros",
              "negatives", "skew"]
-    return stats.select(order)
+    return stats.join(F.broadcast(middle), "column", "left").select(order)  # one row for each column
 
 
-def categorical_stats(df: DataFrame, columns: Sequence[str], top: int = TOP_VALUES) -> DataFrame:
+def categorical_stats(
+    df: DataFrame, columns: Sequence[str], top: int = TOP_VALUES, *, values: DataFrame | None = None
+) -> DataFrame:
     """Distinct values, imbalance ratio and the most frequent values of each column."""
-    counts = value_counts(df, columns)
+    if values is None:
+        values = value_counts(df, columns)
+    counts = values.where(F.col("value").isNotNull() & F.col("column").isin(*columns))
     order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     # Only ``top`` rows of a column survive the map side, so the window stays small.
     ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
@@ -128,7 +160,7 @@ def categorical_stats(df: DataFrame, columns: Sequence[str], top: int = TOP_VALU
         F.min("n").alias("min_n"),
         F.when(F.count("*") > 1, F.max("n") / F.min("n")).alias("imbalance_ratio"),
     )
-    return shape.join(best, "column", "left")
+    return shape.join(F.broadcast(best), "column", "left")  # one row for each column
 
 
 def text_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -162,31 +194,33 @@ def temporal_stats(df: DataFrame, formats: Mapping[str, str | None]) -> DataFram
     return ends.join(distinct, "column")
 
 
-def date_scores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """For each text column and date format: values, values parsed, and the range of years."""
+def date_scores(values: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """For each text column and date format: values, values parsed, and the range of years.
 
-    def fields(c: Column) -> dict[str, Column]:
-        out = {"n": F.count(c)}
-        for i, (fmt, _) in enumerate(dates.FORMATS):
-            parsed = dates.parse_date(c, fmt)
-            year = F.year(parsed)
-            out[f"f{i}"] = F.struct(
-                F.lit(fmt).alias("format"),
-                F.count(parsed).alias("parsed"),
-                F.min(year).alias("min_year"),
-                F.max(year).alias("max_year"),
-            )
-        return out
-
-    scored = wide(df, columns, fields)
-    candidates = F.array(*[f"f{i}" for i in range(len(dates.FORMATS))])
-    return scored.select("column", "n", F.inline(candidates))
+    Works on the value table, so a date that occurs a million times is parsed once.
+    """
+    values = values.where(F.col("value").isNotNull() & F.col("column").isin(*columns))
+    tries = F.array(
+        *[
+            F.struct(F.lit(fmt).alias("format"), F.year(dates.parse_date(F.col("value"), fmt)).alias("year"))
+            for fmt, _ in dates.FORMATS
+        ]
+    )
+    shaped = values.where(F.col("value").rlike(dates.SHAPE))
+    parsed = shaped.select("column", "n", F.inline(F.filter(tries, lambda t: t["year"].isNotNull())))
+    scores = parsed.groupBy("column", "format").agg(
+        F.sum("n").alias("parsed"), F.min("year").alias("min_year"), F.max("year").alias("max_year")
+    )
+    sizes = values.groupBy("column").agg(F.sum("n").alias("n"))
+    return scores.join(F.broadcast(sizes), "column")  # one row for each column
 
 
-def detect_dates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def detect_dates(
+    df: DataFrame, columns: Sequence[str] | None = None, *, values: DataFrame | None = None
+) -> DataFrame:
     """(column, format, ambiguous) of the text columns that hold dates."""
     columns = list(columns or columns_where(df, is_string))
-    fits = date_scores(df, columns).where(
+    fits = date_scores(values if values is not None else value_table(df, columns), columns).where(
         (F.col("n") >= dates.MIN_VALUES)
         & (F.col("parsed") / F.nullif(F.col("n"), F.lit(0)) >= dates.MATCH_SHARE)
         & (F.col("min_year") >= dates.MIN_YEAR)
@@ -212,36 +246,46 @@ def detect_dates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     )
 
 
-def numeric_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def numeric_text(
+    df: DataFrame, columns: Sequence[str] | None = None, *, values: DataFrame | None = None
+) -> DataFrame:
     """Whether every value of a text column is a number."""
     columns = list(columns or columns_where(df, is_string))
-    return wide(
-        df,
-        columns,
-        lambda c: {
-            "numeric_text": (F.count(c) > 0)
-            & (F.count_if(c.isNotNull() & lenient_double(c).isNull()) == 0)
-        },
+    values = (values if values is not None else value_table(df, columns)).where(
+        F.col("column").isin(*columns)
+    )
+    other = F.col("value").isNotNull() & lenient_double(F.col("value")).isNull()
+    return values.groupBy("column").agg(
+        ((F.count("value") > 0) & (F.count_if(other) == 0)).alias("numeric_text")
     )
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson coefficient of every pair of numeric columns, in one aggregate.
 
-    A pair with a constant side has no coefficient and is left out.
+    A pair with a constant side has no coefficient and is left out. Few pairs become columns of one
+    wide aggregate; many are stacked so that the plan does not grow with the square of the width.
     """
     columns = list(columns or columns_where(df, is_numeric))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    row = df.agg(
-        *[
-            F.struct(
-                F.lit(a).alias("a"),
-                F.lit(b).alias("b"),
-                safe_corr(F.col(ident(a)), F.col(ident(b))).alias("r"),
-            ).alias(f"p{i}")
-            for i, (a, b) in enumerate(pairs)
+
+    def double(c: str) -> Column:
+        return F.col(ident(c)).cast("double")
+
+    if len(pairs) <= WIDE_PAIRS:
+        cells = [
+            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), safe_corr(double(a), double(b)).alias("r"))
+            for a, b in pairs
         ]
-    )
-    return row.select(F.inline(F.array(*row.columns))).where(F.col("r").isNotNull())
+        row = df.agg(*[c.alias(f"p{i}") for i, c in enumerate(cells)])
+        found = row.select(F.inline(F.array(*row.columns)))
+    else:
+        cells = [
+            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), double(a).alias("x"), double(b).alias("y"))
+            for a, b in pairs
+        ]
+        stacked = df.select(F.inline(F.array(*cells)))
+        found = stacked.groupBy("a", "b").agg(safe_corr(F.col("x"), F.col("y")).alias("r"))
+    return found.where(F.col("r").isNotNull())
