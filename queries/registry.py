@@ -4,7 +4,7 @@ from importlib import import_module
 
 from queries.base import ORACLES, QUERIES
 
-MODULES = ("recipe_queries", "profile_queries", "table_queries", "answer_queries", "text_queries", "source_queries")
+MODULES = ("recipe_queries", "profile_queries", "table_queries", "answer_queries", "text_queries", "source_queries", "lifecycle_queries")
 
 
 def load():

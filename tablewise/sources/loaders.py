@@ -18,6 +18,7 @@ from tablewise.operators.stats import wide
 from tablewise.session import ship_package
 from tablewise.sources import readers
 from tablewise.sources.catalogue import CP1252, decode_cp1252
+from tablewise.sources.sinks import scratch
 
 KEY = "key"
 MIN_KEYED_RECORDS = 3
@@ -55,8 +56,7 @@ def load(spark: SparkSession, spec: Row | Mapping[str, Any], *, row_tag: str = "
     if fmt == "arrow" or (packed in ("gzip", "zip") and fmt == "parquet"):
         return load_arrow(spark, path, fmt)
     if packed == "zip":
-        lines = unzip_lines(spark, path, spec.get("encoding") or "utf-8")
-        return spark.read.json(lines.rdd.map(lambda r: r["value"]))
+        return _load_zipped_json(spark, path, fmt, spec.get("encoding") or "utf-8")
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt == "jsonl":
@@ -157,6 +157,18 @@ def unzip_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> Data
     return paths.mapInPandas(partial(readers.zip_lines, encoding=encoding), "path string, line long, value string")
 
 
+def _load_zipped_json(spark: SparkSession, path: str, fmt: str, encoding: str) -> DataFrame:
+    """Unpacked to shared storage first, so that records are then read in parallel."""
+    lines, folder = unzip_lines(spark, path, encoding), scratch(spark, "unzipped")
+    if fmt == "jsonl":
+        lines.select("value").write.text(folder)
+        return spark.read.json(folder)
+    whole = lines.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "value"))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: x["value"]), " ")
+    whole.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return unkey(spark.read.option("multiLine", True).json(folder))
+
+
 def _split_lines(lines: DataFrame, sep: str, quote: str, header: bool, comment: str | None) -> DataFrame:
     lines = lines.where(F.length("value") > 0)
     if comment:
