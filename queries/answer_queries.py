@@ -16,7 +16,7 @@ from tablewise.plans.profile import profile
 # ---- critique ------------------------------------------------------------------------------------
 
 
-@query("c_review", "events")
+@query("c_review", "events", heavy=True)
 def c_review(events):
     df = events.select("event_type", "user_id", F.nullif("value", F.lit(0.01)).alias("value"))
     answer = R.Answer(df.agg(F.avg("value").alias("mean_value")), "mean", ("event_type", "value"), ("mean", "pearson"))
@@ -115,7 +115,7 @@ _FIRST = """SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS
   round((count(*) - count({c})) / count(*), 6) AS null_rate, count(DISTINCT {c}) AS "distinct" FROM lineitem"""
 
 
-@query("w1_first_look", "lineitem", sql="SELECT * FROM (" + " UNION ALL ".join(
+@query("w1_first_look", "lineitem", heavy=True, sql="SELECT * FROM (" + " UNION ALL ".join(
     _FIRST.replace("{c}", c) for c in ("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag")) + """),
   (SELECT count(*) - count(DISTINCT (l_orderkey, l_suppkey, l_quantity, l_returnflag)) AS duplicate_rows FROM lineitem),
   (SELECT count(*) AS duplicated_keys FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1))""")

@@ -9,7 +9,7 @@ from tablewise.sources import sinks
 from tablewise.streaming import events as E
 
 
-@query("l2_ask", "orders")
+@query("l2_ask", "orders", heavy=True)
 def l2(orders):
     source = L.look(orders, "orders")
     asked = L.Question("what is the average price for each priority", {"category": "o_orderpriority", "measure": "o_totalprice"})
@@ -30,7 +30,7 @@ QUESTIONS = [
 ]
 
 
-@query("l3_findings", "orders")
+@query("l3_findings", "orders", heavy=True)
 def l3(orders):
     spark = orders.sparkSession
     table_path = sinks.scratch(spark, "findings")

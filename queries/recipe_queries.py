@@ -54,7 +54,7 @@ def r04(orders):
     return R.top_rows(orders.select("o_orderkey", "o_custkey", "o_totalprice"), "o_totalprice", "o_orderkey").df
 
 
-@query("r05_correlation", "lineitem", sql="""
+@query("r05_correlation", "lineitem", heavy=True, sql="""
 WITH ranked AS (
   SELECT l_quantity AS x, l_extendedprice AS y,
          rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS rx,

@@ -113,7 +113,7 @@ def f_catalogue(part, orders, events):
     )
 
 
-@query("f_delimiter", "pages", "documents", sql=r"""
+@query("f_delimiter", "pages", "documents", heavy=True, sql=r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 c AS (SELECT doc_id, d, o, length(regexp_replace(line, '"[^"]*("|$)', '', 'g'))
         - length(replace(regexp_replace(line, '"[^"]*("|$)', '', 'g'), d, '')) AS n

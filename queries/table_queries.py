@@ -575,14 +575,14 @@ _DESCRIBE = """SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 4) AS
   round(quantile_cont({c}, 0.75), 4) AS p75, round(kurtosis_pop({c}), 3) AS kurtosis FROM lineitem"""
 
 
-@query("g35_describe", "lineitem", sql=" UNION ALL ".join(_DESCRIBE.replace("{c}", c) for c in ("l_quantity", "l_extendedprice", "l_discount")))
+@query("g35_describe", "lineitem", heavy=True, sql=" UNION ALL ".join(_DESCRIBE.replace("{c}", c) for c in ("l_quantity", "l_extendedprice", "l_discount")))
 def g35(lineitem):
     df = A.describe(lineitem, ["l_quantity", "l_extendedprice", "l_discount"])
     df = df.withColumns({c: F.round(c, 4) for c in ("mean", "std", "p25", "median", "p75")})
     return df.withColumns({"variance": F.round("variance", 2), "kurtosis": F.round("kurtosis", 3)}).drop("skew")
 
 
-@query("g36_corr_matrix", "lineitem", sql=" UNION ALL ".join(
+@query("g36_corr_matrix", "lineitem", heavy=True, sql=" UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS r FROM lineitem"
     for a in ("l_quantity", "l_extendedprice", "l_tax") for b in ("l_quantity", "l_extendedprice", "l_tax")))
 def g36(lineitem):

@@ -34,7 +34,7 @@ def raw_sql(source, ident, text):
     return f"raw_{source} AS (SELECT {ident} AS id, unnest(regexp_extract_all(lower({text}), '{WORD}')) AS w FROM {source})"
 
 
-@query("t1_tokens", "documents", sql=f"""
+@query("t1_tokens", "documents", heavy=True, sql=f"""
 WITH {raw_sql("documents", "doc_id", "text")} SELECT term, count(*) AS n FROM ({tokens_sql("documents", "doc_id", "text")}) GROUP BY 1""")
 def t1(documents):
     return T.token_counts(documents, "text")
@@ -57,7 +57,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) D
 SELECT query, doc, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
 
 
-@query("t2_bm25", "documents", "benchmark", sql=BM25_SQL)
+@query("t2_bm25", "documents", "benchmark", heavy=True, sql=BM25_SQL)
 def t2(documents, benchmark):
     found = T.search(documents, "doc_id", "text", benchmark, "item_id", "text")
     return found.withColumn("score", F.round("score", 6))
@@ -71,7 +71,7 @@ def t3(conversations):
     return T.route(questions, "question_id", "question", T.shapes_df(conversations.sparkSession))
 
 
-@query("t4_budgeted_context", "documents", "benchmark")
+@query("t4_budgeted_context", "documents", "benchmark", heavy=True)
 def t4(documents, benchmark):
     found = T.search(documents, "doc_id", "text", benchmark, "item_id", "text")
     return T.context(found, documents, "doc_id", "text", 4_000)

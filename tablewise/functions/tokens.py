@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablewise.functions.text import let
+
 # What a token is, the endings folded by the stemmer (ending, replacement, shortest
 # word), and the words dropped from questions.
 WORD = r"[a-z][a-z0-9_]*|[0-9]+"
@@ -32,7 +34,7 @@ def stem(word: Column) -> Column:
         .when((size > 3) & word.rlike("[^sui]s$"), F.substring(word, F.lit(1), size - 1))
         .otherwise(word)
     )
-    return _strip_suffix(singular)
+    return let(singular, _strip_suffix)
 
 
 def _strip_suffix(word: Column) -> Column:

@@ -250,30 +250,29 @@ def group_quantiles(
     """Exact, linearly interpolated quantiles for each group, whatever the group size.
 
     Values are counted first (map-side, then by group and value), so a group is only as large as its
-    distinct values. Up to ``bound`` of those go into the ``percentile`` aggregate; more are ordered
-    in slices and only the two order statistics around each quantile are kept. ``weight`` names a
-    column of counts when the input is counted already.
+    distinct values. Running counts over the ordered values then pick the two order statistics around
+    each quantile. Groups of up to ``bound`` distinct values are ordered by a window, which spills
+    where the ``percentile`` aggregate would hold them all in memory; larger ones in slices.
+    ``weight`` names a column of counts when the input is counted already.
     """
     bound = GROUP_BOUND if bound is None else bound
     n = F.sum(weight) if weight else F.count("*")
     values = df.where(F.col(value).isNotNull())
     counts = values.groupBy(*by, value).agg(n.cast("long").alias("_n"))
     if _distinct_fit(df, by, value, bound):
-        places = F.array(*[F.lit(float(p)) for p in probabilities.values()])
-        picked = counts.groupBy(*by).agg(F.percentile(value, places, F.col("_n")).alias("_q"))
-        names = [F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probabilities)]
-        return picked.select(*by, *names)
-    counts = running(counts, by, [value], sums={"_upto": F.col("_n")}, bound=bound, slices=slices)
-    counts = group_totals(counts, by, _total=F.sum("_n"))
+        upto = _window(by, [value]).rowsBetween(Window.unboundedPreceding, 0)
+        whole = _window(by, [value]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        counts = counts.withColumns({"_upto": F.sum("_n").over(upto), "_total": F.sum("_n").over(whole)})
+    else:
+        counts = running(counts, by, [value], sums={"_upto": F.col("_n")}, bound=bound, slices=slices)
+        counts = group_totals(counts, by, _total=F.sum("_n"))
     first = F.col("_upto") - F.col("_n")
+    x = F.col(value).cast("double")
     aggregates = []
     for name, p in probabilities.items():
         at = F.lit(p) * (F.col("_total") - 1)
         low, high = F.floor(at), F.ceil(at)
-        holds_low = (first <= low) & (low < F.col("_upto"))
-        holds_high = (first <= high) & (high < F.col("_upto"))
-        x = F.col(value).cast("double")
-        lower, upper = F.max(F.when(holds_low, x)), F.max(F.when(holds_high, x))
-        share = F.max(at - low)
-        aggregates.append((lower + share * (upper - lower)).alias(name))
+        lower = F.max(F.when((first <= low) & (low < F.col("_upto")), x))
+        upper = F.max(F.when((first <= high) & (high < F.col("_upto")), x))
+        aggregates.append((lower + F.max(at - low) * (upper - lower)).alias(name))
     return counts.groupBy(*by).agg(*aggregates)

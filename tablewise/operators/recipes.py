@@ -17,6 +17,7 @@ from tablewise.functions.numeric import band_index, float_div, safe_corr
 from tablewise.functions.types import ident, is_numeric
 from tablewise.operators.ordered import group_quantiles, match_keys, running
 from tablewise.operators.stats import wide
+from tablewise.session import materialise
 
 #: Groups smaller than this are left out where a rate or a ranking of means is asked for.
 MIN_GROUP = 30
@@ -81,7 +82,7 @@ def spearman(df: DataFrame, a: str, b: str, *, bound: int | None = None) -> Data
     Ranks are computed on distinct values; rows find their rank by a join on the value. Counting
     (a, b) pairs first keeps a value that fills a third of the table from travelling row by row.
     """
-    pairs = (
+    pairs = materialise(  # read three times
         df.select(_c(a).cast("double").alias("a"), _c(b).cast("double").alias("b"))
         .dropna()
         .groupBy("a", "b")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewise.functions.text import strip
+from tablewise.functions.text import let, strip
 from tablewise.functions.tokens import NOISE, SHAPE_NOISE, stem, tokens, words
 from tablewise.session import materialise
 
@@ -55,13 +55,14 @@ def query_terms(
 
 
 def bm25(
-    corpus: DataFrame, doc: str, terms_of: Column, queries: DataFrame, *, limit: int = LIMIT
+    corpus: DataFrame, doc: str, terms: Column, queries: DataFrame, *, stemmed: bool = False, limit: int = LIMIT
 ) -> DataFrame:
     """(query, doc, score, rank): the best documents of every query, all queries at once.
 
-    ``terms_of`` is the token array of a corpus row; ``queries`` comes from :func:`query_terms`.
-    Only words that some query asks for leave the corpus scan, and they are counted by document
-    before anything is joined, so a word that is in a third of the documents costs one row each.
+    ``terms`` is the array of words of a corpus row, to be stemmed unless ``stemmed``; ``queries``
+    comes from :func:`query_terms`. Only words that some query asks for leave the corpus scan, and
+    they are counted by document before anything is joined, so a word that is in a third of the
+    documents costs one row each.
     """
     asked = materialise(queries)
     small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
@@ -70,16 +71,18 @@ def bm25(
     def hint(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
-    split = corpus.select(F.col(doc).alias("doc"), terms_of.alias("terms"))
-    sizes = split.select("doc", F.size("terms").alias("length"))
-    whole = sizes.agg(F.count("*").alias("docs"), F.avg("length").alias("average"))
-    found = (
-        split.select("doc", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-        .join(hint(vocabulary), "term", "left_semi")
+    def listed(found: Column) -> Column:
+        return F.transform(
+            found, lambda w: F.struct((w if stemmed else stem(w)).alias("term"), F.size(found).alias("length"))
+        )
+
+    whole = corpus.agg(F.count("*").alias("docs"), F.avg(F.size(terms)).alias("average"))
+    split = corpus.select(F.col(doc).alias("doc"), F.inline(let(terms, listed)))
+    found = materialise(  # read twice: document frequencies and scores
+        split.join(hint(vocabulary), "term", "left_semi")
         .groupBy("doc", "length", "term")
         .agg(F.count("*").alias("tf"))
     )
-    found = materialise(found)  # read twice: document frequencies and scores
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))
     weights = asked.join(frequency, "term")
     rare = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -101,7 +104,7 @@ def search(
 ) -> DataFrame:
     """BM25 over the whole text of each document."""
     asked = query_terms(queries, query, query_text, focus)
-    return bm25(corpus, doc, tokens(F.col(text)), asked, limit=limit)
+    return bm25(corpus, doc, words(F.col(text)), asked, limit=limit)
 
 
 def route(
@@ -115,7 +118,7 @@ def route(
     title = F.array_distinct(tokens(F.col("title")))
     text = F.concat(F.flatten(F.array_repeat(title, TITLE_WEIGHT)), tokens(F.col("asks")))
     asked = query_terms(questions, question_id, question, by_shape=True)
-    return bm25(shapes, "shape", text, asked, limit=limit)
+    return bm25(shapes, "shape", text, asked, stemmed=True, limit=limit)
 
 
 def fit_budget(ranked: DataFrame, size: str, budget: int = BUDGET) -> DataFrame:

@@ -99,9 +99,12 @@ def content_lines(text: Column, comment: Column) -> Column:
     return F.when(F.size(first) > 2, F.slice(first, F.lit(1), F.size(first) - 1)).otherwise(first)
 
 
-def count_outside_quotes(line: Column, delimiter: Column) -> Column:
-    bare = F.regexp_replace(line, r'"[^"]*("|$)', "")
-    return F.length(bare) - F.length(F.replace(bare, delimiter, F.lit("")))
+def outside_quotes(line: Column) -> Column:
+    return F.regexp_replace(line, r'"[^"]*("|$)', "")
+
+
+def occurrences(text: Column, char: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, char, F.lit("")))
 
 
 def delimiter_votes(lines: DataFrame, key: str, line: str) -> DataFrame:
@@ -110,8 +113,11 @@ def delimiter_votes(lines: DataFrame, key: str, line: str) -> DataFrame:
     A set operation over any number of files: lines x candidates, then two aggregates.
     """
     candidates = F.array(*map(F.lit, DELIMITERS))
-    counts = lines.select(key, F.col(line).alias("_line"), F.explode(candidates).alias("delimiter"))
-    per_line = counts.withColumn("n", count_outside_quotes(F.col("_line"), F.col("delimiter")))
+    bare = lines.select(key, outside_quotes(F.col(line)).alias("_line"))
+    counts = F.transform(
+        candidates, lambda d: F.struct(d.alias("delimiter"), occurrences(F.col("_line"), d).alias("n"))
+    )
+    per_line = bare.select(key, F.inline(counts))
     spread = per_line.groupBy(key, "delimiter").agg(F.avg("n").alias("mean"), F.var_pop("n").alias("variance"))
     order = F.array_position(candidates, F.col("delimiter"))
     ranked = spread.where("mean >= 1").groupBy(key).agg(
@@ -219,7 +225,7 @@ def _with_dialect(df: DataFrame) -> DataFrame:
     """
     votes = []
     for i, d in enumerate(DELIMITERS):
-        counts = F.transform("_lines", lambda x: count_outside_quotes(x, F.lit(d)).cast("double"))
+        counts = F.transform("_lines", lambda x: occurrences(outside_quotes(x), F.lit(d)).cast("double"))
         n = F.nullif(F.size("_lines").cast("double"), F.lit(0.0))
         mean = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) / n
         variance = F.aggregate(counts, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
