@@ -88,7 +88,7 @@ c AS (SELECT user_id, CASE WHEN n < 80 THEN 0.15 ELSE 0 END AS w1, CASE WHEN hi
              user_id % 10 = 0 AS void FROM g)
 SELECT user_id, CAST(w1 > 0 AS BIGINT) + CAST(w2 > 0 AS BIGINT) + CAST(void AS BIGINT) AS caveats, NOT void AS answered,
   CASE WHEN void THEN 'unsound' WHEN w1 + w2 > 0 THEN 'qualified' ELSE 'sound' END AS verdict,
-  CAST(round((1 - w1) * (1 - w2) * CASE WHEN void THEN 0.7 * 0.2 ELSE 1 END, 2) AS DOUBLE) AS confidence FROM c""")
+  round(CAST((1 - w1) * (1 - w2) * CASE WHEN void THEN 0.7 * 0.2 ELSE 1 END AS DOUBLE) - 1e-12, 2) AS confidence FROM c""")
 def c_verdict(events):
     groups = events.groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("hi"))
 

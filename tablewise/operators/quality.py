@@ -18,7 +18,7 @@ from tablewise.operators.stats import (
     value_table,
     wide,
 )
-from tablewise.session import materialise
+from tablewise.session import materialise, pin
 
 # Thresholds of the findings.
 NULL_RATE_NOTE = 0.20
@@ -34,8 +34,12 @@ MIN_OUTLIER_VALUES = 4
 
 
 def row_fingerprint(columns: Sequence[Column]) -> Column:
-    """128 bits that stand for a row, so wide rows and long text need not travel."""
-    return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    """128 bits that stand for a row, so wide rows and long text need not travel.
+
+    The hash passes over nulls, so whether each column is null is hashed beside its value.
+    """
+    parts = [x for c in columns for x in (c, c.isNull())]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
 
 
 def duplicates(df: DataFrame) -> DataFrame:
@@ -45,11 +49,8 @@ def duplicates(df: DataFrame) -> DataFrame:
     copied over and over does not load one task.
     """
     texts = set(columns_where(df, is_string))
-    plain = [F.col(ident(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]
-    normal = [
-        (F.lower(strip(F.col(ident(c)))) if c in texts else F.col(ident(c))).alias(f"c{i}")
-        for i, c in enumerate(df.columns)
-    ]
+    plain = [F.col(ident(c)) for c in df.columns]
+    normal = [F.lower(strip(F.col(ident(c)))) if c in texts else F.col(ident(c)) for c in df.columns]
     prints = df.select(row_fingerprint(plain).alias("exact"), row_fingerprint(normal).alias("near"))
     exact = prints.groupBy("exact", "near").agg(F.count("*").alias("copies"))
     near = exact.groupBy("near").agg(F.sum("copies").alias("copies"), F.count("*").alias("kinds"))
@@ -114,18 +115,21 @@ def outlier_counts(
     columns: Sequence[str] | None = None,
     *,
     values: DataFrame | None = None,
+    centre: DataFrame | None = None,
     bound: int | None = None,
 ) -> DataFrame:
     """IQR-fence and modified-z outliers of each numeric column.
 
     Works on counted values: the table is scanned once, and quartiles, median absolute deviation and
-    outlier counts are weighted aggregates over the distinct values.
+    outlier counts are weighted aggregates over the distinct values. ``centre`` gives the quartiles
+    by column if they are known.
     """
     columns = list(columns or columns_where(df, is_numeric))
     if values is None:
         values = materialise(value_table(df, columns))
     counted = numeric_values(values, columns)
-    centre = group_quantiles(counted, ["column"], "value", QUARTILES, weight="n", bound=bound)
+    if centre is None:
+        centre = pin(group_quantiles(counted, ["column"], "value", QUARTILES, weight="n", bound=bound))
     # One row for each column: safe to broadcast at any table size.
     apart = counted.join(F.broadcast(centre), "column").withColumn(
         "deviation", F.abs(F.col("value") - F.col("median"))
@@ -134,7 +138,7 @@ def outlier_counts(
     mean_ad = apart.groupBy("column").agg(
         (F.sum(F.col("deviation") * F.col("n")) / F.sum("n")).alias("mean_ad")
     )
-    spread = F.broadcast(mad.join(mean_ad, "column"))
+    spread = F.broadcast(pin(mad.join(mean_ad, "column")))
     iqr = F.col("q3") - F.col("q1")
     outside = (F.col("value") < F.col("q1") - FENCE * iqr) | (F.col("value") > F.col("q3") + FENCE * iqr)
     score = F.when(F.col("mad") > 0, F.col("deviation") * MAD_SCALE / F.nullif("mad", F.lit(0.0))).when(

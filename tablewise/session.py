@@ -36,6 +36,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pin(df: DataFrame) -> DataFrame:
+    """A frame of a few rows (one for each column of a table, say), computed once and kept as literals."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 _shipped: set[str] = set()
 
 
