@@ -47,9 +47,16 @@ _HEAD_SCHEMA = "path string, length long, head binary, wrapper string, inner str
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length) of the files under a path or glob. The content column is never read."""
+    """(path, length) of the files under a path or glob. The content column is never read.
+
+    A scan passes over empty files, so those are added from the file index.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length")
+    named = spark.createDataFrame([(name,) for name in files.inputFiles()], "uri string")
+    plain = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
+    every = named.select(F.regexp_replace(plain, "^file:/+", "file:/").alias("path"))
+    found = every.join(files.select("path", "length"), "path", "left")
+    return found.select("path", F.coalesce("length", F.lit(0)).alias("length"))
 
 
 def decode_cp1252(text: Column) -> Column:
