@@ -256,9 +256,11 @@ def group_quantiles(
     ``weight`` names a column of counts when the input is counted already.
     """
     bound = GROUP_BOUND if bound is None else bound
-    n = F.sum(weight) if weight else F.count("*")
     values = df.where(F.col(value).isNotNull())
-    counts = values.groupBy(*by, value).agg(n.cast("long").alias("_n"))
+    if weight:  # rows that repeat a value do no harm: each covers positions of its own
+        counts = values.select(*by, value, F.col(weight).cast("long").alias("_n"))
+    else:
+        counts = values.groupBy(*by, value).agg(F.count("*").alias("_n"))
     if _distinct_fit(df, by, value, bound):
         upto = _window(by, [value]).rowsBetween(Window.unboundedPreceding, 0)
         whole = _window(by, [value]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -91,7 +91,10 @@ def bm25(
     )
     norm = K1 * (1 - B + B * F.col("length") / F.col("average"))
     part = F.col("idf_weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    scores = found.join(hint(weights), "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
+    # With the matches of a document in one place its scores add up there, and the window below keeps
+    # the best few of each task before anything moves: candidate pairs are never shuffled.
+    placed = found.repartition("doc") if small else found
+    scores = placed.join(hint(weights), "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
     # Sums differ in their last digits with the order of addition; ties must not depend on that.
     order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "doc")
     ranked = scores.where("score > 0").withColumn("rank", F.row_number().over(order).cast("long"))

@@ -355,7 +355,7 @@ def _finish(df: DataFrame) -> DataFrame:
         "path",
         "length",
         F.when(differs & weak, named).otherwise(found).alias("format"),
-        "encoding",
+        F.when(shape.isin("markup", "json", "delimited", "blank"), F.col("encoding")).otherwise("utf-8").alias("encoding"),
         dialect.alias("dialect"),
         F.when(shape == "empty", F.col("name_compression")).otherwise(F.col("wrapper")).alias("compression"),
         "confidence",
