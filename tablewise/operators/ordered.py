@@ -270,11 +270,15 @@ def group_quantiles(
         counts = group_totals(counts, by, _total=F.sum("_n"))
     first = F.col("_upto") - F.col("_n")
     x = F.col(value).cast("double")
-    aggregates = []
+
+    def holds(place: Column) -> Column:
+        return (first <= place) & (place < F.col("_upto"))
+
+    aggregates, needed = [], []
     for name, p in probabilities.items():
         at = F.lit(p) * (F.col("_total") - 1)
         low, high = F.floor(at), F.ceil(at)
-        lower = F.max(F.when((first <= low) & (low < F.col("_upto")), x))
-        upper = F.max(F.when((first <= high) & (high < F.col("_upto")), x))
+        lower, upper = F.max(F.when(holds(low), x)), F.max(F.when(holds(high), x))
         aggregates.append((lower + F.max(at - low) * (upper - lower)).alias(name))
-    return counts.groupBy(*by).agg(*aggregates)
+        needed += [holds(low), holds(high)]
+    return counts.where(reduce(lambda a, b: a | b, needed)).groupBy(*by).agg(*aggregates)

@@ -13,6 +13,7 @@ from tablewise.functions.numeric import lenient_double, safe_corr
 from tablewise.functions.text import strip
 from tablewise.functions.types import columns_where, ident, is_numeric, is_string
 from tablewise.operators.ordered import group_quantiles
+from tablewise.session import materialise, pin
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 TOP_VALUES = 5
@@ -114,27 +115,45 @@ def numeric_stats(
 ) -> DataFrame:
     """Min, max, mean, median, std, quartiles, zeros, negatives and skew, one row for each column.
 
-    Moments come from one scan of stacked values; quartiles from the value table (``values`` when the
-    caller has one).
+    Everything is a weighted aggregate over the value table (``values`` when the caller has one), so
+    a value that fills half the table is one row. Central moments take a second pass, around the mean
+    of the first, which also keeps them accurate.
     """
     columns = list(columns or columns_where(df, is_numeric))
-    x = F.col("value")
-    n = F.count(x)
-    stats = stack(df, columns, "double").groupBy("column").agg(
-        n.alias("n"),
-        F.min(x).alias("minimum"),
-        F.max(x).alias("maximum"),
-        F.avg(x).alias("mean"),
-        F.when(n >= 2, F.stddev_samp(x)).alias("std"),
-        F.count_if(x == 0).alias("zeros"),
-        F.count_if(x < 0).alias("negatives"),
-        F.when(n >= 3, F.skewness(x)).alias("skew"),
+    if values is None:
+        values = materialise(value_table(df, columns))  # read three times
+    counted = numeric_values(values, columns)
+    x, n = F.col("value"), F.col("n")
+
+    def rows_where(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, n)), F.lit(0))
+
+    ends = pin(
+        counted.groupBy("column").agg(
+            F.sum(n).alias("rows"),
+            F.min(x).alias("minimum"),
+            F.max(x).alias("maximum"),
+            (F.sum(x * n) / F.sum(n)).alias("mean"),
+            rows_where(x == 0).alias("zeros"),
+            rows_where(x < 0).alias("negatives"),
+        )
+    )
+    d = x - F.col("mean")
+    moments = (
+        counted.join(F.broadcast(ends.select("column", "mean")), "column")  # one row for each column
+        .groupBy("column")
+        .agg(F.sum(n * d * d).alias("m2"), F.sum(n * d * d * d).alias("m3"))
     )
-    counted = numeric_values(values if values is not None else value_table(df, columns), columns)
     middle = group_quantiles(counted, ["column"], "value", QUARTILES, weight="n", bound=bound)
-    order = ["column", "n", "minimum", "maximum", "mean", "median", "std", "q1", "q3", "zeros",
-             "negatives", "skew"]
-    return stats.join(F.broadcast(middle), "column", "left").select(order)  # one row for each column
+    out = moments.join(F.broadcast(ends), "column").join(F.broadcast(middle), "column", "left")
+    size = F.col("rows")
+    deviation = F.sqrt(F.col("m2") / F.nullif(size - 1, F.lit(0)))
+    third = F.sqrt(size.cast("double")) * F.col("m3") / F.nullif(F.pow("m2", F.lit(1.5)), F.lit(0.0))
+    return out.select(
+        "column", size.alias("n"), "minimum", "maximum", "mean", "median",
+        F.when(size >= 2, deviation).alias("std"), "q1", "q3", "zeros", "negatives",
+        F.when(size >= 3, third).alias("skew"),
+    )
 
 
 def categorical_stats(

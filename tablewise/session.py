@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -41,6 +45,13 @@ def pin(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
+def together(spark: SparkSession, *jobs: Callable[[], Any]) -> list[Any]:
+    """Submit independent Spark jobs at the same time, so that one fills the cores another leaves idle."""
+    with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        return [r.result() for r in running]
+
+
 _shipped: set[str] = set()
 
 
