@@ -26,7 +26,7 @@ def c_review(events):
 
 @query("c_tiny_groups", "events", sql="""
 WITH g AS (SELECT user_id, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2)
-SELECT count(*) AS groups, count_if(n < 5) AS tiny, min(n) AS smallest FROM g""")
+SELECT count(*) AS groups, CAST(count_if(n < 5) AS BIGINT) AS tiny, min(n) AS smallest FROM g""")
 def c_tiny(events):
     groups = events.groupBy("user_id", F.date_trunc("hour", "ts").alias("h")).agg(F.count("*").alias("n"))
     return C.group_size_check(groups, "n")
@@ -50,14 +50,14 @@ WITH w AS (SELECT avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineit
 e AS (SELECT l_suppkey, avg(l_quantity) AS mean, count(*) AS n FROM lineitem GROUP BY 1),
 p AS (SELECT 2.0 / (1 + exp(1.5976 * z + 0.07056 * z * z * z)) AS p_value
       FROM (SELECT abs(mean - m) / (s / sqrt(n)) AS z FROM e, w))
-SELECT count(*) AS tests, count_if(p_value < 0.05) AS significant, CAST(count(*) * 0.05 AS DOUBLE) AS expected FROM p""")
+SELECT count(*) AS tests, CAST(count_if(p_value < 0.05) AS BIGINT) AS significant, CAST(count(*) * 0.05 AS DOUBLE) AS expected FROM p""")
 def c_comparisons(lineitem):
     return C.comparison_check(supplier_tests(lineitem), "p_value")
 
 
 @query("c_non_finite", "lineitem", sql="""
 WITH g AS (SELECT l_orderkey, sum(l_extendedprice) AS a, sum(l_discount) AS b FROM lineitem GROUP BY 1)
-SELECT 'ratio' AS "column", count(*) AS rows, count_if(b = 0) AS non_finite, 0::BIGINT AS nulls FROM g""")
+SELECT 'ratio' AS "column", count(*) AS rows, CAST(count_if(b = 0) AS BIGINT) AS non_finite, 0::BIGINT AS nulls FROM g""")
 def c_non_finite(lineitem):
     groups = lineitem.groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("a"), F.sum("l_discount").alias("b"))
     return C.finite_check(groups.select("l_orderkey", float_div(F.col("a"), F.col("b")).alias("ratio")))
@@ -65,7 +65,7 @@ def c_non_finite(lineitem):
 
 @query("c_singleton_groups", "lineitem", sql="""
 WITH g AS (SELECT l_orderkey, stddev_samp(l_quantity) AS std_quantity FROM lineitem GROUP BY 1)
-SELECT count(*) AS groups, count_if(std_quantity IS NULL OR std_quantity = 0) AS flat FROM g""")
+SELECT count(*) AS groups, CAST(count_if(std_quantity IS NULL OR std_quantity = 0) AS BIGINT) AS flat FROM g""")
 def c_singletons(lineitem):
     groups = lineitem.groupBy("l_orderkey").agg(F.stddev_samp("l_quantity").alias("std_quantity"))
     m = C.measure(groups)
@@ -75,7 +75,7 @@ def c_singletons(lineitem):
 
 
 @query("c_empty_result", "customer", sql="""
-SELECT 'mean_rank' AS "column", count(*) AS rows, 0::BIGINT AS non_finite, count_if(x IS NULL) AS nulls
+SELECT 'mean_rank' AS "column", count(*) AS rows, 0::BIGINT AS non_finite, CAST(count_if(x IS NULL) AS BIGINT) AS nulls
 FROM (SELECT c_mktsegment, avg(TRY_CAST(c_name AS DOUBLE)) AS x FROM customer GROUP BY 1)""")
 def c_empty(customer):
     groups = customer.groupBy("c_mktsegment").agg(F.avg(F.col("c_name").try_cast("double")).alias("mean_rank"))
@@ -177,9 +177,9 @@ def w5(orders):
 @query("w6_quality_sweep", "customer", "orders", sql="""
 WITH d AS (SELECT o_custkey, o_orderdate, nullif(o_orderdate, (SELECT min(o_orderdate) FROM orders)) AS day, c_acctbal
            FROM orders JOIN customer ON o_custkey = c_custkey)
-SELECT 'missing_dates' AS issue, count_if(day IS NULL) AS n FROM d
-UNION ALL SELECT 'negative_measures', count_if(c_acctbal < 0) FROM d
-UNION ALL SELECT 'future_dates', count_if(day > TIMESTAMP '2001-01-01') FROM d
+SELECT 'missing_dates' AS issue, CAST(count_if(day IS NULL) AS BIGINT) AS n FROM d
+UNION ALL SELECT 'negative_measures', CAST(count_if(c_acctbal < 0) AS BIGINT) FROM d
+UNION ALL SELECT 'future_dates', CAST(count_if(day > TIMESTAMP '2001-01-01') AS BIGINT) FROM d
 UNION ALL SELECT 'duplicated_keys', count(*) FROM (SELECT o_custkey FROM d GROUP BY 1 HAVING count(*) > 1)""")
 def w6(customer, orders):
     first = orders.agg(F.min("o_orderdate").alias("first_day"))
@@ -284,7 +284,7 @@ def x4(orders):
 
 
 @query("x6_corr_text", "lineitem", sql="""
-SELECT count_if(l_linenumber <> 3) AS n,
+SELECT CAST(count_if(l_linenumber <> 3) AS BIGINT) AS n,
        round(corr(l_quantity, l_extendedprice) FILTER (l_linenumber <> 3), 8) AS r FROM lineitem""")
 def x6(lineitem):
     df = lineitem.select(

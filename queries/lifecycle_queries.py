@@ -77,7 +77,7 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS bucket, event_type, count(
        CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events WHERE {_CLOSED} GROUP BY 1, 2""",
     "e2_stream_sweep": f"""
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS bucket, count(*) AS rows, 0::BIGINT AS missing_dates,
-       count_if(value - 5 < 0) AS negative_measures, count_if(ts > TIMESTAMP '2024-01-20') AS future_dates
+       CAST(count_if(value - 5 < 0) AS BIGINT) AS negative_measures, CAST(count_if(ts > TIMESTAMP '2024-01-20') AS BIGINT) AS future_dates
 FROM events WHERE {_CLOSED} GROUP BY 1""",
     "e3_stream_mask": """
 SELECT c_custkey, '<redacted>' AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""",

@@ -54,7 +54,7 @@ SELECT '{c}' AS "column", count({c}) AS n, CAST(min({c}) AS DOUBLE) AS minimum,
 CAST(max({c}) AS DOUBLE) AS maximum, round(avg({c}), 4) AS mean,
 round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS median, round(stddev_samp({c}), 4) AS std,
 round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 4) AS q1, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 4) AS q3,
-count_if({c} = 0) AS zeros, count_if({c} < 0) AS negatives,
+CAST(count_if({c} = 0) AS BIGINT) AS zeros, CAST(count_if({c} < 0) AS BIGINT) AS negatives,
 (SELECT round(avg((CAST(x.{c} AS DOUBLE) - m) ** 3) / pow(avg((CAST(x.{c} AS DOUBLE) - m) ** 2), 1.5) + 0.0, 3)
  FROM lineitem x, (SELECT avg({c}) AS m FROM lineitem)) AS skew
 FROM lineitem""", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]))
@@ -87,13 +87,13 @@ def p_categorical(part):
     )
 
 
-@query("p_temporal_stats", "orders", "lineitem", sql="""
+@query("p_temporal_stats", "orders", sql="""
 SELECT 'o_orderdate' AS "column", strftime(min(o_orderdate), '%Y-%m-%d') AS earliest,
        strftime(max(o_orderdate), '%Y-%m-%d') AS latest, count(DISTINCT o_orderdate) AS "distinct" FROM orders
 UNION ALL
 SELECT 'as_text', strftime(min(o_orderdate), '%Y-%m-%d'), strftime(max(o_orderdate), '%Y-%m-%d'),
        count(DISTINCT o_orderdate) FROM orders""")
-def p_temporal(orders, lineitem):
+def p_temporal(orders):
     df = orders.select("o_orderdate", F.date_format("o_orderdate", "dd.MM.yyyy").alias("as_text"))
     out = stats.temporal_stats(df, {"o_orderdate": None, "as_text": "%d.%m.%Y"})
     return out.withColumns({c: F.substring(c, 1, 10) for c in ("earliest", "latest")})
@@ -102,7 +102,7 @@ def p_temporal(orders, lineitem):
 @query("p_text_stats", "documents", sql="""
 SELECT 'text' AS "column", count(text) AS n, min(length(text)) AS min_length, max(length(text)) AS max_length,
        round(avg(length(text)), 4) AS mean_length,
-       count_if(regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') = '') AS empty_strings FROM documents""")
+       CAST(count_if(regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') = '') AS BIGINT) AS empty_strings FROM documents""")
 def p_text(documents):
     df = stats.text_stats(documents, ["text"])
     return df.withColumns(
@@ -132,7 +132,7 @@ def p_semantic(orders):
 @query("p_detect_dates", "orders", heavy=True, sql="""
 SELECT 'day_first' AS "column", '%d/%m/%Y' AS format, count(*) AS parsed, false AS ambiguous FROM orders
 UNION ALL SELECT 'short', '%m/%d/%y', count(*), false FROM orders
-UNION ALL SELECT 'unclear', '%m/%d/%Y', count_if(day(o_orderdate) <= 12), true FROM orders""")
+UNION ALL SELECT 'unclear', '%m/%d/%Y', CAST(count_if(day(o_orderdate) <= 12) AS BIGINT), true FROM orders""")
 def p_dates(orders):
     df = orders.select(
         F.date_format("o_orderdate", "dd/MM/yyyy").alias("day_first"),
@@ -183,11 +183,11 @@ SELECT 'l_nothing' AS "column", 'all_null' AS kind, 1.0::DOUBLE AS null_rate, 'w
 UNION ALL SELECT * FROM (
   SELECT 'l_returnflag' AS "column", CASE WHEN r >= 0.6 THEN 'high_null_rate' WHEN r >= 0.2 THEN 'null_rate' END AS kind,
          round(r, 6), CASE WHEN r >= 0.6 THEN 'warning' ELSE 'info' END
-  FROM (SELECT count_if(l_returnflag = 'A') / count(*) AS r FROM lineitem)
+  FROM (SELECT CAST(count_if(l_returnflag = 'A') AS BIGINT) / count(*) AS r FROM lineitem)
   UNION ALL
   SELECT 'l_quantity', CASE WHEN r >= 0.6 THEN 'high_null_rate' WHEN r >= 0.2 THEN 'null_rate' END,
          round(r, 6), CASE WHEN r >= 0.6 THEN 'warning' ELSE 'info' END
-  FROM (SELECT count_if(l_quantity <= 40) / count(*) AS r FROM lineitem)) WHERE kind IS NOT NULL""")
+  FROM (SELECT CAST(count_if(l_quantity <= 40) AS BIGINT) / count(*) AS r FROM lineitem)) WHERE kind IS NOT NULL""")
 def q_nulls(lineitem):
     df = lineitem.select(
         "l_orderkey",
@@ -199,7 +199,7 @@ def q_nulls(lineitem):
     return quality.null_issues(df).withColumn("null_rate", F.round("null_rate", 6))
 
 
-@query("q_shape_issues", "orders", "lineitem", heavy=True, sql="""
+@query("q_shape_issues", "orders", heavy=True, sql="""
 WITH d AS (SELECT o_orderkey::VARCHAR || '/' || o_custkey AS label, 'same' AS fixed,
                   CASE WHEN o_orderkey % 50 = 0 THEN 'rare' ELSE 'usual' END AS lopsided FROM orders),
 s AS (""" + union("""SELECT '{c}' AS "column", count(*) AS "distinct", CAST(sum(n) AS BIGINT) AS n, max(n) AS max_n,
@@ -208,7 +208,7 @@ SELECT *, 'constant' AS kind, 'warning' AS severity FROM s WHERE "distinct" = 1
 UNION ALL SELECT *, 'near_constant', 'warning' FROM s WHERE "distinct" > 1 AND max_n / n >= 0.95
 UNION ALL SELECT *, 'high_cardinality', 'info' FROM s WHERE "column" = 'label' AND "distinct" / n >= 0.9
 UNION ALL SELECT *, 'class_imbalance', 'info' FROM s WHERE "column" = 'lopsided' AND max_n / min_n >= 10""")
-def q_shapes(orders, lineitem):
+def q_shapes(orders):
     df = orders.select(
         F.concat_ws("/", "o_orderkey", "o_custkey").alias("label"),
         F.lit("same").alias("fixed"),
@@ -217,11 +217,11 @@ def q_shapes(orders, lineitem):
     return quality.shape_issues(df, {"label": "text", "fixed": "categorical", "lopsided": "categorical"})
 
 
-@query("q_outliers_iqr", "events", "lineitem", heavy=True, sql="""
+@query("q_outliers_iqr", "events", heavy=True, sql="""
 WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
 SELECT 'value' AS "column", count(*) AS iqr_outliers FROM events, q
 WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""")
-def q_iqr(events, lineitem):
+def q_iqr(events):
     return quality.outlier_counts(events, ["value"]).select("column", "iqr_outliers")
 
 
@@ -229,8 +229,8 @@ def q_iqr(events, lineitem):
 WITH m AS (SELECT median(value) AS med FROM events),
 d AS (SELECT abs(value - med) AS dev FROM events, m),
 s AS (SELECT median(dev) AS mad, avg(dev) AS mean_ad FROM d)
-SELECT 'value' AS "column", count_if(CASE WHEN mad > 0 THEN dev * 0.6745 / mad
-  WHEN mean_ad > 0 THEN dev / (1.253314 * mean_ad) END > 3.5) AS modified_z_outliers FROM d, s""")
+SELECT 'value' AS "column", CAST(count_if(CASE WHEN mad > 0 THEN dev * 0.6745 / mad
+  WHEN mean_ad > 0 THEN dev / (1.253314 * mean_ad) END > 3.5) AS BIGINT) AS modified_z_outliers FROM d, s""")
 def q_mad(events):
     return quality.outlier_counts(events, ["value"]).select("column", "modified_z_outliers")
 

@@ -117,11 +117,11 @@ def r11(lineitem):
 
 @query("r12_missing_by_column", "lineitem", sql="""
 SELECT * FROM (
-  SELECT 'l_discount' AS "column", count_if(nullif(l_discount, 0) IS NULL) AS nulls,
-         round(count_if(nullif(l_discount, 0) IS NULL) * 1.0 / count(*) * 100, 1) AS pct FROM lineitem
+  SELECT 'l_discount' AS "column", CAST(count_if(nullif(l_discount, 0) IS NULL) AS BIGINT) AS nulls,
+         round(CAST(count_if(nullif(l_discount, 0) IS NULL) AS BIGINT) * 1.0 / count(*) * 100, 1) AS pct FROM lineitem
   UNION ALL
-  SELECT 'l_tax', count_if(nullif(l_tax, 0.08) IS NULL),
-         round(count_if(nullif(l_tax, 0.08) IS NULL) * 1.0 / count(*) * 100, 1) FROM lineitem)
+  SELECT 'l_tax', CAST(count_if(nullif(l_tax, 0.08) IS NULL) AS BIGINT),
+         round(CAST(count_if(nullif(l_tax, 0.08) IS NULL) AS BIGINT) * 1.0 / count(*) * 100, 1) FROM lineitem)
 WHERE nulls > 0""")
 def r12(lineitem):
     return R.missing_by_column(

@@ -79,9 +79,9 @@ def s_json(supplier):
     return L.load(spark, {"path": path, "format": "json"})
 
 
-@query("s_unkey_json", "nation", "supplier", sql="""
+@query("s_unkey_json", "supplier", sql="""
 SELECT 'N' || s_nationkey AS key, CAST(count(*) AS BIGINT) AS suppliers, round(sum(s_acctbal), 2) AS balance FROM supplier GROUP BY 1""")
-def s_unkey(nation, supplier):
+def s_unkey(supplier):
     spark = supplier.sparkSession
     path = sinks.scratch(spark, "keyed")
     totals = supplier.groupBy("s_nationkey").agg(F.count("*").alias("suppliers"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
@@ -113,7 +113,7 @@ def f_catalogue(part, orders, events):
     )
 
 
-@query("f_delimiter", "pages", "documents", heavy=True, sql=r"""
+@query("f_delimiter", "documents", heavy=True, sql=r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 c AS (SELECT doc_id, d, o, length(regexp_replace(line, '"[^"]*("|$)', '', 'g'))
         - length(replace(regexp_replace(line, '"[^"]*("|$)', '', 'g'), d, '')) AS n
@@ -121,7 +121,7 @@ c AS (SELECT doc_id, d, o, length(regexp_replace(line, '"[^"]*("|$)', '', 'g'))
 s AS (SELECT doc_id, d, o, avg(n) AS mean, var_pop(n) AS variance FROM c GROUP BY 1, 2, 3 HAVING avg(n) >= 1)
 SELECT doc_id, d AS delimiter, round(variance, 9) = 0 AS stable FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY variance, -mean, o) AS rn FROM s) WHERE rn = 1""")
-def f_delimiter(pages, documents):
+def f_delimiter(documents):
     lines = documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return C.delimiter_votes(lines, "doc_id", "line")
 

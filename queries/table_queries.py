@@ -165,11 +165,11 @@ def g11(lineitem):
     return as_double(df, "net", "gross").select("l_orderkey", "l_linenumber", "net", "gross")
 
 
-@query("g12_casts", "events", "orders", sql="""
+@query("g12_casts", "orders", sql="""
 SELECT o_orderkey, CAST(CAST(o_totalprice AS VARCHAR) AS DOUBLE) AS strict,
        TRY_CAST(CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE CAST(o_orderkey AS VARCHAR) END AS DOUBLE) AS lenient,
        strftime(o_orderdate, '%Y%m%d')::BIGINT AS daykey FROM orders""")
-def g12(events, orders):
+def g12(orders):
     key = F.col("o_orderkey")
     return orders.select(
         "o_orderkey",
@@ -193,9 +193,9 @@ def g13_distinct(lineitem):
     return lineitem.select("l_returnflag", "l_linestatus", "l_linenumber").distinct()
 
 
-@query("g14_struct", "nation", "region", sql="""
+@query("g14_struct", "nation", sql="""
 SELECT n_nationkey, n_name AS name, n_regionkey AS region, n_name || '!' AS loud FROM nation""")
-def g14(nation, region):
+def g14(nation):
     packed = nation.select("n_nationkey", F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("s"))
     return packed.select("n_nationkey", "s.*", F.concat(F.col("s").getField("name"), F.lit("!")).alias("loud"))
 

@@ -5,7 +5,6 @@ import random
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tablewise.operators import ordered
 
