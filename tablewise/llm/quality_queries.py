@@ -10,8 +10,9 @@ WITH w AS (
          list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
-g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
-h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS k FROM g),
+g AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+k AS (SELECT doc_id, i, x || ' ' || lead(x) OVER d || ' ' || lead(x, 2) OVER d AS gram FROM g WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS k FROM k WHERE gram IS NOT NULL),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM h WHERE k > 1) GROUP BY 1),
 c AS (
   SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words,
