@@ -8,8 +8,7 @@ without one, the stretch of lines from the first to the last of its cluster. Men
 sidebars, notices, adverts, forms, comments, scripts and styles are known by their element, role, class or
 id, and are never lines. The parser goes through the page once; nothing is shuffled.
 
-Defined cases: null and empty html give the empty text. Unclosed elements end with the page; an ``article`` ends what
-was left open before it. A tag cut off by the end of the page is dropped. Repeated rows give equal
+Defined cases: null and empty html give the empty text. Unclosed elements end with the page. A tag cut off by the end of the page is dropped. Repeated rows give equal
 texts. An empty table gives an empty result. Input columns called like a result column are replaced.
 """
 
@@ -90,9 +89,6 @@ class Lines(HTMLParser):
         if tag in HOLDERS or tag in CLOSED or attrs and tag in BLOCKS:
             hides = self.hides(tag, attrs)
             if tag in ("article", "main") and not hides:
-                if tag == "article" and self.hidden and not any(h and o not in HOLDERS - {"div", "nav", "header", "section", "ul"} for o, h, _ in self.open):
-                    self.open = [(o, False, r) for o, h, r in self.open]
-                    self.hidden = 0
                 if not self.region:
                     self.regions += 1
                     self.region = self.regions

@@ -108,7 +108,7 @@ def cells(part: int, parts: int):
     """Number of the grid cell: the segments' bit counts as digits."""
     segments = 64 // SEGMENT_BITS // parts
     digit = lambda i: F.bit_count(F.shiftrightunsigned("fp", SEGMENT_BITS * (part * segments + i)).bitwiseAND(2**SEGMENT_BITS - 1))
-    return sum((digit(i) * F.lit((SEGMENT_BITS + 1) ** i) for i in range(1, segments)), digit(0)).cast("bigint")
+    return sum((digit(i) * F.lit((SEGMENT_BITS + 1) ** i).cast("bigint") for i in range(1, segments)), digit(0)).cast("bigint")
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:
