@@ -2,7 +2,7 @@
 
 The events of a page become lines, one for each block element. A line has the length of its text and the
 number of tags in it; their ratio, smoothed by a Gaussian over neighbouring lines, is clustered by a
-threshold (half a standard deviation below the mean, the largest value always above) into content and other lines.
+threshold (a quarter of the mean) into content and other lines.
 A content line stands for its region: all lines of the ``article`` or ``main`` element that holds it, or, on pages
 without one, the stretch of lines from the first to the last of its cluster. Menus, page headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles are known by their element, role, class or
@@ -130,7 +130,7 @@ def content(lines: list[tuple[str, int, int]]) -> list[str]:
     if not lines:
         return []
     ratio = smoothed(np.array([len(t) / max(tags, 1) for t, tags, _ in lines]))
-    high = ratio >= min(ratio.mean() - ratio.std() / 2, ratio.max())
+    high = ratio >= ratio.mean() / 4
     region = np.array([r for _, _, r in lines])
     chosen = np.unique(region[high & (region > 0)])
     if len(chosen):
