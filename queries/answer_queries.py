@@ -16,7 +16,7 @@ from tablewise.plans.profile import profile
 # ---- critique ------------------------------------------------------------------------------------
 
 
-@query("c_review", "events", heavy=True)
+@query("c_review", "events")
 def c_review(events):
     df = events.select("event_type", "user_id", F.nullif("value", F.lit(0.01)).alias("value"))
     answer = R.Answer(df.agg(F.avg("value").alias("mean_value")), "mean", ("event_type", "value"), ("mean", "pearson"))
@@ -111,16 +111,19 @@ def c_verdict(events):
 
 # ---- workflows -----------------------------------------------------------------------------------
 
+_LINEITEM = (
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"
+).split()
 _FIRST = """SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls,
   round((count(*) - count({c})) / count(*), 6) AS null_rate, count(DISTINCT {c}) AS "distinct" FROM lineitem"""
 
 
-@query("w1_first_look", "lineitem", heavy=True, sql="SELECT * FROM (" + " UNION ALL ".join(
-    _FIRST.replace("{c}", c) for c in ("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag")) + """),
-  (SELECT count(*) - count(DISTINCT (l_orderkey, l_suppkey, l_quantity, l_returnflag)) AS duplicate_rows FROM lineitem),
+@query("w1_first_look", "lineitem", sql="SELECT * FROM (" + " UNION ALL ".join(
+    _FIRST.replace("{c}", c) for c in _LINEITEM) + """),
+  (SELECT (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicate_rows),
   (SELECT count(*) AS duplicated_keys FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1))""")
 def w1(lineitem):
-    df = W.first_look(lineitem.select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag"), "l_orderkey")
+    df = W.first_look(lineitem, "l_orderkey")
     return df.withColumn("null_rate", F.round("null_rate", 6))
 
 

@@ -3,32 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewise.session import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(str(Path(sf_dir) / f"{name}.parquet"))
-
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def query(name: str, *tables: str, sql: str | None = None, heavy: bool = False):
-    """Register ``fn(*dataframes)`` under ``name``.
 
-    ``heavy`` marks work that is dear for each row: a table stored as fewer blocks than there are
-    cores is then dealt out to all of them first.
-    """
+def query(name: str, *tables: str, sql: str | None = None):
+    """Register ``fn(*dataframes)`` under ``name``."""
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            frames = [table(spark, sf_dir, t) for t in tables]
-            return fn(*map(spread, frames) if heavy else frames)
+            return fn(*[table(spark, sf_dir, t) for t in tables])
 
         QUERIES[name] = run
         if sql is not None:

@@ -16,7 +16,7 @@ def union(template, names):
     return "\nUNION ALL\n".join(template.replace("{c}", n) for n in names)
 
 
-@query("p_profile_lineitem", "lineitem", heavy=True, sql="""
+@query("p_profile_lineitem", "lineitem", sql="""
 WITH keys AS (SELECT count(*) AS n FROM lineitem)
 """ + union("""SELECT '{c}' AS name, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS n_unique,
 round(min(CAST({c} AS DOUBLE)), 4) AS minimum, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS median,
@@ -34,12 +34,12 @@ def p_profile(lineitem):
 @query("p_sampled_profile", "events")
 def p_sampled(events):
     result = profile.profile(
-        events, name="events", size_bytes=3 * 1024**3, sample_key="event_id", sample_rows=2000
+        events, name="events", sample_key="event_id", stride=3
     )
     return result.to_df(events.sparkSession).select("name", "semantic", "estimated", "null_count", "n_unique")
 
 
-@query("p_nulls_distinct", "orders", heavy=True, sql=union("""
+@query("p_nulls_distinct", "orders", sql=union("""
 SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls,
 round((count(*) - count({c})) / count(*), 6) AS null_rate, count(DISTINCT {c}) AS "distinct" FROM o""",
 ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -49,7 +49,7 @@ def p_nulls(orders):
     return stats.nulls_distinct(df).withColumn("null_rate", F.round("null_rate", 6))
 
 
-@query("p_numeric_stats", "lineitem", heavy=True, sql=union("""
+@query("p_numeric_stats", "lineitem", sql=union("""
 SELECT '{c}' AS "column", count({c}) AS n, CAST(min({c}) AS DOUBLE) AS minimum,
 CAST(max({c}) AS DOUBLE) AS maximum, round(avg({c}), 4) AS mean,
 round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS median, round(stddev_samp({c}), 4) AS std,
@@ -66,7 +66,7 @@ def p_numeric(lineitem):
     )
 
 
-@query("p_value_counts", "lineitem", heavy=True, sql=union("""
+@query("p_value_counts", "lineitem", sql=union("""
 SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY 2""",
 ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"]))
 def p_values(lineitem):
@@ -111,7 +111,7 @@ def p_text(documents):
     )
 
 
-@query("p_semantic_types", "orders", heavy=True, sql="""
+@query("p_semantic_types", "orders", sql="""
 SELECT * FROM (VALUES ('o_orderkey', 'bigint'), ('o_custkey', 'bigint'), ('o_orderstatus', 'string'),
   ('o_totalprice', 'double'), ('o_orderdate', 'timestamp_ntz'), ('o_orderpriority', 'string')) t("column", dtype)
 JOIN (
@@ -129,7 +129,7 @@ def p_semantic(orders):
     return profile.semantic_types(orders)
 
 
-@query("p_detect_dates", "orders", heavy=True, sql="""
+@query("p_detect_dates", "orders", sql="""
 SELECT 'day_first' AS "column", '%d/%m/%Y' AS format, count(*) AS parsed, false AS ambiguous FROM orders
 UNION ALL SELECT 'short', '%m/%d/%y', count(*), false FROM orders
 UNION ALL SELECT 'unclear', '%m/%d/%Y', CAST(count_if(day(o_orderdate) <= 12) AS BIGINT), true FROM orders""")
@@ -164,13 +164,13 @@ def p_keys(orders):
     return quality.candidate_keys(orders)
 
 
-@query("q_duplicates", "documents", heavy=True, sql="""
+@query("q_duplicates", "documents", sql="""
 SELECT count(*) AS rows, count(*) - count(DISTINCT (text, lang, source)) AS duplicate_rows FROM documents""")
 def q_duplicates(documents):
     return quality.duplicates(documents.select("text", "lang", "source")).select("rows", "duplicate_rows")
 
 
-@query("q_near_duplicates", "documents", heavy=True, sql=r"""
+@query("q_near_duplicates", "documents", sql=r"""
 SELECT count(*) AS rows, count(*) - count(DISTINCT (text, lang)) AS duplicate_rows,
   count(*) - count(DISTINCT (lower(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lower(lang)))
     AS near_duplicate_rows FROM documents""")
@@ -199,7 +199,7 @@ def q_nulls(lineitem):
     return quality.null_issues(df).withColumn("null_rate", F.round("null_rate", 6))
 
 
-@query("q_shape_issues", "orders", heavy=True, sql="""
+@query("q_shape_issues", "orders", sql="""
 WITH d AS (SELECT o_orderkey::VARCHAR || '/' || o_custkey AS label, 'same' AS fixed,
                   CASE WHEN o_orderkey % 50 = 0 THEN 'rare' ELSE 'usual' END AS lopsided FROM orders),
 s AS (""" + union("""SELECT '{c}' AS "column", count(*) AS "distinct", CAST(sum(n) AS BIGINT) AS n, max(n) AS max_n,
@@ -217,7 +217,7 @@ def q_shapes(orders):
     return quality.shape_issues(df, {"label": "text", "fixed": "categorical", "lopsided": "categorical"})
 
 
-@query("q_outliers_iqr", "events", heavy=True, sql="""
+@query("q_outliers_iqr", "events", sql="""
 WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
 SELECT 'value' AS "column", count(*) AS iqr_outliers FROM events, q
 WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""")
@@ -225,7 +225,7 @@ def q_iqr(events):
     return quality.outlier_counts(events, ["value"]).select("column", "iqr_outliers")
 
 
-@query("q_outliers_mad", "events", heavy=True, sql="""
+@query("q_outliers_mad", "events", sql="""
 WITH m AS (SELECT median(value) AS med FROM events),
 d AS (SELECT abs(value - med) AS dev FROM events, m),
 s AS (SELECT median(dev) AS mad, avg(dev) AS mean_ad FROM d)
@@ -251,7 +251,7 @@ PLAIN_SQL = (
 )
 
 
-@query("m_mask_documents", "documents", heavy=True, sql=f"SELECT doc_id, md5({PLAIN_SQL}) AS masked FROM documents")
+@query("m_mask_documents", "documents", sql=f"SELECT doc_id, md5({PLAIN_SQL}) AS masked FROM documents")
 def m_documents(documents):
     text = F.col("text")
     for kind in ("email", "iban", "national_id", "ip"):
@@ -260,7 +260,7 @@ def m_documents(documents):
 
 
 # RE2 knows word boundaries between ASCII characters only, so letters beyond ASCII become "x" first.
-@query("m_mask_cards", "documents", heavy=True, sql=r"""
+@query("m_mask_cards", "documents", sql=r"""
 WITH m AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'),
                                              '\b(?:\d[ -]?){13,19}\b') AS hits FROM documents)
 SELECT doc_id, len(list_filter(hits, lambda h: list_sum(list_transform(
@@ -273,17 +273,17 @@ def m_cards(documents):
     return documents.select("doc_id", cards.alias("cards"))
 
 
-@query("m_mask_phones", "documents", heavy=True)
+@query("m_mask_phones", "documents")
 def m_phones(documents):
     return documents.select("doc_id", masking.mask_one(F.col("text"), "phone").alias("masked"))
 
 
-@query("m_mask_text", "documents", heavy=True)
+@query("m_mask_text", "documents")
 def m_text(documents):
     return documents.select("doc_id", masking.mask_text(F.col("text")).alias("masked"))
 
 
-@query("m_pii_report", "documents", heavy=True, sql=rf"""
+@query("m_pii_report", "documents", sql=rf"""
 WITH s1 AS (SELECT source, text AS t0, regexp_replace(text, '{_W}.+-]+@{_W}-]+\.{_W}.-]{{2,}}', '<email>', 'g') AS t1
             FROM documents),
 s2 AS (SELECT source, t0, t1, regexp_replace(t1, '\b[A-Z]{{2}}\d{{2}}[A-Z0-9]{{10,30}}\b', '<iban>', 'g') AS t2 FROM s1),
@@ -304,7 +304,7 @@ def m_preview(customer):
     return card.masked_preview(customer, ["c_custkey"])
 
 
-@query("k_correlations", "lineitem", heavy=True, sql="SELECT a, b, round(r, 2) AS r FROM (" + "\nUNION ALL\n".join(
+@query("k_correlations", "lineitem", sql="SELECT a, b, round(r, 2) AS r FROM (" + "\nUNION ALL\n".join(
     f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM lineitem"
     for i, a in enumerate(LINEITEM_NUMERIC) for b in LINEITEM_NUMERIC[i + 1 :]
 ) + ") WHERE abs(r) >= 0.5 ORDER BY abs(r) DESC LIMIT 8")
@@ -327,7 +327,7 @@ def k_spaced(events):
     return card.evenly_spaced(df, "event_id", df.count(), 5)
 
 
-@query("k_card", "orders", heavy=True)
+@query("k_card", "orders")
 def k_card(orders):
     result = profile.profile(orders, name="orders")
     return card.build_card(result, orders, key="o_orderkey").to_df(orders.sparkSession)
@@ -345,7 +345,7 @@ def proposals(pages):
 @query("k_validate_proposals", "pages", sql=r"""
 WITH p AS (SELECT page_id, url AS question, regexp_extract_all(url, '[?&#](\w+)', 1) AS columns FROM pages)
 SELECT page_id, question, row_number() OVER (ORDER BY page_id) AS rank FROM (
-  SELECT * FROM p WHERE len(columns) > 0 AND list_has_all(['page', 'ref'], columns) ORDER BY page_id LIMIT 10)""")
+  SELECT * FROM p WHERE len(columns) > 0 AND list_has_all(['page', 'ref'], columns) ORDER BY page_id)""")
 def k_validate(pages):
     return card.validate_proposals(proposals(pages), ["page", "ref"], "page_id").drop("columns")
 

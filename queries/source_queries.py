@@ -53,6 +53,29 @@ def s_gzip(part):
     return L.load(spark, {"path": path, "format": "csv", "compression": "gzip", "dialect": {"has_header": True}})
 
 
+@query("s_csv_documents", "documents", sql="SELECT doc_id, text, source FROM documents")
+def s_csv_documents(documents):
+    """Texts with line breaks and quotes."""
+    spark = documents.sparkSession
+    path = sinks.scratch(spark, "csv-documents")
+    sinks.write_delimited(documents.select("doc_id", "text", "source"), path)
+    return L.load_delimited(spark, path, {"has_header": True})
+
+
+@query("s_gzip_misnamed", "part", sql=PART_SQL)
+def s_gzip_misnamed(part):
+    """Packed files whose names end in ``.csv``."""
+    spark = part.sparkSession
+    path = sinks.scratch(spark, "gzip-misnamed")
+    sinks.write_delimited(part, path, compression="gzip")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in [f.getPath().toString() for f in fs.listStatus(folder)]:
+        if name.endswith(".gz"):
+            fs.rename(spark._jvm.org.apache.hadoop.fs.Path(name), spark._jvm.org.apache.hadoop.fs.Path(name.removesuffix(".gz")))
+    return L.load(spark, {"path": path, "format": "csv", "compression": "gzip", "dialect": {"has_header": True}})
+
+
 @query("s_parquet_partitioned", "lineitem", sql="""
 SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1""")
 def s_partitioned(lineitem):
@@ -113,7 +136,7 @@ def f_catalogue(part, orders, events):
     )
 
 
-@query("f_delimiter", "documents", heavy=True, sql=r"""
+@query("f_delimiter", "documents", sql=r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 c AS (SELECT doc_id, d, o, length(regexp_replace(line, '"[^"]*("|$)', '', 'g'))
         - length(replace(regexp_replace(line, '"[^"]*("|$)', '', 'g'), d, '')) AS n

@@ -9,6 +9,7 @@ from queries.recipe_queries import as_double, day, money
 from tablewise.functions.numeric import clip, lenient_double
 from tablewise.functions.text import replace_first, strip
 from tablewise.operators import analysis as A
+from tablewise.operators.ordered import running
 from tablewise.operators import ordered
 from tablewise.operators import table_ops as G
 
@@ -65,13 +66,11 @@ def g04(orders):
 
 
 @query("g05_sort", "customer", sql="""
-SELECT c_mktsegment, c_acctbal, c_custkey, row_number() OVER () AS place FROM (
-  SELECT c_mktsegment, c_acctbal, c_custkey FROM customer
-  ORDER BY c_mktsegment ASC, c_acctbal DESC, c_custkey LIMIT 200)""")
+SELECT c_mktsegment, c_acctbal, c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) AS place FROM customer""")
 def g05(customer):
-    first = customer.orderBy("c_mktsegment", F.desc("c_acctbal"), "c_custkey").limit(200)
-    place = F.row_number().over(Window.orderBy("c_mktsegment", F.desc("c_acctbal"), "c_custkey"))
-    return first.select("c_mktsegment", "c_acctbal", "c_custkey", place.cast("long").alias("place"))
+    rows = customer.withColumn("_down", -F.col("c_acctbal"))
+    placed = running(rows, [], ["c_mktsegment", "_down", "c_custkey"], sums={"place": F.lit(1).cast("long")})
+    return placed.select("c_mktsegment", "c_acctbal", "c_custkey", "place")
 
 
 @query("g06_top_k", "orders", sql="""
@@ -201,9 +200,11 @@ def g14(nation):
 
 
 @query("g15_lists", "lineitem", sql="""
-WITH g AS (SELECT l_orderkey, list(CAST(l_quantity AS BIGINT) ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS v
-           FROM lineitem GROUP BY 1)
-SELECT l_orderkey, len(v) AS n, v[1] AS head, v[3] AS third, list_contains(v, 7) AS has_seven, list_max(v) AS high,
+WITH p AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1) // 100000 AS part
+           FROM lineitem),
+g AS (SELECT l_orderkey, part, list(CAST(l_quantity AS BIGINT) ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS v
+      FROM p GROUP BY 1, 2)
+SELECT l_orderkey, part, len(v) AS n, v[1] AS head, v[3] AS third, list_contains(v, 7) AS has_seven, list_max(v) AS high,
        list_sum(v)::BIGINT AS total, len(list_distinct(v)) AS kinds, array_to_string(v, '-') AS joined,
        array_to_string(list_sort(v), '-') AS in_order FROM g""")
 def g15(lineitem):
@@ -212,6 +213,7 @@ def g15(lineitem):
     text = v.cast("array<string>")
     return G.list_per_group(df, ["l_orderkey"], "q", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).select(
         "l_orderkey",
+        "part",
         F.size(v).cast("long").alias("n"),
         F.get(v, F.lit(0)).alias("head"),
         F.get(v, F.lit(2)).alias("third"),
@@ -572,17 +574,18 @@ def g34(events):
 _DESCRIBE = """SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,
   round(var_samp({c}), 2) AS variance, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
   round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS median,
-  round(quantile_cont({c}, 0.75), 4) AS p75, round(kurtosis_pop({c}), 3) AS kurtosis FROM lineitem"""
+  round(quantile_cont({c}, 0.75), 4) AS p75, round(kurtosis_pop({c}), 3) AS kurtosis,
+  round(skewness({c}) * (count({c}) - 2) / sqrt(count({c}) * (count({c}) - 1.0)), 3) + 0.0 AS skew FROM lineitem"""
 
 
-@query("g35_describe", "lineitem", heavy=True, sql=" UNION ALL ".join(_DESCRIBE.replace("{c}", c) for c in ("l_quantity", "l_extendedprice", "l_discount")))
+@query("g35_describe", "lineitem", sql=" UNION ALL ".join(_DESCRIBE.replace("{c}", c) for c in ("l_quantity", "l_extendedprice", "l_discount")))
 def g35(lineitem):
     df = A.describe(lineitem, ["l_quantity", "l_extendedprice", "l_discount"])
     df = df.withColumns({c: F.round(c, 4) for c in ("mean", "std", "p25", "median", "p75")})
-    return df.withColumns({"variance": F.round("variance", 2), "kurtosis": F.round("kurtosis", 3)}).drop("skew")
+    return df.withColumns({"variance": F.round("variance", 2), "kurtosis": F.round("kurtosis", 3), "skew": F.round("skew", 3) + 0.0})
 
 
-@query("g36_corr_matrix", "lineitem", heavy=True, sql=" UNION ALL ".join(
+@query("g36_corr_matrix", "lineitem", sql=" UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS r FROM lineitem"
     for a in ("l_quantity", "l_extendedprice", "l_tax") for b in ("l_quantity", "l_extendedprice", "l_tax")))
 def g36(lineitem):
@@ -655,13 +658,12 @@ def g42(orders):
 @query("g42_retention_table", "orders", sql="""
 WITH m AS (SELECT DISTINCT o_custkey, date_trunc('month', o_orderdate) AS month FROM orders),
 f AS (SELECT o_custkey, min(month) AS cohort FROM m GROUP BY 1),
-a AS (SELECT cohort, datediff('month', cohort, month) AS k, count(*) AS n FROM m JOIN f USING (o_custkey) GROUP BY 1, 2)
-SELECT strftime(cohort, '%Y-%m-%d') AS cohort, 1.0::DOUBLE AS "0",
-  round(max(n) FILTER (k = 1) / max(n) FILTER (k = 0), 6) AS "1", round(max(n) FILTER (k = 2) / max(n) FILTER (k = 0), 6) AS "2",
-  round(max(n) FILTER (k = 3) / max(n) FILTER (k = 0), 6) AS "3" FROM a GROUP BY 1""")
+a AS (SELECT cohort, datediff('month', cohort, month) AS k, count(*) AS n FROM m JOIN f USING (o_custkey) GROUP BY 1, 2),
+r AS (SELECT strftime(a.cohort, '%Y-%m-%d') AS cohort, a.k, round(a.n / z.n, 6) AS v FROM a JOIN a z ON a.cohort = z.cohort AND z.k = 0)
+SELECT * FROM (PIVOT r ON k USING max(v) GROUP BY cohort)""")
 def g42_table(orders):
-    df = A.retention_table(A.cohorts(orders, "o_custkey", "o_orderdate"), [0, 1, 2, 3])
-    return day(df, "cohort").withColumns({c: F.round(c, 6) for c in "0123"})
+    df = A.retention_table(A.cohorts(orders, "o_custkey", "o_orderdate"))
+    return day(df, "cohort").withColumns({c: F.round(c, 6) for c in df.columns if c != "cohort"})
 
 
 @query("g43_quantile_flag", "orders", sql="""

@@ -17,13 +17,16 @@ SUFFIXES = (
     ("ed", "", 5),
     ("ly", "", 5),
 )
+# Words without weight in a search.
 NOISE = (
-    "a an and are as at be been but calculate can compute did do does each find for from get give had"
-    " has have how i in into is it its like list make many me my need of on or our out please show so"
-    " some tell that the their them then there these they this to us use want was we were what which"
-    " who whose why will would you your"
-).split()
-SHAPE_NOISE = ["category", "per"]
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "calculate", "can", "compute", "did", "do",
+    "does", "each", "find", "for", "from", "get", "give", "had", "has", "have", "how", "i", "in", "into",
+    "is", "it", "its", "like", "list", "make", "many", "me", "my", "need", "of", "on", "or", "our", "out",
+    "please", "show", "so", "some", "tell", "that", "the", "their", "them", "then", "there", "these",
+    "they", "this", "to", "us", "use", "want", "was", "we", "were", "what", "which", "who", "whose", "why",
+    "will", "would", "you", "your",
+)
+SHAPE_NOISE = ("category", "per")
 
 
 def stem(word: Column) -> Column:

@@ -165,6 +165,6 @@ def cohorts(df: DataFrame, user: str, when: str) -> DataFrame:
     )
 
 
-def retention_table(cohort_rows: DataFrame, months: Sequence[int]) -> DataFrame:
-    """Cohorts down, months since the first event across."""
-    return cohort_rows.groupBy("cohort").pivot("months_since", list(months)).agg(F.max("retention"))
+def retention_table(cohort_rows: DataFrame, months: Sequence[int] | None = None) -> DataFrame:
+    """Cohorts down, months since the first event across: the months named, or all that occur."""
+    return cohort_rows.groupBy("cohort").pivot("months_since", None if months is None else list(months)).agg(F.max("retention"))

@@ -40,7 +40,7 @@ def query_terms(
     queries: DataFrame, query: str, text: str, focus: str | None = None, *, by_shape: bool = False
 ) -> DataFrame:
     """(query, term, weight): noise dropped, the focus text counting three times."""
-    noise = NOISE + (SHAPE_NOISE if by_shape else [])
+    noise = NOISE + (SHAPE_NOISE if by_shape else ())
     dropped = F.array_distinct(F.transform(F.array(*map(F.lit, noise)), stem))
 
     def weighed(column: str, weight: float) -> DataFrame:

@@ -1,50 +1,50 @@
 """The question shapes a question can be routed to: recipe function, title, and sample questions."""
 
 SHAPES = (
-    ("total_by_category", "Total of a measure by category",
-     "total revenue by region; sum of amounts for every product; how much was generated by type"),
-    ("mean_by_category", "Average of a measure by category",
-     "average cost for each region; mean salary by department; typical value of a group"),
-    ("ratio_by_category", "Ratio of two measures by category",
-     "ratio of balance to limit by grade; highest ratio of one to the other; profit margin of a product"),
-    ("top_rows", "Top N rows by a measure",
-     "top 10 orders by price; the five largest invoices; biggest rows"),
-    ("correlation", "Correlation between two numeric columns",
-     "correlation between spend and conversions; relationship of price and quantity; strongly related"),
-    ("counts_shares", "Counts and shares of a category",
-     "number of orders in every status; count by class; breakdown of status"),
-    ("over_time", "A measure over time",
-     "monthly revenue trend; changed over the year; by quarter; development of sales"),
-    ("compare_groups", "Compare a measure across two groups",
-     "do returning customers spend more; compare treatment with control; by gender"),
-    ("distinct_per_category", "Distinct count per category",
-     "unique customers by country; distinct products in a state; number of different values"),
-    ("filter_aggregate", "Filter, then aggregate",
-     "total where the channel is online; only customers in one country; matching a condition"),
-    ("share_of_total", "Share of a total by category",
-     "what percentage of revenue comes from a channel; share of total; accounts for most of the total"),
-    ("missing_by_column", "Missing values by column",
-     "how many nulls are in the columns; missing data; incomplete fields"),
-    ("outlier_rows", "Outliers in a numeric column",
-     "find the outliers in amount; unusually large rows; anomalies"),
-    ("crosstab", "Cross-tabulation of two dimensions",
-     "pivot one dimension against another; revenue by region and channel as a matrix"),
-    ("period_change", "Period over period change",
-     "year over year growth; change against the previous month; compared with last quarter"),
-    ("rate_by_category", "Rate of a yes or no outcome by category",
-     "churn rate by region; default rate by grade; percentage of customers that left"),
-    ("top_groups", "Top N groups by an aggregate",
-     "which cities have the highest average price; which states rank highest; top departments"),
-    ("by_bands", "A measure by a numeric column cut into bands",
-     "average satisfaction by age group; by income bracket; by tenure band"),
-    ("distribution", "Distribution of a numeric column",
-     "distribution of annual salaries; how are prices spread; quantiles of a measure"),
-    ("two_categories", "A measure by two categories at once",
-     "impressions vary by channel and quarter; average by segment and metric; two keys"),
-    ("mode_per_category", "Most common value per category",
-     "most common waiting time across departments; usual product of a region; most frequent value"),
-    ("driver_effect", "Does one column affect another",
-     "how does occupation affect stress levels; influence of age on readmission; impact of contract"),
-    ("difference_ci", "Whether a difference between two groups is real",
-     "is the difference between variant and control real; significant gap; confidence interval"),
+    ("total_by_category", "Sum of a number for each group",
+     "total revenue by region; sum of order prices by priority; total quantity shipped by supplier nation"),
+    ("mean_by_category", "Mean of a number for each group",
+     "average cost for each region; average price for each priority; average account balance by market segment"),
+    ("ratio_by_category", "One total over another for each group",
+     "highest ratio of balance to credit limit; ratio of tax to price by line status; revenue over quantity by brand"),
+    ("top_rows", "The largest rows",
+     "top 10 orders by price; ten largest orders; five customers with most balance"),
+    ("correlation", "How two numbers move together",
+     "correlation between spend and conversions; correlation of quantity and extended price; do tax and discount correlate"),
+    ("counts_shares", "How many rows fall in each group",
+     "count of orders by status; number of parts by type; how many customers in every segment"),
+    ("over_time", "A number along the calendar",
+     "monthly revenue trend; trend of shipped quantity; events by week"),
+    ("compare_groups", "Two groups side by side",
+     "compare returned lines with kept lines; do urgent orders cost more than others; compare balances of two segments"),
+    ("distinct_per_category", "Different items within each group",
+     "unique customers by status; distinct suppliers by nation; different parts by brand"),
+    ("filter_aggregate", "A total under a condition",
+     "total price only where the priority is urgent; only lines with a discount; quantity where flag equals R"),
+    ("share_of_total", "Each group as a percentage of the whole",
+     "what percentage of revenue comes from each channel; percentage of total price by segment; share of all quantity by brand"),
+    ("missing_by_column", "Empty cells of each column",
+     "how many nulls are in each column; nulls in customer; missing values of orders"),
+    ("outlier_rows", "Rows with extreme numbers",
+     "find the outliers in the amount column; outliers of extended price; extreme account balances"),
+    ("crosstab", "A table of two groupings",
+     "cross tabulate status against priority; matrix of segment against nation; pivot flag by line status"),
+    ("period_change", "Growth from one period to the next",
+     "year over year growth of revenue; change of order count against the previous month; growth from quarter to quarter"),
+    ("rate_by_category", "How often something is true in each group",
+     "churn rate by region; return rate by supplier; rate of late orders by priority"),
+    ("top_groups", "The groups that rank highest",
+     "which cities have the highest average price; which nations have the highest balance; which brands rank first by revenue"),
+    ("by_bands", "A number across ranges of another number",
+     "average satisfaction by age group; price by quantity bands; discount across balance ranges"),
+    ("distribution", "How the values of a number spread",
+     "distribution of annual salaries; spread of order prices; histogram of discounts"),
+    ("two_categories", "A number for each pair of groups",
+     "impressions vary by channel and quarter; price by status and priority; quantity by flag and year together"),
+    ("mode_per_category", "The most frequent value in each group",
+     "most common waiting time across departments; most common priority by segment; usual part size across brands"),
+    ("driver_effect", "What influences a number",
+     "how does occupation affect stress levels; does segment influence order price; effect of discount on quantity"),
+    ("difference_ci", "Whether two groups truly differ",
+     "is the difference between variant and control real; is the gap between two segments significant; confidence interval of a difference"),
 )

@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewise.functions.types import ident, is_floating
-from tablewise.operators.ordered import GROUP_BOUND, group_totals, largest_group, match_keys, running
+from tablewise.operators.ordered import group_totals, match_keys, running
 
-#: Values one row's list may hold; a longer group is returned as several rows.
-LIST_BOUND = 100_000
-#: Rows of the smaller side of a cross join that may be sent to every task.
-CROSS_BOUND = 10_000
+#: Values in one part of a group's list.
+LIST_PART = 100_000
 
 
 # ---- columns -------------------------------------------------------------------------------------
@@ -74,20 +72,15 @@ def unique_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 
 def list_per_group(
-    df: DataFrame, by: Sequence[str], value: str, order: Sequence[str], *, bound: int = LIST_BOUND
+    df: DataFrame, by: Sequence[str], value: str, order: Sequence[str], *, size: int = LIST_PART
 ) -> DataFrame:
-    """The values of each group as an ordered list.
+    """The values of each group as ordered lists of ``size`` values, numbered by ``part`` from 0.
 
-    A list is one cell and cannot outgrow a task, so a group above ``bound`` rows comes back as
-    several rows, numbered by ``part``; every other group has ``part`` 0.
+    A list is one cell and cannot outgrow a task; every group is cut in the same way, whatever its length.
     """
     element = F.struct(*order, F.col(value).alias("_v"))
-    if largest_group(df, by) <= bound:
-        numbered = df.withColumn("part", F.lit(0).cast("long"))
-    else:
-        one = F.lit(1).cast("long")
-        at = running(df, by, order, sums={"_at": one}, bound=min(bound, GROUP_BOUND))
-        numbered = at.withColumn("part", F.floor((F.col("_at") - 1) / bound))
+    at = running(df, by, order, sums={"_at": F.lit(1).cast("long")})
+    numbered = at.withColumn("part", F.floor((F.col("_at") - 1) / size))
     lists = numbered.groupBy(*by, "part").agg(F.sort_array(F.collect_list(element)).alias("_l"))
     return lists.select(*by, "part", F.transform("_l", lambda e: e["_v"]).alias("values"))
 
@@ -100,16 +93,13 @@ def join_full(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame
     return left.join(right, list(on), "full")
 
 
-def cross_join(left: DataFrame, right: DataFrame, *, bound: int = CROSS_BOUND) -> DataFrame:
-    """Every row of one side with every row of the other, for frames such as dates x stores.
+def cross_join(df: DataFrame, few: DataFrame) -> DataFrame:
+    """Every row of ``df`` with every row of ``few``, for frames such as dates x stores.
 
-    The result is the product by definition, so the smaller side must be provably small: it is
-    counted up to ``bound`` and sent to every task. A product of two large tables is refused.
+    The result is the product by definition. The caller names the side with few rows; Spark sends it to
+    every task where it knows it to be small, and pairs partitions otherwise.
     """
-    for big, small in ((left, right), (right, left)):
-        if small.limit(bound + 1).count() <= bound:
-            return big.crossJoin(F.broadcast(small)).select(*left.columns, *right.columns)
-    raise ValueError(f"both sides of the cross join have more than {bound} rows")
+    return df.crossJoin(few)
 
 
 def asof_join(

@@ -86,7 +86,7 @@ def ask(source: Source, question: Question, recipe: str | None) -> Finding:
         answer = fn(source.df, **given)
         checked = critique.review(question.text, answer, source.profile)
     except Exception as e:  # recorded, not dropped: one bad question must not end the run
-        return Finding(question.text, recipe, "unanswered", reason=f"{type(e).__name__}: {str(e)[:300]}")
+        return Finding(question.text, recipe, "unanswered", reason=f"{type(e).__name__}: {e}")
     return Finding(question.text, recipe, "answered", answer, checked)
 
 

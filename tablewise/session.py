@@ -71,12 +71,3 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
 
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out to all cores if it has fewer partitions than there are cores.
-
-    For work that is heavy on each row. A scan of many files or blocks has enough partitions already
-    and is returned untouched. ``scan`` must be a plain scan, with no shuffle in it.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

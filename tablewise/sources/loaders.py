@@ -51,6 +51,8 @@ def load(spark: SparkSession, spec: Row | Mapping[str, Any], *, row_tag: str = "
         raise UnsupportedFormat(f"{fmt}: {REFUSED[fmt]}")
     if packed == "zstd":
         raise UnsupportedFormat("zstd-compressed: decompress it first")
+    if packed == "gzip" and fmt != "parquet" and _misnamed(spark, path):
+        packed = "zip"  # unpacked by content; Spark would go by the name
     if fmt in ("csv", "tsv"):
         return load_delimited(spark, path, spec.get("dialect") or {}, spec.get("encoding") or "utf-8", packed)
     if fmt == "arrow" or (packed in ("gzip", "zip") and fmt == "parquet"):
@@ -70,6 +72,12 @@ def load(spark: SparkSession, spec: Row | Mapping[str, Any], *, row_tag: str = "
     raise UnsupportedFormat(f"{fmt}: no reader")
 
 
+def _misnamed(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether there are files whose name does not say that they are packed with gzip."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return not files.where(~F.col("path").endswith(".gz")).isEmpty()
+
+
 # ---- delimited text ------------------------------------------------------------------------------
 
 
@@ -87,13 +95,13 @@ def load_delimited(
     quote = dialect.get("quotechar") or '"'
     header = dialect.get("has_header", True)
     if compression == "zip":
-        df = _split_lines(unzip_lines(spark, path, encoding), sep, quote, header, dialect.get("comment_prefix"))
+        df = _split_lines(unzip_lines(spark, path, encoding, quote), sep, quote, header, dialect.get("comment_prefix"))
     else:
         charset, wide_chars = _spark_encoding(encoding)
         reader = spark.read.options(sep=sep, quote=quote, escape=quote, header=header, encoding=charset)
         if dialect.get("comment_prefix"):
             reader = reader.option("comment", dialect["comment_prefix"])
-        if wide_chars:  # without it the reader splits lines at single bytes and finds none
+        if wide_chars or _broken_lines(spark, path, quote):  # such files are not split, and their records are kept whole
             reader = reader.option("multiLine", True)
         df = reader.csv(path)
         if encoding == "cp1252":
@@ -105,6 +113,12 @@ def load_delimited(
     return narrow(df, dialect.get("decimal") or ".") if narrow_types else df
 
 
+def _broken_lines(spark: SparkSession, path: str | list[str], quote: str) -> bool:
+    """Whether a quoted field goes on in the next line anywhere: a line with an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def _spark_encoding(encoding: str) -> tuple[str, bool]:
     known = {"ascii": "UTF-8", "utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16", "utf-32": "UTF-32"}
     return known.get(encoding, "ISO-8859-1"), encoding in ("utf-16", "utf-32")
@@ -150,11 +164,11 @@ def narrow(df: DataFrame, decimal: str = ".") -> DataFrame:
     return df.select(*[typed(c) for c in df.columns])
 
 
-def unzip_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """(path, line, value) of the single member of each archive, one task for each archive."""
+def unzip_lines(spark: SparkSession, path: str, encoding: str = "utf-8", quote: str | None = None) -> DataFrame:
+    """(path, line, value) of each packed file, one task for each; with ``quote``, of its records."""
     ship_package(spark)
     paths = spark.read.format("binaryFile").load(path).select("path")
-    return paths.mapInPandas(partial(readers.zip_lines, encoding=encoding), "path string, line long, value string")
+    return paths.mapInPandas(partial(readers.packed_lines, encoding=encoding, quote=quote), "path string, line long, value string")
 
 
 def _load_zipped_json(spark: SparkSession, path: str, fmt: str, encoding: str) -> DataFrame:

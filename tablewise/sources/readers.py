@@ -56,16 +56,37 @@ def arrow_batches(batches: Iterator[pa.RecordBatch], fmt: str, names: list[str])
                     yield rows.select(names)
 
 
-def zip_lines(frames: Iterator[pd.DataFrame], encoding: str) -> Iterator[pd.DataFrame]:
+@contextlib.contextmanager
+def _stream(path: str):
+    """The bytes inside a gzip file or a one-member archive, whatever the file is called."""
+    with open_file(path) as f:
+        magic = f.read(2)
+        f.seek(0)
+        if magic == b"\x1f\x8b":
+            yield gzip.GzipFile(fileobj=f)
+        else:
+            with zipfile.ZipFile(f) as z, z.open(only_member(z)) as m:
+                yield m
+
+
+def packed_lines(frames: Iterator[pd.DataFrame], encoding: str, quote: str | None = None) -> Iterator[pd.DataFrame]:
+    """Lines of packed files; with ``quote``, a record whose quotes are open goes on in the next line."""
     for frame in frames:
         for path in frame["path"]:
-            with open_file(path) as f, zipfile.ZipFile(f) as z, z.open(only_member(z)) as m:
-                start, lines = 0, []
-                for line in io.TextIOWrapper(m, encoding=encoding, errors="replace"):
-                    lines.append(line.rstrip("\r\n"))
+            with _stream(path) as m:
+                start, lines, pending, open_quotes = 0, [], [], 0
+                for line in io.TextIOWrapper(m, encoding=encoding, errors="replace", newline=""):
+                    pending.append(line)
+                    open_quotes ^= line.count(quote) & 1 if quote else 0
+                    if open_quotes:
+                        continue
+                    lines.append("".join(pending).rstrip("\r\n"))
+                    pending = []
                     if len(lines) == LINES:
                         yield _numbered(path, start, lines)
                         start, lines = start + LINES, []
+                if pending:
+                    lines.append("".join(pending).rstrip("\r\n"))
                 yield _numbered(path, start, lines)
 
 

@@ -19,7 +19,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def write_delimited(df: DataFrame, path: str, *, sep: str = ",", compression: str | None = None) -> None:
-    writer = df.write.options(sep=sep, header=True, escape='"')
+    writer = df.write.options(sep=sep, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     (writer.option("compression", compression) if compression else writer).csv(path)
 
 
