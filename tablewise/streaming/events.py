@@ -53,3 +53,21 @@ def drain(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
     query.awaitTermination()
     return query
+
+
+def drain_all(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str]) -> DataFrame:
+    """Process what is available and return the last state of every bucket, those still open included.
+
+    Each batch writes the buckets it changed to a folder of its own, so a batch that runs again replaces what it
+    wrote; of the states of a bucket the one of the latest batch counts.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    states = stream.sparkSession.read.parquet(path)
+    row = F.struct(*[F.col(c) for c in stream.columns])
+    return states.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max_by(row, "batch").alias("r")).select("r.*")
