@@ -16,20 +16,35 @@ from tablewise.plans.profile import profile
 # ---- critique ------------------------------------------------------------------------------------
 
 
-@query("c_review", "events")
+# The rates come from the SQL; that one row came back of a question for a breakdown over time is given.
+@query("c_review", "events", sql="""
+WITH e AS (SELECT nullif(value, 0.01) AS v FROM events),
+q AS (SELECT quantile_cont(v, 0.25) AS q1, median(v) AS med, quantile_cont(v, 0.75) AS q3 FROM e),
+s AS (SELECT median(abs(v - med)) AS mad FROM e, q),
+f AS (SELECT greatest(count_if(v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)),
+                      count_if(abs(v - med) * 0.6745 / mad > 3.5)) / (SELECT count(*) FROM e) AS outliers,
+             avg((v - (SELECT avg(v) FROM e)) ** 3) / pow(avg((v - (SELECT avg(v) FROM e)) ** 2), 1.5) AS skew,
+             count_if(v IS NULL) / count(*) AS nulls FROM e, q, s)
+SELECT * FROM (
+  SELECT 'correlation-outliers' AS code, 'serious' AS severity, false AS fatal FROM f WHERE outliers >= 0.01
+  UNION ALL SELECT 'mean-on-skewed', 'warning', false FROM f WHERE abs(skew) >= 2
+  UNION ALL SELECT 'unacknowledged-nulls', 'warning', false FROM f WHERE nulls >= 0.05
+  UNION ALL SELECT 'ungrouped-result', 'serious', false
+  UNION ALL SELECT 'short-trend', 'warning', false)""")
 def c_review(events):
     df = events.select("event_type", "user_id", F.nullif("value", F.lit(0.01)).alias("value"))
     answer = R.Answer(df.agg(F.avg("value").alias("mean_value")), "mean", ("event_type", "value"), ("mean", "pearson"))
-    found = C.review("mean value per event type over time", answer, profile(df, name="events"))
-    return C.caveats_df(events.sparkSession, found.caveats).select("code", "severity", "fatal")
+    source, question = profile(df, name="events"), "mean value per event type over time"
+    facts = C.result_facts(answer.df).join(F.broadcast(C.source_facts(source, answer, question)))
+    return C.caveats(facts, C.source_rules(answer) + C.result_rules(question)).select("code", "severity", "fatal")
 
 
 @query("c_tiny_groups", "events", sql="""
 WITH g AS (SELECT user_id, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2)
-SELECT count(*) AS groups, CAST(count_if(n < 5) AS BIGINT) AS tiny, min(n) AS smallest FROM g""")
+SELECT count(*) AS rows, 'tiny-groups' AS code, 'warning' AS severity, false AS fatal, CAST(count_if(n < 5) AS BIGINT)
+  || ' of ' || count(*) || ' groups have fewer than 5 rows (smallest: ' || min(n) || ')' AS message FROM g""")
 def c_tiny(events):
-    groups = events.groupBy("user_id", F.date_trunc("hour", "ts").alias("h")).agg(F.count("*").alias("n"))
-    return C.group_size_check(groups, "n")
+    return C.result_caveats(events.groupBy("user_id", F.date_trunc("hour", "ts").alias("h")).agg(F.count("*").alias("n")))
 
 
 def supplier_tests(lineitem):
@@ -50,36 +65,46 @@ WITH w AS (SELECT avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineit
 e AS (SELECT l_suppkey, avg(l_quantity) AS mean, count(*) AS n FROM lineitem GROUP BY 1),
 p AS (SELECT 2.0 / (1 + exp(1.5976 * z + 0.07056 * z * z * z)) AS p_value
       FROM (SELECT abs(mean - m) / (s / sqrt(n)) AS z FROM e, w))
-SELECT count(*) AS tests, CAST(count_if(p_value < 0.05) AS BIGINT) AS significant, CAST(count(*) * 0.05 AS DOUBLE) AS expected FROM p""")
+SELECT count(*) AS rows, 'multiple-comparisons' AS code, 'serious' AS severity, false AS fatal,
+  count(*) || ' p-values, ' || CAST(count_if(p_value < 0.05) AS BIGINT) || ' below 0.05; chance alone gives about '
+  || CAST(round(count(*) * 0.05) AS BIGINT) AS message FROM p HAVING count(*) >= 10""")
 def c_comparisons(lineitem):
-    return C.comparison_check(supplier_tests(lineitem), "p_value")
+    return C.result_caveats(supplier_tests(lineitem))
 
 
 @query("c_non_finite", "lineitem", sql="""
 WITH g AS (SELECT l_orderkey, sum(l_extendedprice) AS a, sum(l_discount) AS b FROM lineitem GROUP BY 1)
-SELECT 'ratio' AS "column", count(*) AS rows, CAST(count_if(b = 0) AS BIGINT) AS non_finite, 0::BIGINT AS nulls FROM g""")
+SELECT count(*) AS rows, 'non-finite' AS code, 'serious' AS severity, true AS fatal,
+  'ratio holds ' || CAST(count_if(b = 0) AS BIGINT) || ' values that are not finite numbers' AS message FROM g""")
 def c_non_finite(lineitem):
     groups = lineitem.groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("a"), F.sum("l_discount").alias("b"))
-    return C.finite_check(groups.select("l_orderkey", float_div(F.col("a"), F.col("b")).alias("ratio")))
+    return C.result_caveats(groups.select("l_orderkey", float_div(F.col("a"), F.col("b")).alias("ratio")))
 
 
 @query("c_singleton_groups", "lineitem", sql="""
 WITH g AS (SELECT l_orderkey, stddev_samp(l_quantity) AS std_quantity FROM lineitem GROUP BY 1)
-SELECT count(*) AS groups, CAST(count_if(std_quantity IS NULL OR std_quantity = 0) AS BIGINT) AS flat FROM g""")
+SELECT count(*) AS rows, 'singleton-groups' AS code, 'warning' AS severity, false AS fatal,
+  CAST(count_if(std_quantity IS NULL OR std_quantity = 0) AS BIGINT) || ' of ' || count(*)
+  || ' groups have no spread in std_quantity: they hold a single row' AS message FROM g""")
 def c_singletons(lineitem):
-    groups = lineitem.groupBy("l_orderkey").agg(F.stddev_samp("l_quantity").alias("std_quantity"))
-    m = C.measure(groups)
-    return groups.agg(
-        F.count("*").alias("groups"), F.max(F.lit(m["flat|std_quantity"])).cast("long").alias("flat")
-    )
+    return C.result_caveats(lineitem.groupBy("l_orderkey").agg(F.stddev_samp("l_quantity").alias("std_quantity")))
 
 
 @query("c_empty_result", "customer", sql="""
-SELECT 'mean_rank' AS "column", count(*) AS rows, 0::BIGINT AS non_finite, CAST(count_if(x IS NULL) AS BIGINT) AS nulls
-FROM (SELECT c_mktsegment, avg(TRY_CAST(c_name AS DOUBLE)) AS x FROM customer GROUP BY 1)""")
+SELECT count(*) AS rows, 'empty-result' AS code, 'serious' AS severity, true AS fatal, 'null in every row: mean_rank' AS message
+FROM (SELECT c_mktsegment, avg(TRY_CAST(c_name AS DOUBLE)) AS x FROM customer GROUP BY 1) HAVING count(x) = 0""")
 def c_empty(customer):
-    groups = customer.groupBy("c_mktsegment").agg(F.avg(F.col("c_name").try_cast("double")).alias("mean_rank"))
-    return C.finite_check(groups)
+    return C.result_caveats(
+        customer.groupBy("c_mktsegment").agg(F.avg(F.col("c_name").try_cast("double")).alias("mean_rank")))
+
+
+@query("c_short_trend", "orders", sql="""
+WITH y AS (SELECT count(DISTINCT year(o_orderdate) // 10) AS n FROM orders)
+SELECT n AS rows, 'short-trend' AS code, 'warning' AS severity, false AS fatal,
+       n || ' points are too few to show a direction' AS message FROM y WHERE n < 3""")
+def c_trend(orders):
+    decades = orders.groupBy(F.floor(F.year("o_orderdate") / 10).alias("decade")).agg(F.avg("o_totalprice").alias("price"))
+    return C.result_caveats(decades, "growth of prices by decade").where(F.col("code").isNotNull())
 
 
 @query("c_verdict", "events", sql="""

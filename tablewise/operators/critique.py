@@ -1,23 +1,22 @@
 """Statistical checks on an answer: what can be measured about a result before it is believed.
 
-Each check is data in, caveat out. The checks on the result table share one aggregate, so a result is
-scanned once whatever the number of columns.
+Facts first, rules second. :func:`result_facts` measures a result in one aggregate, whatever the number of its columns;
+:func:`source_facts` reads the profile table. Both are one row. A rule is a condition on those facts and the
+sentence it stands for; all rules are columns of one projection.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.functions.types import ident, is_floating, is_numeric
+from tablewise.functions.types import columns_where, ident, is_floating, is_numeric
 from tablewise.operators.recipes import Answer
-from tablewise.operators.stats import wide
-from tablewise.plans.profile import ColumnProfile, Profile
+from tablewise.plans.profile import Profile
 
 # Thresholds, the cost of each severity, and the names that give a column's role away.
 MIN_ROWS = 30
@@ -39,9 +38,11 @@ SPREAD_NAMES = (
     r"|_(std|stddev|sd|var|variance|stdev)$"
 )
 P_NAMES = r"^(p|pval|pvalue|p_value)$|_(p|pval|pvalue|p_value)$"
-BREAKDOWN = r"\b(?:per|by|for each|for every|across|grouped by|broken down by)\s+(?:the\s+)?(.+)"
+BREAKDOWN = r"(?i)\b(?:per|by|for each|for every|across|grouped by|broken down by)\s+(?:the\s+)?(?=((?:\S+\s*){1,3}))"
 BREAKDOWN_WORDS = 3
 
+FIGURES = "array<struct<column:string,n:bigint,least:string>>"
+
 
 @dataclass(frozen=True)
 class Caveat:
@@ -56,249 +57,181 @@ class Critique:
     verdict: str
     confidence: float
     caveats: tuple[Caveat, ...]
-    answered: bool | None = None
-
-
-def _named(df: DataFrame, pattern: str) -> list[str]:
-    """Numeric result columns whose name plays the given role."""
-    return [
-        f.name
-        for f in df.schema.fields
-        if is_numeric(f.dataType) and re.search(pattern, f.name, re.IGNORECASE)
-    ]
-
+    answered: bool | None
+    rows: int
 
-def measure(df: DataFrame) -> dict[str, Any]:
-    """Everything the result checks need, from one aggregate over the result."""
-    aggregates: dict[str, Column] = {"rows": F.count("*")}
-    for c in _named(df, COUNT_NAMES):
-        x = F.col(ident(c))
-        aggregates[f"small|{c}"] = F.count_if(x < MIN_GROUP_ROWS)
-        aggregates[f"least|{c}"] = F.min(x)
-    for c in _named(df, P_NAMES):
-        aggregates[f"hits|{c}"] = F.count_if(F.col(ident(c)) < P_LIMIT)
-    for c in _named(df, SPREAD_NAMES):
-        x = F.col(ident(c))
-        aggregates[f"flat|{c}"] = F.count_if(x.isNull() | (x == 0))
-    for f in df.schema.fields:
-        x = F.col(ident(f.name))
-        aggregates[f"filled|{f.name}"] = F.count(x)
-        if is_floating(f.dataType):
-            aggregates[f"bad|{f.name}"] = F.count_if(F.isnan(x) | (F.abs(x) == float("inf")))
-    row = df.agg(*[e.alias(f"m{i}") for i, e in enumerate(aggregates.values())]).first()
-    return dict(zip(aggregates, row))
-
-
-# ---- checks on the source ------------------------------------------------------------------------
-
-
-def sampled_source(p: Profile) -> Caveat | None:
-    if p.estimated:
-        return Caveat(
-            "sampled-source", "serious",
-            f"computed on {p.sampled_rows:,} sampled rows of about {p.n_rows:,}: it describes the sample",
-        )
-
-
-def small_source(p: Profile) -> Caveat | None:
-    if 0 < p.n_rows < MIN_ROWS:
-        return Caveat("small-source", "warning", f"the source has {p.n_rows} rows only")
 
+@dataclass(frozen=True)
+class Rule:
+    """Fires where ``when`` holds on the row of facts; ``says`` is a format with its arguments."""
 
-def _used(p: Profile, answer: Answer) -> list[ColumnProfile]:
-    return [c for c in p.columns if c.name in answer.columns]
-
+    code: str
+    severity: str
+    when: Column
+    says: str
+    args: tuple[Column, ...] = ()
+    fatal: bool = False
 
-def _outlier_rate(c: ColumnProfile, p: Profile) -> float:
-    rows = p.sampled_rows or p.n_rows
-    return max(c.iqr_outliers, c.modified_z_outliers) / rows if c.numeric and rows else 0.0
+    def caveat(self, place: int) -> Column:
+        named = {
+            "rank": F.lit(SEVERITY_ORDER.index(self.severity)), "place": F.lit(place), "code": F.lit(self.code),
+            "severity": F.lit(self.severity), "message": F.format_string(self.says, *self.args),
+            "fatal": F.lit(self.fatal),
+        }
+        return F.when(self.when, F.struct(*[value.alias(name) for name, value in named.items()]))
 
 
-def correlation_outliers(p: Profile, answer: Answer) -> Caveat | None:
-    if "pearson" not in answer.aggregates or "spearman" in answer.aggregates:
-        return None
-    hit = [c.name for c in _used(p, answer) if _outlier_rate(c, p) >= OUTLIER_RATE]
-    if hit:
-        return Caveat(
-            "correlation-outliers", "serious",
-            f"Pearson on {_join(hit)}, which have outliers; a few rows can make or hide it. Add Spearman",
-        )
+# ---- facts ---------------------------------------------------------------------------------------
 
 
-def mean_on_skewed(p: Profile, answer: Answer) -> Caveat | None:
-    if "mean" not in answer.aggregates:
-        return None
-    hit = [
-        c.name
-        for c in _used(p, answer)
-        if c.numeric and c.numeric["skew"] is not None and abs(c.numeric["skew"]) >= SKEW_LIMIT
+def _figures(columns: Sequence[str], count: Callable[[Column], Column]) -> Column:
+    cells = [
+        F.struct(F.lit(c), count(F.col(ident(c))), F.min(F.col(ident(c))).cast("string")) for c in columns
     ]
-    if hit:
-        return Caveat("mean-on-skewed", "warning", f"mean of heavily skewed {_join(hit)}; look at the median")
-
-
-def unacknowledged_nulls(p: Profile, answer: Answer) -> Caveat | None:
-    if answer.handles_nulls:
-        return None
-    hit = [f"{c.name} ({c.null_rate:.0%})" for c in _used(p, answer) if c.null_rate >= NULL_RATE]
-    if hit:
-        return Caveat(
-            "unacknowledged-nulls", "warning", f"nulls in {_join(hit)} left the denominator unnoticed"
-        )
+    return F.array(*cells).cast(FIGURES)
 
 
-# ---- checks on the result ------------------------------------------------------------------------
+def result_facts(df: DataFrame) -> DataFrame:
+    """One row: ``rows``, and for each role that columns play, (column, n, least) of those columns.
 
+    ``small``: groups of too few rows; ``tests``: p-values below the limit; ``flat``: groups without spread; ``broken``:
+    values that are not finite; ``blank``: the names of columns without any value.
+    """
 
-def _first(m: dict[str, Any], prefix: str) -> tuple[str, Any] | None:
-    """The first column whose figure under ``prefix`` is above zero."""
-    return next(((k.split("|", 1)[1], v) for k, v in m.items() if k.startswith(prefix + "|") and v), None)
-
-
-def tiny_groups(m: dict[str, Any]) -> Caveat | None:
-    if found := _first(m, "small"):
-        name, small = found
-        return Caveat(
-            "tiny-groups", "warning",
-            f"{small} of {m['rows']} groups have fewer than {MIN_GROUP_ROWS} rows"
-            f" (smallest: {m['least|' + name]})",
-        )
-
+    def named(pattern: str) -> list[str]:
+        return [c for c in columns_where(df, is_numeric) if re.search(pattern, c, re.IGNORECASE)]
 
-def multiple_comparisons(m: dict[str, Any]) -> Caveat | None:
-    hits = next((v for k, v in m.items() if k.startswith("hits|")), None)
-    if hits is not None and m["rows"] >= MANY_COMPARISONS:
-        return Caveat(
-            "multiple-comparisons", "serious",
-            f"{m['rows']} p-values, {hits} below {P_LIMIT}; chance alone gives about {m['rows'] * P_LIMIT:.0f}",
-        )
+    blank = [F.when(F.count(F.col(ident(c))) == 0, F.lit(c)) for c in df.columns]
+    return df.agg(
+        F.count("*").alias("rows"),
+        _figures(named(COUNT_NAMES), lambda x: F.count_if(x < MIN_GROUP_ROWS)).alias("small"),
+        _figures(named(P_NAMES), lambda x: F.count_if(x < P_LIMIT)).alias("tests"),
+        _figures(named(SPREAD_NAMES), lambda x: F.count_if(x.isNull() | (x == 0))).alias("flat"),
+        _figures(
+            columns_where(df, is_floating), lambda x: F.count_if(F.isnan(x) | (F.abs(x) == float("inf")))
+        ).alias("broken"),
+        F.array_compact(F.array(F.lit(None).cast("string"), *blank)).alias("blank"),
+    )
 
 
-def non_finite(m: dict[str, Any]) -> Caveat | None:
-    if found := _first(m, "bad"):
-        return Caveat(
-            "non-finite", "serious", f"{found[0]} holds {found[1]} values that are not finite numbers", True
-        )
+def _folded(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
 
-def singleton_groups(m: dict[str, Any]) -> Caveat | None:
-    if m["rows"] >= 2 and (found := _first(m, "flat")):
-        return Caveat(
-            "singleton-groups", "warning",
-            f"{found[1]} of {m['rows']} groups have no spread in {found[0]}: they hold a single row",
+def _asked_for(question: str) -> Column:
+    """Folded names that a breakdown in the question may mean: one, two or three words after "by" and the like."""
+    tails = F.regexp_extract_all(F.lit(question), F.lit(BREAKDOWN), F.lit(1))
+    sizes = F.sequence(F.lit(1), F.lit(BREAKDOWN_WORDS))
+    return F.flatten(
+        F.transform(
+            tails,
+            lambda tail: F.transform(
+                sizes, lambda k: _folded(F.array_join(F.slice(F.split(tail, r"\s+"), F.lit(1), k), ""))
+            ),
         )
+    )
 
 
-def empty_result(m: dict[str, Any]) -> Caveat | None:
-    blank = [k.split("|", 1)[1] for k, v in m.items() if k.startswith("filled|") and v == 0]
-    if m["rows"] and blank:
-        return Caveat("empty-result", "serious", f"{_join(blank)} is null in every row", True)
-
-
-def short_trend(question: str, rows: int) -> Caveat | None:
-    if any(w in question.lower() for w in TREND_WORDS) and rows < MIN_TREND_POINTS:
-        return Caveat("short-trend", "warning", f"{rows} points are too few to show a direction")
-
-
-def ungrouped_result(question: str, p: Profile, rows: int) -> Caveat | None:
-    """A breakdown by a real column was asked for, and at most one row came back."""
-    if rows > 1:
-        return None
-    names = {_fold(c.name): c.name for c in p.columns}
-    for match in re.finditer(BREAKDOWN, question, re.IGNORECASE):
-        words = match.group(1).split()[:BREAKDOWN_WORDS]
-        for size in range(len(words), 0, -1):
-            if column := names.get(_fold("".join(words[:size]))):
-                return Caveat(
-                    "ungrouped-result", "serious", f"a breakdown by {column} was asked for, one row came back"
-                )
-    return None
+def source_facts(source: Profile, answer: Answer, question: str) -> DataFrame:
+    """One row from the profile table: its size, and the columns used that have outliers, skew or nulls."""
+    table = source.to_df(answer.df.sparkSession)
+    used = F.col("name").isin(list(answer.columns))
+    rows = source.sampled_rows or source.n_rows
+    outliers = F.greatest("iqr_outliers", "modified_z_outliers") / F.nullif(F.lit(rows), F.lit(0))
 
+    def names(test: Column, text: Column = F.col("name")) -> Column:
+        return F.sort_array(F.collect_list(F.when(used & test, text)))
 
-def _fold(text: str) -> str:
-    return re.sub(r"[^a-z0-9]", "", text.lower())
+    nulls = F.format_string("%s (%.0f%%)", F.col("name"), F.col("null_rate") * 100)
+    facts = table.agg(
+        names(F.col("numeric").isNotNull() & (outliers >= OUTLIER_RATE)).alias("with_outliers"),
+        names(F.abs("numeric.skew") >= SKEW_LIMIT).alias("skewed"),
+        names(F.col("null_rate") >= NULL_RATE, nulls).alias("with_nulls"),
+        F.min(F.when(F.array_contains(_asked_for(question), _folded(F.col("name"))), F.col("name"))).alias("breakdown"),
+    )
+    return facts.select(
+        "*",
+        F.lit(source.estimated).alias("estimated"),
+        F.lit(source.n_rows).cast("long").alias("source_rows"),
+        F.lit(source.sampled_rows).cast("long").alias("seen_rows"),
+    )
 
 
-def _join(names: Sequence[str]) -> str:
-    return names[0] if len(names) == 1 else f"{', '.join(names[:-1])} and {names[-1]}"
+# ---- rules ---------------------------------------------------------------------------------------
 
 
-# ---- verdict -------------------------------------------------------------------------------------
+def result_rules(question: str = "") -> list[Rule]:
+    """What the result alone gives away."""
+    rows = F.col("rows")
 
+    def hit(figures: str) -> Column:
+        return F.get(F.filter(figures, lambda f: f["n"] > 0), F.lit(0))
 
-def verdict(caveats: Sequence[Caveat], answered: bool | None) -> str:
-    if answered is False or any(c.fatal for c in caveats):
-        return "unsound"
-    return "qualified" if caveats else "sound"
+    small, flat, broken = hit("small"), hit("flat"), hit("broken")
+    significant = F.get("tests", F.lit(0))["n"]
+    trend = F.lit(any(w in question.lower() for w in TREND_WORDS))
+    return [
+        Rule("tiny-groups", "warning", small.isNotNull(),
+             f"%d of %d groups have fewer than {MIN_GROUP_ROWS} rows (smallest: %s)", (small["n"], rows, small["least"])),
+        Rule("multiple-comparisons", "serious", significant.isNotNull() & (rows >= MANY_COMPARISONS),
+             f"%d p-values, %d below {P_LIMIT}; chance alone gives about %.0f", (rows, significant, rows * P_LIMIT)),
+        Rule("non-finite", "serious", broken.isNotNull(),
+             "%s holds %d values that are not finite numbers", (broken["column"], broken["n"]), fatal=True),
+        Rule("short-trend", "warning", trend & (rows < MIN_TREND_POINTS),
+             "%d points are too few to show a direction", (rows,)),
+        Rule("singleton-groups", "warning", flat.isNotNull() & (rows >= 2),
+             "%d of %d groups have no spread in %s: they hold a single row", (flat["n"], rows, flat["column"])),
+        Rule("empty-result", "serious", (rows > 0) & (F.size("blank") > 0),
+             "null in every row: %s", (F.array_join("blank", ", "),), fatal=True),
+    ]
 
 
-def confidence(caveats: Sequence[Caveat], answered: bool | None) -> float:
-    """An index for sorting, not a probability: every caveat multiplies it down."""
-    score = 1.0
-    for c in caveats:
-        score *= 1.0 - WEIGHT[c.severity]
-    return round(score * (1.0 - UNANSWERED_WEIGHT if answered is False else 1.0), 2)
+def source_rules(answer: Answer) -> list[Rule]:
+    """What the source says about the way the answer was computed."""
+    rows, used = F.col("source_rows"), answer.aggregates
+    pearson_only = F.lit("pearson" in used and "spearman" not in used)
 
+    def listed(column: str) -> tuple[Column]:
+        return (F.array_join(column, ", "),)
 
-def review(question: str, answer: Answer, profile: Profile, answered: bool | None = None) -> Critique:
-    """All caveats of an answer, most serious first, with the verdict they add up to."""
-    m = measure(answer.df)
-    found = [
-        sampled_source(profile),
-        small_source(profile),
-        tiny_groups(m),
-        correlation_outliers(profile, answer),
-        mean_on_skewed(profile, answer),
-        unacknowledged_nulls(profile, answer),
-        multiple_comparisons(m),
-        non_finite(m),
-        short_trend(question, m["rows"]),
-        ungrouped_result(question, profile, m["rows"]),
-        singleton_groups(m),
-        empty_result(m),
+    return [
+        Rule("sampled-source", "serious", F.col("estimated"),
+             "computed on %d sampled rows of about %d: it describes the sample", (F.col("seen_rows"), rows)),
+        Rule("small-source", "warning", rows.between(1, MIN_ROWS - 1), "the source has %d rows only", (rows,)),
+        Rule("correlation-outliers", "serious", pearson_only & (F.size("with_outliers") > 0),
+             "Pearson on columns with outliers (%s); a few rows can make or hide it. Add Spearman", listed("with_outliers")),
+        Rule("mean-on-skewed", "warning", F.lit("mean" in used) & (F.size("skewed") > 0),
+             "mean of heavily skewed %s; look at the median", listed("skewed")),
+        Rule("unacknowledged-nulls", "warning", F.lit(not answer.handles_nulls) & (F.size("with_nulls") > 0),
+             "nulls left the denominator unnoticed: %s", listed("with_nulls")),
+        Rule("ungrouped-result", "serious", F.col("breakdown").isNotNull() & (F.col("rows") <= 1),
+             "a breakdown by %s was asked for, one row came back", (F.col("breakdown"),)),
     ]
-    caveats = sorted(filter(None, found), key=lambda c: SEVERITY_ORDER.index(c.severity))
-    if any(c.code in WRONG_QUESTION for c in caveats):
-        answered = False
-    return Critique(verdict(caveats, answered), confidence(caveats, answered), tuple(caveats), answered)
 
 
-def caveats_df(spark: SparkSession, caveats: Sequence[Caveat]) -> DataFrame:
-    rows = [(c.code, c.severity, c.message, c.fatal) for c in caveats]
-    return spark.createDataFrame(rows, "code string, severity string, message string, fatal boolean")
+def fired(rules: Sequence[Rule]) -> Column:
+    """The caveats of the rules that fire, most serious first."""
+    return F.sort_array(F.array_compact(F.array(*[r.caveat(i) for i, r in enumerate(rules)])))
 
 
-# ---- the same checks over tables of results and of caveats ---------------------------------------
+def caveats(facts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row for each caveat, of nulls if there is none. ``rows`` is the size of the result."""
+    return facts.select("rows", F.inline_outer(fired(rules))).drop("rank", "place")
 
 
-def group_size_check(df: DataFrame, count: str) -> DataFrame:
-    """Rows, groups below the limit and the smallest group of a result table."""
-    n = F.col(ident(count))
-    return df.agg(
-        F.count("*").alias("groups"), F.count_if(n < MIN_GROUP_ROWS).alias("tiny"), F.min(n).alias("smallest")
-    )
+def result_caveats(df: DataFrame, question: str = "") -> DataFrame:
+    return caveats(result_facts(df), result_rules(question))
 
 
-def comparison_check(df: DataFrame, p: str) -> DataFrame:
-    """Tests, tests below the limit, and how many chance alone would put there."""
-    return df.agg(
-        F.count("*").alias("tests"),
-        F.count_if(F.col(ident(p)) < P_LIMIT).alias("significant"),
-        (F.count("*") * P_LIMIT).alias("expected"),
-    )
-
-
-def finite_check(df: DataFrame) -> DataFrame:
-    """Non-finite and missing values of every floating column."""
-    columns = [f.name for f in df.schema.fields if is_floating(f.dataType)]
-    return wide(
-        df,
-        columns,
-        lambda c: {
-            "rows": F.count("*"),
-            "non_finite": F.count_if(F.isnan(c) | (F.abs(c) == float("inf"))),
-            "nulls": F.count_if(c.isNull()),
-        },
+def review(question: str, answer: Answer, source: Profile, answered: bool | None = None) -> Critique:
+    """All caveats of an answer, most serious first, with the verdict they add up to."""
+    facts = result_facts(answer.df).join(F.broadcast(source_facts(source, answer, question)))  # one row each
+    listed = facts.select("rows", fired(source_rules(answer) + result_rules(question)).alias("listed"))
+    each = listed.select("rows", "listed", F.lit(answered).cast("boolean").alias("answered"), F.inline_outer("listed"))
+    judged = verdicts(each, ["rows", "listed"]).first()
+    found = [Caveat(c["code"], c["severity"], c["message"], c["fatal"]) for c in judged["listed"]]
+    return Critique(
+        judged["verdict"], judged["confidence"], tuple(found), answered if judged["answered"] else False, judged["rows"]
     )
 
 
@@ -306,7 +239,8 @@ def verdicts(findings: DataFrame, by: Sequence[str]) -> DataFrame:
     """Verdict and confidence of many findings at once.
 
     ``findings`` has one row for each caveat (code, severity, fatal), with a null code where a
-    finding has none, and ``answered``.
+    finding has none, and ``answered``. The confidence is an index for sorting, not a probability: every caveat
+    multiplies it down.
     """
     weight = F.coalesce(
         F.create_map(*[F.lit(x) for kv in WEIGHT.items() for x in kv])[F.col("severity")], F.lit(0.0)
@@ -327,6 +261,6 @@ def verdicts(findings: DataFrame, by: Sequence[str]) -> DataFrame:
         "caveats",
         "answered",
         F.when(unsound, "unsound").when(F.col("caveats") > 0, "qualified").otherwise("sound").alias("verdict"),
-        # Half a hundredth (0.595, 0.665) goes down, as in :func:`confidence`.
+        # Half a hundredth (0.595, 0.665) goes down.
         F.round(F.col("score") * keep - 1e-12, 2).alias("confidence"),
     )

@@ -28,25 +28,31 @@ def result(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
-def test_source_checks():
-    assert C.sampled_source(source(estimated=True)).severity == "serious"
-    assert C.sampled_source(source()) is None
-    assert C.small_source(source(rows=29)) and C.small_source(source(rows=30)) is None
-    assert C.small_source(source(rows=0)) is None
+def about(spark, profile, columns=(), aggregates=(), handles_nulls=False):
+    """Caveats of a harmless result that was computed from ``columns``."""
+    df = result(spark, [(float(i),) for i in range(40)], "v double")
+    found = C.review("q", Answer(df, "x", columns, aggregates, handles_nulls), profile).caveats
+    return {c.code: c for c in found}
 
 
-def test_column_checks():
+def test_source_checks(spark):
+    assert about(spark, source(estimated=True, g={}))["sampled-source"].severity == "serious"
+    assert not about(spark, source(g={}))
+    assert "small-source" in about(spark, source(rows=29, g={})) and not about(spark, source(rows=30, g={}))
+    assert not about(spark, source(rows=0, g={}))
+
+
+def test_column_checks(spark):
     p = source(rows=100, a={"iqr_outliers": 1}, b={}, c={"skew": -2.0}, d={"null_rate": 0.05})
-    pearson = Answer(None, "x", ("a", "b"), ("pearson",))
-    assert "a" in C.correlation_outliers(p, pearson).message
-    assert C.correlation_outliers(p, Answer(None, "x", ("a",), ("pearson", "spearman"))) is None
-    assert C.correlation_outliers(p, Answer(None, "x", ("b",), ("pearson",))) is None
-    assert C.mean_on_skewed(p, Answer(None, "x", ("c",), ("mean",)))
-    assert C.mean_on_skewed(p, Answer(None, "x", ("c",), ("median",))) is None
-    assert C.mean_on_skewed(p, Answer(None, "x", ("a",), ("mean",))) is None
-    assert C.unacknowledged_nulls(p, Answer(None, "x", ("d",), ("sum",)))
-    assert C.unacknowledged_nulls(p, Answer(None, "x", ("d",), ("sum",), True)) is None
-    assert C.unacknowledged_nulls(p, Answer(None, "x", ("a",), ("sum",))) is None
+    assert "(a)" in about(spark, p, ("a", "b"), ("pearson",))["correlation-outliers"].message
+    assert not about(spark, p, ("a",), ("pearson", "spearman"))
+    assert not about(spark, p, ("b",), ("pearson",))
+    assert set(about(spark, p, ("c",), ("mean",))) == {"mean-on-skewed"}
+    assert not about(spark, p, ("c",), ("median",))
+    assert not about(spark, p, ("a",), ("mean",))
+    assert "d (5%)" in about(spark, p, ("d",), ("sum",))["unacknowledged-nulls"].message
+    assert not about(spark, p, ("d",), ("sum",), True)
+    assert not about(spark, p, ("a",), ("sum",))
 
 
 @pytest.mark.parametrize(
@@ -100,24 +106,27 @@ def test_wrong_question_is_unsound(spark):
     assert got.verdict == "unsound" and got.answered is False and got.confidence == round(0.7 * 0.2, 2)
 
 
-def test_confidence_is_monotone():
-    note, warn, bad = (C.Caveat("c", s, "") for s in ("note", "warning", "serious"))
-    scores = [C.confidence(c, None) for c in ([], [note], [warn], [bad], [bad, warn], [bad, bad])]
+def judged(spark, severities, answered=None, code="x"):
+    rows = [(code, s, False, answered) for s in severities] or [(None, None, None, answered)]
+    df = result(spark, rows, "code string, severity string, fatal boolean, answered boolean")
+    return C.verdicts(df, []).first()
+
+
+def test_confidence_is_monotone(spark):
+    cases = ([], ["note"], ["warning"], ["serious"], ["serious", "warning"], ["serious", "serious"])
+    scores = [judged(spark, c)["confidence"] for c in cases]
     assert scores == sorted(scores, reverse=True) and scores[0] == 1.0
-    assert C.verdict([], None) == "sound" and C.verdict([warn], True) == "qualified"
-    assert C.verdict([], False) == "unsound"
+    assert judged(spark, [])["verdict"] == "sound" and judged(spark, ["warning"], True)["verdict"] == "qualified"
+    assert judged(spark, [], False)["verdict"] == "unsound"
 
 
-def test_batch_verdicts_agree(spark):
+def test_batch_verdicts(spark):
     rows = [("a", None, None, None), ("b", "x", "warning", False), ("b", "y", "serious", False),
             ("c", "empty-result", "serious", True)]
     df = result(spark, rows, "f string, code string, severity string, fatal boolean").withColumn(
         "answered", F.lit(None).cast("boolean"))
     got = {r["f"]: (r["verdict"], r["confidence"]) for r in C.verdicts(df, ["f"]).collect()}
-    warn, bad = C.Caveat("x", "warning", ""), C.Caveat("y", "serious", "")
-    assert got["a"] == ("sound", 1.0)
-    assert got["b"] == ("qualified", C.confidence([warn, bad], None))
-    assert got["c"] == ("unsound", C.confidence([bad], False))
+    assert got == {"a": ("sound", 1.0), "b": ("qualified", 0.59), "c": ("unsound", 0.14)}
 
 
 def test_recipes_declare_what_they_use(spark):
