@@ -14,7 +14,7 @@ def l2(orders):
     source = L.look(orders, "orders")
     asked = L.Question("what is the average price for each priority", {"category": "o_orderpriority", "measure": "o_totalprice"})
     found = L.ask(source, asked, L.route_all(source, [asked])[0])
-    return L.masked_preview(found.answer.df, found.answer.df.columns).select(
+    return L.masked_preview(found.answer.df, total=found.critique.rows).select(
         "*", F.lit(found.recipe).alias("recipe"), F.lit(found.critique.verdict).alias("verdict"),
         F.lit(found.critique.confidence).alias("confidence"),
     )

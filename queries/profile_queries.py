@@ -299,17 +299,33 @@ def m_report(documents):
     )
 
 
-@query("m_masked_preview", "customer")
+@query("m_masked_preview", "customer", sql="""
+SELECT format('{:t,}', c_custkey) AS c_custkey, '<redacted>' AS c_name, format('{:t,}', c_nationkey) AS c_nationkey, c_mktsegment,
+  (SELECT count(*) FROM customer) - 25 AS rows_not_shown FROM customer ORDER BY customer.c_custkey DESC LIMIT 25""")
 def m_preview(customer):
-    return card.masked_preview(customer, ["c_custkey"])
+    return card.masked_preview(customer.drop("c_acctbal"), [F.desc("c_custkey")])
 
 
-@query("k_correlations", "lineitem", sql="SELECT a, b, round(r, 2) AS r FROM (" + "\nUNION ALL\n".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM lineitem"
-    for i, a in enumerate(LINEITEM_NUMERIC) for b in LINEITEM_NUMERIC[i + 1 :]
-) + ") WHERE abs(r) >= 0.5 ORDER BY abs(r) DESC LIMIT 8")
+_RELATED = "l_quantity l_extendedprice l_tax net gross half tens".split()
+
+
+@query("k_correlations", "lineitem", sql="""
+WITH d AS (SELECT l_quantity, l_extendedprice, l_tax, l_extendedprice * (1 - l_discount) AS net,
+  l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross, CASE WHEN l_linenumber <= 3 THEN l_quantity / 2 END AS half,
+  CASE WHEN l_linenumber >= 3 THEN floor(l_quantity / 10) END AS tens FROM lineitem),
+p AS (""" + "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM d"
+    for i, a in enumerate(_RELATED) for b in _RELATED[i + 1 :]
+) + """)
+SELECT a, b, round(r, 2) AS r, count(*) OVER () AS pairs FROM p WHERE abs(r) >= 0.5 ORDER BY abs(r) DESC, a, b LIMIT 8""")
 def k_correlations(lineitem):
-    return card.correlation_shortlist(lineitem, LINEITEM_NUMERIC)
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    df = lineitem.select(
+        "l_quantity", "l_extendedprice", "l_tax", net.alias("net"), (net * (1 + F.col("l_tax"))).alias("gross"),
+        F.when(F.col("l_linenumber") <= 3, F.col("l_quantity") / 2).alias("half"),
+        F.when(F.col("l_linenumber") >= 3, F.floor(F.col("l_quantity") / 10)).alias("tens"),
+    )
+    return card.correlation_shortlist(df, _RELATED)
 
 
 @query("k_examples", "customer", sql="""

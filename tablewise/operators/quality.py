@@ -8,17 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions.text import strip
-from tablewise.functions.types import columns_where, ident, is_floating, is_numeric, is_string
-from tablewise.operators.ordered import group_quantiles
-from tablewise.operators.stats import (
-    QUARTILES,
-    column_shapes,
-    nulls_distinct,
-    numeric_values,
-    value_table,
-    wide,
-)
-from tablewise.session import materialise, pin
+from tablewise.functions.types import columns_where, comparable, ident, is_floating, is_numeric, is_string
+from tablewise.operators.stats import QUARTILES, column_quantiles, column_shapes, nulls_distinct, wide, wide_by_name
 
 # Thresholds of the findings.
 NULL_RATE_NOTE = 0.20
@@ -49,8 +40,8 @@ def duplicates(df: DataFrame) -> DataFrame:
     copied over and over does not load one task.
     """
     texts = set(columns_where(df, is_string))
-    plain = [F.col(ident(c)) for c in df.columns]
-    normal = [F.lower(strip(F.col(ident(c)))) if c in texts else F.col(ident(c)) for c in df.columns]
+    plain = [comparable(F.col(ident(f.name)), f.dataType) for f in df.schema.fields]
+    normal = [F.lower(strip(x)) if c in texts else x for c, x in zip(df.columns, plain)]
     prints = df.select(row_fingerprint(plain).alias("exact"), row_fingerprint(normal).alias("near"))
     exact = prints.groupBy("exact", "near").agg(F.count("*").alias("copies"))
     near = exact.groupBy("near").agg(F.sum("copies").alias("copies"), F.count("*").alias("kinds"))
@@ -64,7 +55,11 @@ def duplicates(df: DataFrame) -> DataFrame:
 def null_issues(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``all_null``, ``high_null_rate`` and ``null_rate`` findings."""
     columns = list(columns or df.columns)
-    rates = wide(df, columns, lambda c: {"rows": F.count("*"), "nulls": F.count_if(c.isNull())})
+    return null_kinds(wide(df, columns, lambda c: {"rows": F.count("*"), "nulls": F.count_if(c.isNull())}))
+
+
+def null_kinds(rates: DataFrame) -> DataFrame:
+    """The findings for a table of (column, rows, nulls)."""
     rate = F.col("nulls") / F.nullif(F.col("rows"), F.lit(0))
     kind = (
         F.when((F.col("rows") > 0) & (F.col("nulls") == F.col("rows")), "all_null")
@@ -83,7 +78,7 @@ def shape_issues(
     df: DataFrame, semantics: dict[str, str], *, shapes: DataFrame | None = None
 ) -> DataFrame:
     """``constant``, ``near_constant``, ``high_cardinality`` and ``class_imbalance`` findings."""
-    shape = shapes if shapes is not None else column_shapes(value_table(df, list(semantics)))
+    shape = shapes if shapes is not None else column_shapes(df, list(semantics))
     shape = shape.where(F.col("column").isin(*semantics) & (F.col("distinct") > 0))
     semantic = F.create_map(*[F.lit(x) for kv in semantics.items() for x in kv])[F.col("column")]
     shape = shape.withColumn("semantic", semantic)
@@ -114,51 +109,40 @@ def outlier_counts(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     *,
-    values: DataFrame | None = None,
     centre: DataFrame | None = None,
     bound: int | None = None,
 ) -> DataFrame:
     """IQR-fence and modified-z outliers of each numeric column.
 
-    Works on counted values: the table is scanned once, and quartiles, median absolute deviation and
-    outlier counts are weighted aggregates over the distinct values. ``centre`` gives the quartiles
-    by column if they are known.
+    Quartiles and the median deviation are exact column quantiles; what counts as an outlier is then a fixed test, so
+    one wide aggregate counts all columns. ``centre`` gives the quartiles by column if they are known.
     """
     columns = list(columns or columns_where(df, is_numeric))
-    if values is None:
-        values = materialise(value_table(df, columns))
-    counted = numeric_values(values, columns)
+    x = {c: F.col(ident(c)).cast("double") for c in columns}
     if centre is None:
-        centre = pin(group_quantiles(counted, ["column"], "value", QUARTILES, weight="n", bound=bound))
-    # One row for each column: safe to broadcast at any table size.
-    apart = counted.join(F.broadcast(centre), "column").withColumn(
-        "deviation", F.abs(F.col("value") - F.col("median"))
-    )
-    mad = group_quantiles(apart, ["column"], "deviation", {"mad": 0.5}, weight="n", bound=bound)
-    mean_ad = apart.groupBy("column").agg(
-        (F.sum(F.col("deviation") * F.col("n")) / F.sum("n")).alias("mean_ad")
-    )
-    spread = F.broadcast(pin(mad.join(mean_ad, "column")))
-    iqr = F.col("q3") - F.col("q1")
-    outside = (F.col("value") < F.col("q1") - FENCE * iqr) | (F.col("value") > F.col("q3") + FENCE * iqr)
-    score = F.when(F.col("mad") > 0, F.col("deviation") * MAD_SCALE / F.nullif("mad", F.lit(0.0))).when(
-        F.col("mean_ad") > 0, F.col("deviation") / (MEAN_AD_SCALE * F.nullif("mean_ad", F.lit(0.0)))
-    )
-
-    def rows_where(test: Column) -> Column:
-        return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
-
-    found = apart.join(spread, "column").groupBy("column").agg(
-        F.sum("n").alias("rows"),
-        rows_where((iqr > 0) & outside).alias("iqr"),
-        rows_where(score > Z_CUTOFF).alias("z"),
-    )
-    enough = F.col("rows") >= MIN_OUTLIER_VALUES
-    return found.select(
-        "column",
-        F.when(enough, F.col("iqr")).otherwise(F.lit(0)).alias("iqr_outliers"),
-        F.when(enough, F.col("z")).otherwise(F.lit(0)).alias("modified_z_outliers"),
-    )
+        centre = column_quantiles(df, x, QUARTILES, bound=bound)
+    middle = {r["column"]: r for r in centre.collect()}  # one row for each column
+    away = {c: F.abs(x[c] - F.lit(middle[c]["median"])) for c in columns}
+    spread = {r["column"]: r["mad"] for r in column_quantiles(df, away, {"mad": 0.5}, bound=bound).collect()}
+    level = [c for c in columns if spread[c] == 0]  # most values are equal: the mean deviation has to serve
+    means = dict(zip(level, df.agg(*[F.avg(away[c]) for c in level]).first())) if level else {}
+
+    def fields(name: str, _: Column) -> dict[str, Column]:
+        q1, q3 = middle[name]["q1"], middle[name]["q3"]
+        fence = z = F.lit(False)
+        if q1 is not None and q3 > q1:
+            fence = (x[name] < q1 - FENCE * (q3 - q1)) | (x[name] > q3 + FENCE * (q3 - q1))
+        if spread[name]:
+            z = away[name] * MAD_SCALE / spread[name] > Z_CUTOFF
+        elif means.get(name):
+            z = away[name] / (MEAN_AD_SCALE * means[name]) > Z_CUTOFF
+        enough = F.count(x[name]) >= MIN_OUTLIER_VALUES
+        return {
+            "iqr_outliers": F.when(enough, F.count_if(fence)).otherwise(0).cast("long"),
+            "modified_z_outliers": F.when(enough, F.count_if(z)).otherwise(0).cast("long"),
+        }
+
+    return wide_by_name(df, columns, fields)
 
 
 def candidate_keys(df: DataFrame) -> DataFrame:
@@ -167,7 +151,6 @@ def candidate_keys(df: DataFrame) -> DataFrame:
     An approximate distinct count rules out most columns, so only near-unique ones are counted
     exactly.
     """
-    from tablewise.functions.types import is_floating
     columns = columns_where(df, lambda t: not is_floating(t))
     if not columns:
         return df.sparkSession.createDataFrame([], "column string")

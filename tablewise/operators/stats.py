@@ -1,27 +1,38 @@
-"""Statistics of many columns in one job: a wide aggregate, or stacked (column, value) pairs."""
+"""Statistics of many columns in one job: a wide aggregate over native types, or stacked (column, value) pairs.
+
+Moments and text facts are wide aggregates and move no values. Quantiles are bracketed by sketches first, so that
+only the values around them are counted. Exact distinct counts shuffle values once, in the type they have.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablewise.functions import dates
-from tablewise.functions.numeric import lenient_double, safe_corr
+from tablewise.functions.numeric import lenient_double
 from tablewise.functions.text import strip
-from tablewise.functions.types import columns_where, ident, is_numeric, is_string
-from tablewise.operators.ordered import group_quantiles
+from tablewise.functions.types import columns_where, comparable, ident, is_floating, is_numeric, is_string
+from tablewise.operators.ordered import running
 from tablewise.session import materialise, pin
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 TOP_VALUES = 5
-#: Characters up to which a value is kept as it is in a value table.
+#: Characters up to which a text travels as it is where values are only counted; longer ones as a digest.
 LONG_TEXT = 256
-DIGEST = "md5:"
-#: Pairs of columns correlated in one wide aggregate.
-WIDE_PAIRS = 10
+#: Sketches of quantiles err by one part in ``ACCURACY`` of the rows; brackets are four times as wide.
+ACCURACY = 10_000
+MARGIN = 4 / ACCURACY
+#: Share of the second moment below which a deviation is rounding: the side is constant.
+CONSTANT = 1e-13
 
 
 def wide_by_name(
@@ -46,123 +57,145 @@ def wide(
     return wide_by_name(df, columns, lambda _, c: fields(c))
 
 
-def stack(df: DataFrame, columns: Sequence[str], cast: str) -> DataFrame:
-    """(column, value) pairs: the columns under each other."""
-    pairs = [
-        F.struct(F.lit(c).alias("column"), F.col(ident(c)).cast(cast).alias("value")) for c in columns
-    ]
-    return df.select(F.inline(F.array(*pairs)))
-
-
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n) for the non-null values of all columns: one shuffle, combined map-side."""
-    pairs = stack(df, columns, "string").where(F.col("value").isNotNull())
-    return pairs.groupBy("column", "value").agg(F.count("*").alias("n"))
+    """(column, value, n) for the non-null values of all columns as text: one shuffle, combined map-side."""
 
+    def shown(c: str) -> Column:
+        x = F.col(ident(c))
+        return (x + 0.0 if is_floating(df.schema[c].dataType) else x).cast("string")  # -0.0 is 0.0
 
-def value_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Like :func:`value_counts`, with a null row for missing values and long text as a digest.
+    pairs = [F.struct(F.lit(c).alias("column"), shown(c).alias("value")) for c in columns]
+    stacked = df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+    return stacked.groupBy("column", "value").agg(F.count("*").alias("n"))
 
-    Almost everything about a column can be read off this table, and it is as small as the distinct
-    values. A 128-bit digest stands for text above ``LONG_TEXT`` characters, which is then counted
-    but not shown.
-    """
-    cell = F.col("value")
-    short = F.when(F.char_length(cell) > LONG_TEXT, F.concat(F.lit(DIGEST), F.md5(cell))).otherwise(cell)
-    pairs = stack(df, list(columns or df.columns), "string").withColumn("value", short)
-    return pairs.groupBy("column", "value").agg(F.count("*").alias("n"))
 
+def column_shapes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows, nulls, exact distinct values and the largest and smallest frequency of each column.
 
-def column_shapes(values: DataFrame) -> DataFrame:
-    """Rows, nulls, distinct values and the largest and smallest frequency, from a value table."""
-    missing = F.col("value").isNull()
+    Values are counted in their own type (whole, real or text; long text as a 128-bit digest): one shuffle, combined
+    map-side, that is aggregated at once and written nowhere.
+    """
+    empty = {"text": F.lit(None).cast("string"), "whole": F.lit(None).cast("long"), "real": F.lit(None).cast("double")}
+
+    def typed(c: str) -> Column:
+        dtype, x = df.schema[c].dataType, F.col(ident(c))
+        if is_floating(dtype):
+            kind, cell = "real", x.cast("double")
+        elif isinstance(dtype, T.IntegralType):
+            kind, cell = "whole", x.cast("long")
+        else:
+            kind, cell = "text", comparable(x, dtype).cast("string")
+            cell = F.when(F.char_length(cell) > LONG_TEXT, F.concat(F.lit("md5:"), F.md5(cell))).otherwise(cell)
+        parts = empty | {kind: cell}
+        return F.struct(F.lit(c).alias("column"), *[v.alias(k) for k, v in parts.items()])
+
+    cells = df.select(F.inline(F.array(*[typed(c) for c in columns or df.columns])))
+    counts = cells.groupBy("column", *empty).agg(F.count("*").alias("n"))
+    missing = F.coalesce(F.col("text"), F.col("whole").cast("string"), F.col("real").cast("string")).isNull()
     present = F.when(~missing, F.col("n"))
-    return values.groupBy("column").agg(
+    return counts.groupBy("column").agg(
         F.sum("n").alias("rows"),
         F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("nulls"),
-        F.count("value").alias("distinct"),
+        F.count(present).alias("distinct"),
         F.sum(present).alias("n"),
         F.max(present).alias("max_n"),
         F.min(present).alias("min_n"),
-        F.max(F.col("value").startswith(DIGEST)).alias("long_text"),
     )
 
 
 def nulls_distinct(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows, nulls, null rate and exact distinct non-null values of each column.
-
-    One shuffle of distinct values instead of the row expansion that several ``count_distinct``
-    would plan.
-    """
-    shapes = column_shapes(value_table(df, columns))
-    return shapes.select(
+    """Rows, nulls, null rate and exact distinct non-null values of each column."""
+    return column_shapes(df, columns).select(
         "column", "rows", "nulls", "distinct", (F.col("nulls") / F.col("rows")).alias("null_rate")
     )
 
 
-def numeric_values(values: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The non-null part of a value table for numeric columns, as doubles."""
-    kept = values.where(F.col("column").isin(*columns) & F.col("value").isNotNull())
-    return kept.select("column", F.col("value").cast("double").alias("value"), "n")
+def column_quantiles(
+    df: DataFrame, values: Mapping[str, Column], probabilities: Mapping[str, float], *, bound: int | None = None
+) -> DataFrame:
+    """Exact, linearly interpolated quantiles of each of ``values``: one row (column, quantiles).
+
+    A first scan brackets every quantile by sketches of known error. A second counts the values below each bracket, and
+    only the few inside it are counted one by one and put in order. A bracket of a single value is the answer.
+    """
+    names = list(values)
+    table = df.select(*[x.cast("double").alias(f"v{i}") for i, x in enumerate(values.values())])
+    tried = sorted({min(max(p + d, 0.0), 1.0) for p in probabilities.values() for d in (-MARGIN, MARGIN)})
+    seen = table.agg(*[
+        F.struct(F.count(c).alias("n"), F.min(c).alias("least"), F.max(c).alias("most"),
+                 F.percentile_approx(c, tried, ACCURACY).alias("at")).alias(c)
+        for c in table.columns
+    ]).first()
+    found: dict[tuple[int, str], float] = {}
+    brackets: dict[tuple[int, str], tuple[float, float]] = {}
+    for i, c in enumerate(table.columns):
+        for name, p in probabilities.items():
+            if not (s := seen[c])["n"]:
+                continue
+            low, high = (s["at"][tried.index(min(max(p + d, 0.0), 1.0))] for d in (-MARGIN, MARGIN))
+            if s["n"] * MARGIN < 2:  # so few rows that a bracket may miss the next value
+                low, high = s["least"], s["most"]
+            if low == high:
+                found[i, name] = low
+            else:
+                brackets[i, name] = (low, high)
+    if brackets:
+        found |= _between(table, seen, brackets, probabilities, bound)
+    rows = [(c, *[found.get((i, q)) for q in probabilities]) for i, c in enumerate(names)]
+    return df.sparkSession.createDataFrame(rows, "column string" + "".join(f", `{q}` double" for q in probabilities))
+
+
+def _between(table, seen, brackets, probabilities, bound) -> dict[tuple[int, str], float]:
+    """The quantiles whose brackets hold several values."""
+    low = {k: F.col(f"v{k[0]}") >= F.lit(b[0]) for k, b in brackets.items()}
+    inside = {k: low[k] & (F.col(f"v{k[0]}") <= F.lit(b[1])) for k, b in brackets.items()}
+    below = table.agg(*[F.count_if(~test) for test in low.values()]).first()
+    cells = [
+        F.struct(F.lit(i).alias("i"), F.lit(q).alias("q"), F.when(test, F.col(f"v{i}")).alias("x"))
+        for (i, q), test in inside.items()
+    ]
+    near = table.where(reduce(lambda a, b: a | b, inside.values())).select(F.inline(F.array(*cells)))
+    counted = materialise(near.where("x IS NOT NULL").groupBy("i", "q", "x").agg(F.count("*").alias("n")))
+    ordered = running(counted, ["i", "q"], ["x"], sums={"upto": F.col("n")}, bound=bound)
+    places = []
+    for (i, q), before in zip(brackets, below):
+        at = probabilities[q] * (seen[f"v{i}"]["n"] - 1)
+        places.append((i, q, math.floor(at) - before, math.ceil(at) - before, at - math.floor(at)))
+    wanted = table.sparkSession.createDataFrame(places, "i int, q string, first long, second long, part double")
+    matched = ordered.join(F.broadcast(wanted), ["i", "q"])  # one row for each quantile
+
+    def value_at(place: str) -> Column:
+        holds = (F.col("upto") - F.col("n") <= F.col(place)) & (F.col(place) < F.col("upto"))
+        return F.max(F.when(holds, F.col("x")))
+
+    picked = matched.groupBy("i", "q", "part").agg(value_at("first").alias("a"), value_at("second").alias("b"))
+    return {(r["i"], r["q"]): r["a"] + r["part"] * (r["b"] - r["a"]) for r in picked.collect()}
 
 
 def numeric_stats(
-    df: DataFrame,
-    columns: Sequence[str] | None = None,
-    *,
-    values: DataFrame | None = None,
-    bound: int | None = None,
+    df: DataFrame, columns: Sequence[str] | None = None, *, bound: int | None = None
 ) -> DataFrame:
-    """Min, max, mean, median, std, quartiles, zeros, negatives and skew, one row for each column.
-
-    Everything is a weighted aggregate over the value table (``values`` when the caller has one), so
-    a value that fills half the table is one row. Central moments take a second pass, around the mean
-    of the first, which also keeps them accurate.
-    """
+    """Min, max, mean, median, std, quartiles, zeros, negatives and skew, one row for each column."""
     columns = list(columns or columns_where(df, is_numeric))
-    if values is None:
-        values = materialise(value_table(df, columns))  # read three times
-    counted = numeric_values(values, columns)
-    x, n = F.col("value"), F.col("n")
-
-    def rows_where(test: Column) -> Column:
-        return F.coalesce(F.sum(F.when(test, n)), F.lit(0))
-
-    ends = pin(
-        counted.groupBy("column").agg(
-            F.sum(n).alias("rows"),
-            F.min(x).alias("minimum"),
-            F.max(x).alias("maximum"),
-            (F.sum(x * n) / F.sum(n)).alias("mean"),
-            rows_where(x == 0).alias("zeros"),
-            rows_where(x < 0).alias("negatives"),
-        )
-    )
-    d = x - F.col("mean")
-    moments = (
-        counted.join(F.broadcast(ends.select("column", "mean")), "column")  # one row for each column
-        .groupBy("column")
-        .agg(F.sum(n * d * d).alias("m2"), F.sum(n * d * d * d).alias("m3"))
-    )
-    middle = group_quantiles(counted, ["column"], "value", QUARTILES, weight="n", bound=bound)
-    out = moments.join(F.broadcast(ends), "column").join(F.broadcast(middle), "column", "left")
-    size = F.col("rows")
-    deviation = F.sqrt(F.col("m2") / F.nullif(size - 1, F.lit(0)))
-    third = F.sqrt(size.cast("double")) * F.col("m3") / F.nullif(F.pow("m2", F.lit(1.5)), F.lit(0.0))
+
+    def moments(c: Column) -> dict[str, Column]:
+        x = c.cast("double")
+        return {
+            "n": F.count(x), "minimum": F.min(x), "maximum": F.max(x), "mean": F.avg(x),
+            "std": F.stddev_samp(x), "zeros": F.count_if(x == 0), "negatives": F.count_if(x < 0),
+            "skew": F.when(F.count(x) >= 3, F.skewness(x)),
+        }
+
+    middle = column_quantiles(df, {c: F.col(ident(c)) for c in columns}, QUARTILES, bound=bound)
+    out = wide(df, columns, moments).join(F.broadcast(middle), "column")  # one row for each column
     return out.select(
-        "column", size.alias("n"), "minimum", "maximum", "mean", "median",
-        F.when(size >= 2, deviation).alias("std"), "q1", "q3", "zeros", "negatives",
-        F.when(size >= 3, third).alias("skew"),
+        "column", "n", "minimum", "maximum", "mean", "median", "std", "q1", "q3", "zeros", "negatives", "skew"
     )
 
 
-def categorical_stats(
-    df: DataFrame, columns: Sequence[str], top: int = TOP_VALUES, *, values: DataFrame | None = None
-) -> DataFrame:
+def categorical_stats(df: DataFrame, columns: Sequence[str], top: int = TOP_VALUES) -> DataFrame:
     """Distinct values, imbalance ratio and the most frequent values of each column."""
-    if values is None:
-        values = value_counts(df, columns)
-    counts = values.where(F.col("value").isNotNull() & F.col("column").isin(*columns))
+    counts = value_counts(df, columns)
     order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     # Only ``top`` rows of a column survive the map side, so the window stays small.
     ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
@@ -182,9 +215,8 @@ def categorical_stats(
     return shape.join(F.broadcast(best), "column", "left")  # one row for each column
 
 
-def text_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Character lengths and blank strings of each text column."""
-    columns = list(columns or columns_where(df, is_string))
+def text_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Lengths, blanks, numbers and texts shaped like dates, from the whole values of each text column."""
     return wide(
         df,
         columns,
@@ -194,10 +226,17 @@ def text_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
             "max_length": F.max(F.char_length(c)),
             "mean_length": F.avg(F.char_length(c)),
             "empty_strings": F.count_if(strip(c) == ""),
+            "numeric_text": (F.count(c) > 0) & (F.count_if(c.isNotNull() & lenient_double(c).isNull()) == 0),
+            "shaped": F.count_if(c.rlike(dates.SHAPE)),
         },
     )
 
 
+def text_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Character lengths and blank strings of each text column."""
+    return text_facts(df, list(columns or columns_where(df, is_string))).drop("numeric_text", "shaped")
+
+
 def temporal_stats(df: DataFrame, formats: Mapping[str, str | None]) -> DataFrame:
     """Earliest, latest and distinct values. ``formats`` maps a column to its text format or None."""
     parsed = df.select(
@@ -213,35 +252,40 @@ def temporal_stats(df: DataFrame, formats: Mapping[str, str | None]) -> DataFram
     return ends.join(distinct, "column")
 
 
-def date_scores(values: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """For each text column and date format: values, values parsed, and the range of years.
+def date_scores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """For each text column and date format: values parsed, and the range of years.
 
-    Works on the value table, so a date that occurs a million times is parsed once.
+    Works on counted values, so a date that occurs a million times is parsed once.
     """
-    values = values.where(F.col("value").isNotNull() & F.col("column").isin(*columns))
     tries = F.array(
         *[
             F.struct(F.lit(fmt).alias("format"), F.year(dates.parse_date(F.col("value"), fmt)).alias("year"))
             for fmt, _ in dates.FORMATS
         ]
     )
-    shaped = values.where(F.col("value").rlike(dates.SHAPE))
+    shaped = value_counts(df, columns).where(F.col("value").rlike(dates.SHAPE))
     parsed = shaped.select("column", "n", F.inline(F.filter(tries, lambda t: t["year"].isNotNull())))
-    scores = parsed.groupBy("column", "format").agg(
+    return parsed.groupBy("column", "format").agg(
         F.sum("n").alias("parsed"), F.min("year").alias("min_year"), F.max("year").alias("max_year")
     )
-    sizes = values.groupBy("column").agg(F.sum("n").alias("n"))
-    return scores.join(F.broadcast(sizes), "column")  # one row for each column
 
 
 def detect_dates(
-    df: DataFrame, columns: Sequence[str] | None = None, *, values: DataFrame | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, *, facts: DataFrame | None = None
 ) -> DataFrame:
-    """(column, format, ambiguous) of the text columns that hold dates."""
+    """(column, format, ambiguous) of the text columns that hold dates.
+
+    Only columns in which enough values have the shape of a date are counted and parsed; ``facts`` are their
+    :func:`text_facts` if the caller has them.
+    """
     columns = list(columns or columns_where(df, is_string))
-    fits = date_scores(values if values is not None else value_table(df, columns), columns).where(
-        (F.col("n") >= dates.MIN_VALUES)
-        & (F.col("parsed") / F.nullif(F.col("n"), F.lit(0)) >= dates.MATCH_SHARE)
+    sizes = pin(facts if facts is not None else text_facts(df, columns)).select("column", "n", "shaped")
+    enough = (F.col("n") >= dates.MIN_VALUES) & (F.col("shaped") / F.col("n") >= dates.MATCH_SHARE)
+    likely = [r["column"] for r in sizes.where(enough).collect()]
+    if not likely:
+        return df.sparkSession.createDataFrame([], "column string, format string, parsed long, ambiguous boolean")
+    fits = date_scores(df, likely).join(F.broadcast(sizes), "column").where(  # one row for each column
+        (F.col("parsed") / F.col("n") >= dates.MATCH_SHARE)
         & (F.col("min_year") >= dates.MIN_YEAR)
         & (F.col("max_year") <= dates.MAX_YEAR)
     )
@@ -265,46 +309,54 @@ def detect_dates(
     )
 
 
-def numeric_text(
-    df: DataFrame, columns: Sequence[str] | None = None, *, values: DataFrame | None = None
-) -> DataFrame:
+def numeric_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Whether every value of a text column is a number."""
-    columns = list(columns or columns_where(df, is_string))
-    values = (values if values is not None else value_table(df, columns)).where(
-        F.col("column").isin(*columns)
-    )
-    other = F.col("value").isNotNull() & lenient_double(F.col("value")).isNull()
-    return values.groupBy("column").agg(
-        ((F.count("value") > 0) & (F.count_if(other) == 0)).alias("numeric_text")
-    )
+    return text_facts(df, list(columns or columns_where(df, is_string))).select("column", "numeric_text")
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson coefficient of every pair of numeric columns, in one aggregate.
+    """Pearson coefficient of every pair of numeric columns over the rows that have both.
 
-    A pair with a constant side has no coefficient and is left out. Few pairs become columns of one
-    wide aggregate; many are stacked so that the plan does not grow with the square of the width.
+    Columns are centred, and each task adds up one matrix of products, sums, squares and counts over all pairs, so one
+    scan and one plan of constant size serve any width; what is shuffled is one row for each pair and task. A pair with
+    a constant side has no coefficient and is left out; one that meets a value that is not finite is NaN.
     """
     columns = list(columns or columns_where(df, is_numeric))
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    if not pairs:
+    if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-
-    def double(c: str) -> Column:
-        return F.col(ident(c)).cast("double")
-
-    if len(pairs) <= WIDE_PAIRS:
-        cells = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), safe_corr(double(a), double(b)).alias("r"))
-            for a, b in pairs
-        ]
-        row = df.agg(*[c.alias(f"p{i}") for i, c in enumerate(cells)])
-        found = row.select(F.inline(F.array(*row.columns)))
-    else:
-        cells = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), double(a).alias("x"), double(b).alias("y"))
-            for a, b in pairs
-        ]
-        stacked = df.select(F.inline(F.array(*cells)))
-        found = stacked.groupBy("a", "b").agg(safe_corr(F.col("x"), F.col("y")).alias("r"))
-    return found.where(F.col("r").isNotNull())
+    xs = [F.col(ident(c)).cast("double") for c in columns]
+    finite = [F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x) for x in xs]
+    centres = df.agg(*[F.avg(x) for x in finite]).first()
+    cells = F.array(*[x - F.lit(m if m is not None else 0.0) for x, m in zip(xs, centres)])
+    width = len(columns)
+    fields = ["n", "sx", "sy", "sxx", "syy", "sxy", "bad"]
+
+    def products(batches):
+        i, j = np.triu_indices(width, 1)
+        total = np.zeros((len(fields), len(i)))
+        for batch in batches:
+            flat = batch.column(0).flatten()
+            present = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, width)
+            x = flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, width)
+            there, odd = present.astype(float), ~np.isfinite(x)
+            x = np.where(odd, 0.0, x)
+            sums, squares, strange = x.T @ there, (x * x).T @ there, odd.astype(float).T @ there
+            total += [
+                (there.T @ there)[i, j], sums[i, j], sums[j, i], squares[i, j], squares[j, i], (x.T @ x)[i, j],
+                strange[i, j] + strange[j, i],
+            ]
+        columns_out = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(t) for t in total]]
+        yield pa.RecordBatch.from_arrays(columns_out, ["i", "j", *fields])
+
+    parts = df.select(cells.alias("x")).mapInArrow(products, "i int, j int" + "".join(f", {f} double" for f in fields))
+    s = {f: F.col(f) for f in fields}
+    by_pair = parts.groupBy("i", "j").agg(*[F.sum(f).alias(f) for f in fields])
+    vx, vy = s["n"] * s["sxx"] - s["sx"] * s["sx"], s["n"] * s["syy"] - s["sy"] * s["sy"]
+    varied = (vx > CONSTANT * s["n"] * s["sxx"]) & (vy > CONSTANT * s["n"] * s["syy"])
+    r = (s["n"] * s["sxy"] - s["sx"] * s["sy"]) / (F.sqrt(F.when(varied, vx)) * F.sqrt(F.when(varied, vy)))
+    names = F.array(*map(F.lit, columns))
+    return by_pair.select(
+        F.get(names, F.col("i")).alias("a"),
+        F.get(names, F.col("j")).alias("b"),
+        F.when(s["bad"] > 0, F.lit(float("nan"))).otherwise(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias("r"),
+    ).where(F.col("r").isNotNull())

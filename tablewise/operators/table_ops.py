@@ -293,38 +293,37 @@ def rolling_time(
 ) -> DataFrame:
     """Sum and count of ``value`` over the ``seconds`` up to each row, the far end excluded.
 
-    Rows sharing a time see each other. A period total is the running total at the row's time less
-    the running total at the time ``seconds`` before, so each row needs two carried values and no
-    frame of neighbours; hot keys are cut into slices. ``value`` should be exact (integer or decimal)
-    if the totals must be.
+    Rows sharing a time see each other; rows without a time get nulls. Time is cut into blocks as long as the period, so
+    a window is the start of its own block and the end of the block before. Both are running sums within a block:
+    values are only ever added, so no value outside a window (NaN, or a very large one) can touch it. Hot keys
+    are cut into slices as in every running sum.
     """
+    period = seconds * 1_000_000
     at = F.unix_micros(F.col(ident(when)).cast("timestamp"))
     x = F.col(ident(value))
-    times = df.groupBy(*by, at.alias("_t")).agg(
+    times = df.withColumn("_t", at).where("_t IS NOT NULL").groupBy(*by, "_t").agg(
         F.coalesce(F.sum(x), F.lit(0)).alias("_s"), F.count(x).alias("_n")
     )
-    zero = F.lit(0).cast("long")
-    ends = times.select(*by, "_t", F.lit(0).alias("_side"), "_s", F.col("_n"))
-    starts = times.select(
-        *by,
-        (F.col("_t") - seconds * 1_000_000).alias("_t"),
-        F.lit(1).alias("_side"),
-        F.lit(0).cast(times.schema["_s"].dataType).alias("_s"),
-        zero.alias("_n"),
-    )
-    totals = running(
-        ends.unionByName(starts), by, ["_t", "_side"],
+    block = F.floor(F.col("_t") / period)
+    starts = running(
+        times.withColumn("_block", block), [*by, "_block"], ["_t"],
         sums={"_cs": F.col("_s"), "_cn": F.col("_n")}, bound=bound, slices=slices,
     )
-    shifted = totals.withColumn(
-        "_t", F.col("_t") + F.when(F.col("_side") == 1, F.lit(seconds * 1_000_000)).otherwise(zero)
+    # From the end of a block backwards. A window that reaches down to some time asks before the rows of that time.
+    rows = times.select(*by, block.alias("_block"), (-F.col("_t")).alias("_r"), F.lit(1).alias("_side"), "_s", "_n")
+    nothing = [F.lit(0).cast(times.schema[c].dataType).alias(c) for c in ("_s", "_n")]
+    asks = times.select(
+        *by, (block - 1).alias("_block"), (F.lit(period) - F.col("_t")).alias("_r"), F.lit(0).alias("_side"), *nothing
     )
-    sign = F.when(F.col("_side") == 0, F.lit(1)).otherwise(F.lit(-1))
-    period = shifted.groupBy(*by, "_t").agg(
-        F.sum(sign * F.col("_cs")).alias("rolling_sum"), F.sum(sign * F.col("_cn")).alias("rolling_n")
+    ends = running(
+        rows.unionByName(asks), [*by, "_block"], ["_r", "_side"],
+        sums={"_cs": F.col("_s"), "_cn": F.col("_n")}, bound=bound, slices=slices,
+    ).where(F.col("_side") == 0)
+    parts = starts.select(*by, "_t", "_cs", "_cn").unionByName(
+        ends.select(*by, (F.lit(period) - F.col("_r")).alias("_t"), "_cs", "_cn")
     )
-    rows = df.withColumn("_t", at)
-    return match_keys(rows, period, [*by, "_t"]).drop("_t")
+    windows = parts.groupBy(*by, "_t").agg(F.sum("_cs").alias("rolling_sum"), F.sum("_cn").alias("rolling_n"))
+    return match_keys(df.withColumn("_t", at), windows, [*by, "_t"]).drop("_t")
 
 
 # ---- reshaping -----------------------------------------------------------------------------------

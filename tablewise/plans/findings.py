@@ -9,12 +9,13 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.operators import critique, recipes, retrieval
 from tablewise.operators.shapes import SHAPES
-from tablewise.plans.card import PREVIEW_ROWS, Card, build_card, masked_preview
+from tablewise.plans.card import Card, build_card, masked_preview
 from tablewise.plans.profile import Profile, profile
 
 RECIPES: dict[str, Callable[..., recipes.Answer]] = {name: getattr(recipes, name) for name, *_ in SHAPES}
@@ -84,6 +85,7 @@ def ask(source: Source, question: Question, recipe: str | None) -> Finding:
     given = {k: v for k, v in question.columns.items() if k in accepted}
     try:
         answer = fn(source.df, **given)
+        answer.df.persist(StorageLevel.DISK_ONLY)
         checked = critique.review(question.text, answer, source.profile)
     except Exception as e:  # recorded, not dropped: one bad question must not end the run
         return Finding(question.text, recipe, "unanswered", reason=f"{type(e).__name__}: {e}")
@@ -91,10 +93,18 @@ def ask(source: Source, question: Question, recipe: str | None) -> Finding:
 
 
 def answer_all(source: Source, questions: Sequence[Question]) -> DataFrame:
-    """The findings table of many questions; each question is its own job over the whole source."""
-    recipes_chosen = route_all(source, questions)
-    source.findings = [ask(source, q, r) for q, r in zip(questions, recipes_chosen)]
-    rows = [_row(source, q, f) for q, f in zip(questions, source.findings)]
+    """The findings table of many questions; each answer is computed once over the whole source.
+
+    An answer is kept on the executors' disks while it is checked and previewed, and forgotten then; lost parts are
+    computed again.
+    """
+    rows = []
+    for question, recipe in zip(questions, route_all(source, questions)):
+        found = ask(source, question, recipe)
+        rows.append(_row(source, question, found))
+        if found.answer is not None:
+            found.answer.df.unpersist()
+        source.findings.append(found)
     return source.df.sparkSession.createDataFrame(rows, SCHEMA)
 
 
@@ -105,15 +115,10 @@ def _row(source: Source, question: Question, found: Finding) -> tuple:
     if found.answer is None:
         return (found.question, found.recipe, found.status, None, None, [], code, source.card.hash,
                 [found.reason], 0, created)
-    df = found.answer.df
-    shown = masked_preview(df, _order(df), PREVIEW_ROWS).collect()
+    df, c = found.answer.df, found.critique
+    shown = masked_preview(df, total=c.rows).collect()
     preview = [" | ".join(r[c] for c in df.columns) for r in shown]
     dropped = shown[0]["rows_not_shown"] if shown else 0
-    c = found.critique
     caveats = [(x.code, x.severity, x.message) for x in c.caveats]
     return (found.question, found.recipe, found.status, c.verdict, c.confidence, caveats, code,
             source.card.hash, preview, dropped, created)
-
-
-def _order(df: DataFrame) -> list[str]:
-    return df.columns[:2]

@@ -35,9 +35,9 @@ def test_wide_card_fits_and_keeps_columns(spark):
     df = spark.range(500).select("id", *[(F.col("id") % (i + 2)).cast("double").alias(f"measure_{i}") for i in range(60)])
     card = K.build_card(profile(df, name="wide"), df, key="id")
     assert card.size_bytes <= K.MAX_CARD_BYTES
-    assert len(card.columns) == 61 and card.columns_omitted_for_size == 0
-    K.fit(card, 300)
-    assert card.columns_omitted_for_size == 61 - len(card.columns) > 0
+    assert len(card.columns) == 61 and "columns" not in card.left_out
+    small = K.fitted(card, 400)
+    assert small.left_out["columns"] == 61 - len(small.columns) > 0 and small.size_bytes <= 400
 
 
 @pytest.mark.parametrize("bound", [None, 5])
@@ -53,6 +53,13 @@ def test_masked_preview(spark, people):
     assert rows[2].asDict() == {"id": "2", "full_name": "<redacted>", "contact": "<email>", "v": "2,000.247", "rows_not_shown": 35}
 
 
+def test_preview_keeps_the_order_of_the_answer(spark):
+    df = spark.createDataFrame([(f"c{i:03}", i) for i in range(60)], "c string, v long")
+    source = L.look(df, "sixty")
+    row = L.answer_all(source, [L.Question("total v by c", {"category": "c", "measure": "v"}, "total_by_category")]).first()
+    assert row["preview"][:2] == ["c059 | 59", "c058 | 58"] and row["dropped"] == 35 and len(row["preview"]) == 25
+
+
 def test_proposals(spark):
     rows = [(1, "a?", ["x", "y"]), (2, "b?", ["x", "nope"]), (3, "c?", []), (4, " ", ["x"]), (5, "d?", ["y"]), (6, "e?", ["x"])]
     df = spark.createDataFrame(rows, "at int, question string, columns array<string>")
