@@ -347,12 +347,12 @@ def g20(events):
 
 
 @query("g21_rolling_time", "events", sql="""
-SELECT event_id, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) AS rolling_sum, count(*) OVER w AS rolling_n
+SELECT event_id, round(CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE), 2) AS rolling_sum, count(*) OVER w AS rolling_n
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts
   RANGE BETWEEN INTERVAL 86399999999 MICROSECONDS PRECEDING AND CURRENT ROW)""")
 def g21(events):
-    df = G.rolling_time(money(events, "value"), "ts", "event_id", 86_400, "value", ["user_id"])
-    return as_double(df, "rolling_sum").select("event_id", "rolling_sum", "rolling_n")
+    df = G.rolling_time(events, "ts", "event_id", 86_400, "value", ["user_id"])
+    return df.select("event_id", F.round("rolling_sum", 2).alias("rolling_sum"), "rolling_n")
 
 
 def rolling_columns(w):

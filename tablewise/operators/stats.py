@@ -358,5 +358,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return by_pair.select(
         F.get(names, F.col("i")).alias("a"),
         F.get(names, F.col("j")).alias("b"),
-        F.when(s["bad"] > 0, F.lit(float("nan"))).otherwise(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias("r"),
+        F.when(s["bad"] > 0, F.lit(float("nan")))
+        .when(varied, F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))  # these two skip nulls, hence the test
+        .alias("r"),
     ).where(F.col("r").isNotNull())

@@ -1,5 +1,6 @@
 """Plain windows and sliced windows must agree; both must agree with a brute-force loop."""
 
+import math
 import random
 
 import pandas as pd
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewise.operators import ordered
+from tablewise.operators.table_ops import rolling_time
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +104,15 @@ def test_average_ranks_match_pandas(frame, rows):
 def test_group_totals_keeps_null_keys(frame, rows):
     got = ordered.group_totals(frame, ["k"], n=F.count("*")).where("k is null").first()
     assert got["n"] == sum(r[1] is None for r in rows)
+
+
+@pytest.mark.parametrize("bound", [None, 3])
+def test_rolling_windows_keep_to_themselves(spark, bound):
+    """Not-a-number and huge values show in the windows that hold them, and in no other."""
+    values = [1e17, 1.0, math.nan, 2.0, None, 4.0]
+    at = [0, 10, 20, 30, 35, 36]
+    df = spark.createDataFrame([("k", t, v) for t, v in zip(at, values)] + [("k", None, 9.0)], "k string, t long, v double")
+    df = df.withColumn("ts", F.timestamp_seconds("t"))
+    got = {r["t"]: (r["rolling_sum"], r["rolling_n"]) for r in rolling_time(df, "ts", "k", 10, "v", ["k"], bound=bound).collect()}
+    assert math.isnan(got.pop(20)[0])
+    assert got == {0: (1e17, 1), 10: (1.0, 1), 30: (2.0, 1), 35: (2.0, 1), 36: (6.0, 2), None: (None, None)}

@@ -132,3 +132,47 @@ def test_single_class_has_no_ratio_and_skew_needs_three(spark):
     assert stats.categorical_stats(df, ["c"]).first()["imbalance_ratio"] is None
     row = stats.numeric_stats(df, ["x"]).first()
     assert row["skew"] is None and row["std"] is not None
+
+
+def test_native_types(spark):
+    """Floats keep Spark's own values, zeros of both signs are one value, maps compare by content, long numbers count."""
+    df = spark.createDataFrame([(0.1, 0.0), (0.2, -0.0)], "f float, z double").withColumns({
+        "m": F.when(F.col("f") < 0.15, F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))).otherwise(
+            F.create_map(F.lit("b"), F.lit(2), F.lit("a"), F.lit(1))),
+        "digits": F.lit("7" * 300),
+    })
+    p = profile(df)
+    assert p.column("z").n_unique == 1 and p.column("m").n_unique == 1
+    assert p.column("f").numeric["mean"] == df.agg(F.avg("f")).first()[0]
+    assert p.column("digits").numeric_text
+    assert quality.duplicates(df.select("m", "z")).first()["duplicate_rows"] == 1
+    assert {(r["value"], r["n"]) for r in stats.value_counts(df, ["z"]).collect()} == {("0.0", 2)}
+
+
+@pytest.mark.parametrize("bound", [None, 50])
+def test_bracketed_quantiles_are_exact(spark, bound):
+    """Many rows, ties that fill brackets, nulls, and a column with few values, against sorting."""
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 7 > 0, F.pow(F.col("id") % 9973, F.lit(2)).cast("double")).alias("a"),
+        F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id").cast("double")).alias("b"),
+        (F.col("id") % 2).alias("c"), F.when(F.col("id") < 0, 1).alias("none"),
+    )
+    places = {"low": 0.01, "q1": 0.25, "middle": 0.5, "high": 0.999}
+    got = stats.column_quantiles(df, {c: F.col(c) for c in df.columns}, places, bound=bound).collect()
+    for r in got:
+        want = df.agg(F.percentile(r["column"], list(places.values()))).first()[0]
+        assert [r[p] for p in places] == (want or [None] * 4), r
+
+
+def test_correlations_of_many_columns_with_gaps(spark):
+    df = spark.range(300).select(*[
+        F.when(F.col("id") % (i + 2) > 0, (F.col("id") * (i + 1)) % 17 + 1e6 * i).alias(f"x{i}") for i in range(60)
+    ])
+    pairs = [("x0", "x1"), ("x3", "x59"), ("x10", "x42")]
+    got = {(r["a"], r["b"]): r["r"] for r in stats.correlations(df).collect()}
+    assert len(got) == 57 * 56 // 2  # x16, x33 and x50 are constant: multiples of 17
+    for a, b in pairs:
+        both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+        assert got[a, b] == pytest.approx(both.agg(F.corr(a, b)).first()[0], abs=1e-9)
+    odd = spark.createDataFrame([(1.0, 2.0, 3.0), (2.0, float("nan"), 3.0), (3.0, 1.0, 3.0)], "a double, b double, c double")
+    assert [(r["a"], r["b"], str(r["r"])) for r in stats.correlations(odd).collect()] == [("a", "b", "nan")]
