@@ -8,7 +8,8 @@ without one, the stretch of lines from the first to the last of its cluster. Men
 sidebars, notices, adverts, forms, comments, scripts and styles are known by their element, role, class or
 id, and are never lines. The parser goes through the page once; nothing is shuffled.
 
-Defined cases: null and empty html give the empty text. Unclosed elements end with the page. A tag cut off by the end of the page is dropped. Repeated rows give equal
+Defined cases: null and empty html give the empty text. An unclosed paragraph ends at the next block, an unclosed list
+item or cell at the next one, other unclosed elements with the element around them or the page. A tag cut off by the end of the page is dropped. Repeated rows give equal
 texts. An empty table gives an empty result. Input columns called like a result column are replaced.
 """
 
@@ -43,9 +44,24 @@ OUT_WORDS = frozenset(
 )
 HEAD_WORDS = frozenset(["header"])
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
+#: First and last parts of class names that tell what a page has, and do not name the element (``with-sidebar``, ``comments-open``).
+TELLING = frozenset("has have with without no not is show hide open closed enabled disabled on off".split())
+#: Elements without content, and those that the next one of their kind ends.
+VOID = frozenset(["hr"])
+NEXT_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
 WORD = re.compile("[a-z]+")
 
 
+def named(tag: str, value: str) -> set[str]:
+    """The words of a class or id that say what the element is; of an article only whole names do."""
+    out = set()
+    for name in value.lower().split():
+        words = WORD.findall(name)
+        if words and (len(words) == 1 or tag != "article" and words[0] not in TELLING and words[-1] not in TELLING):
+            out.update(words)
+    return out
+
+
 class Lines(HTMLParser):
     """Collects ``(text, tags, region)`` of the lines of one page; region 0 is outside any article."""
 
@@ -73,19 +89,30 @@ class Lines(HTMLParser):
             return True
         for name, value in attrs:
             if value and name in ("class", "id"):
-                words = WORD.findall(value.lower())
+                words = named(tag, value)
                 if not OUT_WORDS.isdisjoint(words) or not inside and not HEAD_WORDS.isdisjoint(words):
                     return tag not in ("body", "html", "main")
             elif name == "role" and value in OUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
+            elif name == "style" and value and "display:none" in "".join(value.lower().split()):
+                return True
         return False
 
+    def end_before(self, tag: str) -> None:
+        """End what a block ends that has no end tag: the paragraph, and the one before of its kind."""
+        for kinds in (("p",), NEXT_ENDS.get(tag, ())):
+            while self.open and self.open[-1][0] in kinds:
+                self.hidden -= self.open.pop()[1]
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.flush()
+            self.end_before(tag)
         self.tags += 1
         if tag == "br":
             self.buffer.append(" ")
+        if tag in VOID:
+            return
         if tag in HOLDERS or tag in CLOSED or attrs and tag in BLOCKS:
             hides = self.hides(tag, attrs)
             if tag in ("article", "main") and not hides:

@@ -347,6 +347,17 @@ def test_html_page():
     assert html.main_text(f"<body><nav>m</nav>{long}<footer>f</footer>") == "\n".join(" ".join(prose(40, i).split()) for i in range(400))
 
 
+def test_html_unclosed_and_hidden():
+    body = "".join(f"<p>{prose(30, i)}" for i in range(3))
+    text = "\n".join(" ".join(prose(30, i).split()) for i in range(3))
+    for hidden in ("<p class=ad>Buy", "<div class='x ad-box'>Buy</div>", "<ul class=menu><li>a<li>b</ul>", "<p style='Display: none'>No", "<hr class=ad>", "<p hidden>No"):
+        assert html.main_text(f"<article><h1>T</h1>{hidden}{body}</article>") == f"T\n{text}"
+        assert html.main_text(f"<body class=home><div class='wrap with-sidebar no-ads'>{hidden}{body}</div></body>") == text
+    assert html.main_text(f"<article class='post comments-open'>{body}</article><article class='comment'>Reader</article>") == text
+    assert html.main_text("<article><ul><li class=share>Share<li>One<li>Two</ul></article>") == "One\nTwo"
+    assert html.main_text("<table><tr><td class=ad>Buy<td>1<tr><td>2</table>") == "1\n2"
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (2, None, None, None)], "page_id bigint, url string, html string, text string")
     got = html.extracted(pages).orderBy("page_id").collect()
