@@ -58,7 +58,12 @@ def g03(orders):
     )
 
 
-@query("g04_sample", "orders")
+_DRAWN = "('0x' || substr(md5('3:' || o_orderkey), 1, 8))::BIGINT"
+
+
+@query("g04_sample", "orders", sql=f"""
+(SELECT 'n' AS kind, o_orderkey FROM orders ORDER BY {_DRAWN}, o_orderkey LIMIT 500)
+UNION ALL SELECT 'share', o_orderkey FROM orders WHERE {_DRAWN} < floor(0.05 * 4294967296)""")
 def g04(orders):
     exact = G.sample_rows(orders, "o_orderkey", 500, seed=3).select(F.lit("n").alias("kind"), "o_orderkey")
     share = G.sample_share(orders, "o_orderkey", 0.05, seed=3).select(F.lit("share").alias("kind"), "o_orderkey")

@@ -99,18 +99,8 @@ def mask_text(text: Column) -> Column:
 def mask_report(text: Column) -> Column:
     """Struct of the masked ``text`` and the ``kinds`` masked in it, in masking order."""
     state = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
-    for kind, pattern in _PLAIN:
-        state = let(state, lambda s: _step(s, kind, s["text"].rlike(pattern), mask_one(s["text"], kind)))
-    for kind, pattern, test in _TESTED:
-        state = let(
-            state,
-            lambda s: _step(
-                s,
-                kind,
-                F.exists(F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0)), test),
-                mask_one(s["text"], kind),
-            ),
-        )
+    for kind in PLACEHOLDER:
+        state = let(state, lambda s: let(mask_one(s["text"], kind), lambda masked: _step(s, kind, masked)))
     return state
 
 
@@ -124,8 +114,9 @@ def mask_one(text: Column, kind: str) -> Column:
     return substitute(text, pattern, lambda m: F.when(test(m), mask).otherwise(m))
 
 
-def _step(state: Column, kind: str, found: Column, masked: Column) -> Column:
-    added = F.when(found, F.array(F.lit(kind))).otherwise(F.array().cast("array<string>"))
+def _step(state: Column, kind: str, masked: Column) -> Column:
+    """A kind was found where its rule changed the text: no placeholder looks like what it stands for."""
+    added = F.when(masked != state["text"], F.array(F.lit(kind))).otherwise(F.array().cast("array<string>"))
     return F.struct(masked.alias("text"), F.concat(state["kinds"], added).alias("kinds"))
 
 

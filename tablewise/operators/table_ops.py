@@ -53,15 +53,20 @@ def slice_rows(df: DataFrame, order: Sequence[str], start: int, n: int) -> DataF
     return df.orderBy(*order).offset(start).limit(n)
 
 
+def drawn(key: str, seed: int = 0) -> Column:
+    """A number below 2**32 for each key: the first eight digits of its MD5, so that any engine draws the same."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ident(key)).cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """Exactly ``n`` rows, the same for the same seed: the smallest hashes win."""
-    return df.orderBy(F.xxhash64(F.lit(seed), ident(key)), ident(key)).limit(n)
+    return df.orderBy(drawn(key, seed), ident(key)).limit(n)
 
 
 def sample_share(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
     """About ``share`` of the rows, picked by the hash of ``key``: independent of the layout."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), ident(key)), F.lit(1_000_000))
-    return df.where(bucket < int(share * 1_000_000))
+    return df.where(drawn(key, seed) < int(share * 2**32))
 
 
 def unique_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
