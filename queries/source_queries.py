@@ -145,16 +145,16 @@ s AS (SELECT doc_id, d, o, avg(n) AS mean, var_pop(n) AS variance FROM c GROUP B
 SELECT doc_id, d AS delimiter, round(variance, 9) = 0 AS stable FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY variance, -mean, o) AS rn FROM s) WHERE rn = 1""")
 def f_delimiter(documents):
-    lines = documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return C.delimiter_votes(lines, "doc_id", "line")
+    voted = documents.select("doc_id", C.delimiter_vote(F.split("text", "\n")).alias("vote")).where("vote IS NOT NULL")
+    return voted.select("doc_id", "vote.delimiter", (F.round("vote.variance", 9) == 0).alias("stable"))
 
 
 @query("f_numeric_convention", "orders", sql="""
-SELECT o_orderpriority, CASE WHEN o_orderpriority IN ('1-URGENT', '3-MEDIUM') THEN ',' ELSE '.' END AS "decimal",
+SELECT o_orderpriority, o_orderkey // 1000 AS block, CASE WHEN o_orderpriority IN ('1-URGENT', '3-MEDIUM') THEN ',' ELSE '.' END AS "decimal",
   CASE WHEN o_orderpriority = '1-URGENT' THEN '.' WHEN o_orderpriority = '2-HIGH' THEN ',' END AS thousands
-FROM orders GROUP BY 1""")
+FROM orders GROUP BY 1, 2""")
 def f_convention(orders):
-    """Prices written in a different way for each priority, and the way found again."""
+    """Prices written in a different way for each priority, and the way found again from those of a thousand orders."""
     price, kind = F.col("o_totalprice"), F.col("o_orderpriority")
     grouped = F.format_number(price, 2)
     field = (
@@ -163,5 +163,8 @@ def f_convention(orders):
         .when(kind == "3-MEDIUM", F.replace(price.cast("string"), F.lit("."), F.lit(",")))
         .otherwise(price.cast("string"))
     )
-    fields = orders.select("o_orderpriority", field.alias("field"))
-    return C.numeric_convention(fields, "o_orderpriority", "field", F.lit(";"))
+    block = F.floor(F.col("o_orderkey") / 1000).alias("block")
+    lists = orders.groupBy("o_orderpriority", block).agg(F.collect_list(field).alias("fields"))
+    return lists.select("o_orderpriority", "block", C.number_convention(F.col("fields"), F.lit(";")).alias("found")).select(
+        "o_orderpriority", "block", "found.*"
+    )

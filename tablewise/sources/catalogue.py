@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewise.functions.text import strip
+from tablewise.functions.text import let, strip
 from tablewise.session import ship_package
 from tablewise.sources.heads import SAMPLE_BYTES, csv_opinion, read_heads
 
@@ -114,46 +114,43 @@ def occurrences(text: Column, char: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, char, F.lit("")))
 
 
-def delimiter_votes(lines: DataFrame, key: str, line: str) -> DataFrame:
-    """(key, delimiter, stable): the candidate whose count varies least from line to line.
+def delimiter_vote(lines: Column) -> Column:
+    """Of the delimiters that occur once a line or more, the one whose count varies least over an array of lines:
+    struct of variance, negative mean, rank and delimiter; null without any."""
 
-    A set operation over any number of files: lines x candidates, then two aggregates.
-    """
-    candidates = F.array(*map(F.lit, DELIMITERS))
-    bare = lines.select(key, outside_quotes(F.col(line)).alias("_line"))
-    counts = F.transform(
-        candidates, lambda d: F.struct(d.alias("delimiter"), occurrences(F.col("_line"), d).alias("n"))
-    )
-    per_line = bare.select(key, F.inline(counts))
-    spread = per_line.groupBy(key, "delimiter").agg(F.avg("n").alias("mean"), F.var_pop("n").alias("variance"))
-    order = F.array_position(candidates, F.col("delimiter"))
-    ranked = spread.where("mean >= 1").groupBy(key).agg(
-        F.min_by(
-            F.struct("delimiter", (F.col("variance") == 0).alias("stable")),
-            F.struct("variance", -F.col("mean"), order),
-        ).alias("best")
-    )
-    return ranked.select(key, "best.*")
-
-
-def numeric_convention(fields: DataFrame, key: str, field: str, delimiter: Column) -> DataFrame:
-    """(key, decimal, thousands): which way numbers are written, by vote over the data fields."""
-    x = F.col(field)
-    votes = fields.groupBy(key).agg(
-        F.first(delimiter, ignorenulls=True).alias("_d"),
-        F.count_if(x.rlike(COMMA_THOUSANDS)).alias("ct"),
-        F.count_if(x.rlike(DOT_THOUSANDS)).alias("dt"),
-        F.count_if(x.rlike(COMMA_DECIMAL)).alias("cd"),
-        F.count_if(x.rlike(DOT_DECIMAL)).alias("dd"),
-    )
-    grouped = (F.col("ct") > 0) | (F.col("dt") > 0)
-    anglo = grouped & (F.col("ct") >= F.col("dt"))
-    comma = (grouped & ~anglo) | (~grouped & (F.col("_d") != ",") & (F.col("cd") > F.col("dd")))
-    return votes.select(
-        key,
-        F.when(comma, ",").otherwise(".").alias("decimal"),
-        F.when(anglo, ",").when(grouped, ".").alias("thousands"),
-    )
+    def vote(rank: int, delimiter: str) -> Column:
+        counts = F.transform(lines, lambda x: occurrences(outside_quotes(x), F.lit(delimiter)).cast("double"))
+
+        def judged(counts: Column) -> Column:
+            n = F.nullif(F.size(counts).cast("double"), F.lit(0.0))
+            mean = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) / n
+            variance = F.aggregate(counts, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
+            found = F.struct(variance.alias("variance"), (-mean).alias("m"), F.lit(rank).alias("i"), F.lit(delimiter).alias("delimiter"))
+            return F.when(mean >= 1, found)
+
+        return let(counts, judged)
+
+    return F.array_min(F.array_compact(F.array(*[vote(i, d) for i, d in enumerate(DELIMITERS)])))
+
+
+def number_convention(fields: Column, delimiter: Column) -> Column:
+    """How the numbers in an array of data fields are written, by vote: struct of decimal sign and thousands sign (null: none)."""
+
+    def hits(pattern: str) -> Column:
+        return F.size(F.filter(fields, lambda f: f.rlike(pattern)))
+
+    shapes = {"ct": COMMA_THOUSANDS, "dt": DOT_THOUSANDS, "cd": COMMA_DECIMAL, "dd": DOT_DECIMAL}
+
+    def judged(v: Column) -> Column:
+        grouped = (v["ct"] > 0) | (v["dt"] > 0)
+        anglo = v["ct"] >= v["dt"]
+        comma = (grouped & ~anglo) | (~grouped & (delimiter != ",") & (v["cd"] > v["dd"]))
+        return F.struct(
+            F.when(comma, ",").otherwise(".").alias("decimal"),
+            F.when(grouped, F.when(anglo, ",").otherwise(".")).alias("thousands"),
+        )
+
+    return let(F.struct(*[hits(p).alias(k) for k, p in shapes.items()]), judged)
 
 
 def data_fields(line: Column, delimiter: Column) -> Column:
@@ -230,17 +227,7 @@ def _with_dialect(df: DataFrame) -> DataFrame:
 
     At most 50 lines of a file take part, so the lines of a file stay in its row.
     """
-    votes = []
-    for i, d in enumerate(DELIMITERS):
-        counts = F.transform("_lines", lambda x: occurrences(outside_quotes(x), F.lit(d)).cast("double"))
-        n = F.nullif(F.size("_lines").cast("double"), F.lit(0.0))
-        mean = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) / n
-        variance = F.aggregate(counts, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-        votes.append(
-            F.when(mean >= 1, F.struct(variance.alias("variance"), (-mean).alias("m"), F.lit(i).alias("i"),
-                                       F.lit(d).alias("delimiter")))
-        )
-    df = df.withColumn("_vote", F.array_min(F.array_compact(F.array(*votes))))
+    df = df.withColumn("_vote", delimiter_vote(F.col("_lines")))
     df = df.withColumn("delimiter", F.col("_vote.delimiter"))
     joined = F.array_join("_lines", "\n")
     opinion = F.pandas_udf(csv_opinion, "struct<delimiter:string,header:boolean>")
@@ -249,16 +236,8 @@ def _with_dialect(df: DataFrame) -> DataFrame:
         F.transform(F.slice("_lines", F.lit(2), F.greatest(F.size("_lines"), F.lit(1))),
                     lambda x: data_fields(x, F.col("delimiter")))
     )
-    df = df.withColumn("_fields", F.when(F.col("delimiter").isNotNull(), fields))
-
-    def hits(pattern: str) -> Column:
-        return F.size(F.filter("_fields", lambda f: f.rlike(pattern)))
-
-    ct, dt = hits(COMMA_THOUSANDS), hits(DOT_THOUSANDS)
-    grouped = (ct > 0) | (dt > 0)
-    comma = (grouped & (dt > ct)) | (
-        ~grouped & (F.col("delimiter") != ",") & (hits(COMMA_DECIMAL) > hits(DOT_DECIMAL))
-    )
+    numbers = number_convention(fields, F.col("delimiter"))
+    df = df.withColumn("_numbers", F.when(F.col("delimiter").isNotNull(), numbers))
     quotes = F.aggregate(
         "_lines", F.struct(F.lit(0).alias("s"), F.lit(0).alias("d")),
         lambda a, x: F.struct(
@@ -272,8 +251,8 @@ def _with_dialect(df: DataFrame) -> DataFrame:
     fallback = F.when(F.size("_lines") < 2, True).otherwise(~numeric[0] & numeric[1])
     return df.withColumns(
         {
-            "decimal": F.when(F.col("delimiter").isNotNull(), F.when(comma, ",").otherwise(".")),
-            "thousands": F.when(grouped, F.when(ct >= dt, ",").otherwise(".")),
+            "decimal": F.col("_numbers.decimal"),
+            "thousands": F.col("_numbers.thousands"),
             "quotechar": F.when(
                 F.col("delimiter").isNotNull(),
                 F.when((quotes["s"] > quotes["d"]) & (quotes["s"] >= 2), "'").otherwise('"'),
