@@ -31,7 +31,12 @@ def p_profile(lineitem):
     )
 
 
-@query("p_sampled_profile", "events")
+_SEMANTIC = {"event_id": "identifier", "ts": "temporal", "user_id": "numeric", "event_type": "categorical", "value": "numeric", "props": "categorical"}
+
+
+@query("p_sampled_profile", "events", sql=" UNION ALL ".join(
+    f"SELECT '{c}' AS name, '{kind}' AS semantic, true AS estimated, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS n_unique"
+    " FROM events WHERE ('0x' || substr(md5('0:' || event_id), 1, 8))::BIGINT % 3 = 0" for c, kind in _SEMANTIC.items()))
 def p_sampled(events):
     result = profile.profile(
         events, name="events", sample_key="event_id", stride=3

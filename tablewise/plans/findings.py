@@ -10,13 +10,16 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewise.operators import critique, recipes, retrieval
 from tablewise.operators.shapes import SHAPES
 from tablewise.plans.card import Card, build_card, masked_preview
 from tablewise.plans.profile import Profile, profile
+from tablewise.sources.catalogue import catalogue
+from tablewise.sources.loaders import UnsupportedFormat, load
 
 RECIPES: dict[str, Callable[..., recipes.Answer]] = {name: getattr(recipes, name) for name, *_ in SHAPES}
 
@@ -62,6 +65,20 @@ def look(df: DataFrame, name: str, key: str | None = None) -> Source:
     return Source(df, measured, build_card(measured, df, key=key))
 
 
+def look_at(spark: SparkSession, path: str, name: str | None = None, key: str | None = None) -> Source:
+    """Catalogue the files under ``path``, load them by what was found, profile and describe the table.
+
+    Files of several kinds are no table: the error names the kinds. The driver receives one row for each kind.
+    """
+    kind = ["format", "compression", "dialect"]
+    found = catalogue(spark, path).groupBy(*kind).agg(F.count("*").alias("files"), F.max("encoding").alias("encoding")).orderBy("format").collect()
+    if len(found) != 1:
+        kinds = ", ".join(f"{r['files']} {r['format']} ({r['compression']})" for r in found) or "no files"
+        raise UnsupportedFormat(f"{path} is not one table: {kinds}")
+    spec = found[0].asDict(recursive=True) | {"path": path}
+    return look(load(spark, spec), name or path.rstrip("/").rpartition("/")[2], key)
+
+
 def route_all(source: Source, questions: Sequence[Question]) -> list[str | None]:
     """The recipe of each question: the one it names, else the shape that fits its words best."""
     spark = source.df.sparkSession
@@ -88,10 +105,15 @@ def ask(source: Source, question: Question, recipe: str | None) -> Finding:
         answer.df.persist(StorageLevel.DISK_ONLY)
         checked = critique.review(question.text, answer, source.profile)
     except Exception as e:  # recorded, not dropped: one bad question must not end the run
-        return Finding(question.text, recipe, "unanswered", reason=f"{type(e).__name__}: {e}")
+        return Finding(question.text, recipe, "unanswered", reason=f"{type(e).__name__}: {_message(e)}")
     return Finding(question.text, recipe, "answered", answer, checked)
 
 
+def _message(e: Exception) -> str:
+    """The whole message; of what Spark could not analyse without the plan behind it, whose numbers differ in each run."""
+    return str(e).partition(";\n")[0] if isinstance(e, AnalysisException) else str(e)
+
+
 def answer_all(source: Source, questions: Sequence[Question]) -> DataFrame:
     """The findings table of many questions; each answer is computed once over the whole source.
 

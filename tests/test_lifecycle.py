@@ -8,6 +8,7 @@ from tablewise.plans import card as K
 from tablewise.plans import findings as L
 from tablewise.plans.profile import profile
 from tablewise.sources import sinks
+from tablewise.sources.loaders import UnsupportedFormat
 from tablewise.streaming import events as E
 
 
@@ -97,3 +98,20 @@ def test_streamed_buckets_equal_batch_for_closed_windows(spark, sf):
     assert got and all(want[k] == n for k, n in got.items())
     last = max(k[0] for k in want)
     assert {k for k in want if k not in got} == {k for k in want if k[0] == last}
+
+
+def test_look_at_a_folder(spark, people):
+    root = sinks.scratch(spark, "look-at")
+    sinks.write_delimited(people, f"{root}/people", sep="|")
+    source = L.look_at(spark, f"{root}/people/part-*", "people", key="id")
+    assert source.profile.n_rows == 60 and source.card.redacted_columns == ["full_name"] and source.df.columns == people.columns
+    sinks.write_ndjson(people, f"{root}/lines")
+    with pytest.raises(UnsupportedFormat, match="not one table: .* csv .* jsonl"):
+        L.look_at(spark, f"{root}/*/part-*")
+
+
+def test_reasons_are_the_same_in_every_run(spark, people):
+    source = L.look(people, "people")
+    asked = L.Question("average z by region", {"category": "region", "measure": "z"}, "mean_by_category")
+    first, second = (L.ask(source, asked, asked.recipe).reason for _ in range(2))
+    assert first == second and "`z`" in first and "#" not in first

@@ -7,7 +7,7 @@ from tests.compare import compare, connect
 
 QUERIES, ORACLES = load()
 #: Run in full by other tests or by tests/compare.py; each takes many seconds for its many small jobs.
-SLOW = {"l2_ask", "l3_findings", "k_card", "c_review", "p_sampled_profile"}
+SLOW = {"l1_look_at", "l2_ask", "l3_findings", "k_card", "c_review", "p_sampled_profile"}
 
 
 @pytest.fixture(scope="module")
