@@ -1,9 +1,10 @@
 """Licence scan: normalised sentences become identifiers, identifier sequences match ordered rules.
 
-Only DataFrame functions: a text is split into sentences (at line ends, and at white space after a full stop,
-colon, semicolon, exclamation or question mark), each is normalised (lower case, everything but letters and
-digits one space) and looked up among the known licence sentences. What is not known falls away. The
-rules, in their order, are then looked for in the sequence of identifiers; a match uses its identifiers up, so
+Only DataFrame functions: a text is normalised (lower case, everything but letters and digits one space) with marks
+where sentences may end, and known licence sentences are taken from mark to mark, the longest first. Blank lines
+and white space after a full stop, colon, semicolon, exclamation or question mark end every sentence. A single line
+end, white space after an abbreviation (``v.``) and the number of a list item may end one or stand inside one, so
+that wrapped licence texts are found like unwrapped ones. What is not known falls away. The rules, in their order, are then looked for in the sequence of identifiers; a match uses its identifiers up, so
 that a rule for the whole text of a licence goes before one for a single line of it.
 
 Each document is judged on its own: nothing is shuffled. Sentences and rules are parameters.
@@ -62,28 +63,68 @@ RULES = (
     ("CC-BY-SA-4.0", ("ccbysa_notice",)),
     ("Proprietary", ("reserved",)),
 )
-#: Every known sentence holds one of these, so a text without them needs no splitting (a test holds this).
-HINTS = "(?i)licensed|license|permission|warranty|redistribution|endorse|compliance|warranties|free software|redistribute|rights reserved"
-BREAKS = r"\n|(?<=[.;:!?])[\x20\x09-\x0D]+"
+#: Canonical sentences of the licence texts that say more than those above, by the same identifiers.
+WHOLE = {
+    "mit_name": ("mit license", "the mit license mit", "mit license mit"),
+    "mit_grant": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    ),
+    "mit_condition": ("the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software",),
+    "as_is": (
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    ),
+    "apache_notice": ("licensed under the apache license version 2 0 the license",),
+    "mpl_notice": ("this source code form is subject to the terms of the mozilla public license version 2 0",),
+}
+#: Every known sentence holds one of these words, so a text without them needs no search (a test holds this).
+HINTS = "(?i)licensed|license|permission|warranty|redistribution|endorse|compliance|warranties|software|redistribute|reserved"
+#: Marks in the normalised text: a sentence ends, and a sentence may end.
+END, MAYBE = "\ue000", "\ue001"
+SPACE = r"[\x20\x09-\x0D]+"
+#: Where the marks go, in this order; lines of comment signs only are blank too.
+MARKS = (
+    (r"(?<=\n)[^\p{L}\p{N}\n]*(?:\p{N}{1,2}|[a-z])[.)]" + SPACE, MAYBE),
+    (r"(?<=\b(?:v|ver|vers|inc|ltd|corp|co)\.)" + SPACE, MAYBE),
+    (r"\n[^\p{L}\p{N}\n" + END + MAYBE + r"]*(?=\n)|(?<=[.;:!?])" + SPACE, END),
+    (r"\n", MAYBE),
+    (r"[^\p{L}\p{N}" + END + MAYBE + r"]+", " "),
+    (" *([" + END + MAYBE + "]) *", "$1"),
+    (END + "[" + END + MAYBE + "]+|" + MAYBE + "+(?:" + END + "[" + END + MAYBE + "]*)", END),
+    (MAYBE + "+", MAYBE),
+)
 NEW = ["license_sentences", "n_license_sentences", "licenses"]
 
 
-def sentence_ids(text: Column, sentences: Mapping[str, str], hints: str | None) -> Column:
+def known_sentences(sentences: Mapping[str, str], whole: Mapping[str, Sequence[str]]) -> dict[str, str]:
+    """Identifiers by sentence, the longest sentence first."""
+    every = {s: k for k, v in sentences.items() for s in (v, *whole.get(k, ()))}
+    return dict(sorted(every.items(), key=lambda x: -len(x[0])))
+
+
+def sentence_ids(text: Column, known: Mapping[str, str], hints: str | None) -> Column:
     """Identifiers ``<a><b>`` of the known sentences of ``text``, in order."""
-    known = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (v, f"<{k}>")])
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^\\p{L}\\p{N}]+", " "))
-    ids = F.array_join(F.filter(F.transform(F.split(text, BREAKS), lambda s: known[plain(s)]), lambda i: i.isNotNull()), "")
+    plain = F.lower(F.translate(text, END + MAYBE, "  "))
+    for pattern, mark in MARKS:
+        plain = F.regexp_replace(plain, pattern, mark)
+    ends = f"[{END}{MAYBE}]"
+    one = "|".join(s.replace(" ", f"[ {MAYBE}]") for s in known)
+    found = F.regexp_extract_all(F.concat(F.lit(END), F.trim(plain), F.lit(END)), F.lit(f"(?<={ends})(?:{one})(?={ends})"), F.lit(0))
+    names = F.create_map(*[F.lit(x) for s, k in known.items() for x in (s, f"<{k}>")])
+    ids = F.array_join(F.transform(found, lambda s: names[F.translate(s, MAYBE, " ")]), "")
     ids = F.when(text.rlike(hints), ids) if hints else ids
     return F.coalesce(ids, F.lit(""))
 
 
-def scanned(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES, hints: str | None = HINTS) -> DataFrame:
+def scanned(
+    docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES, hints: str | None = HINTS, whole: Mapping[str, Sequence[str]] = WHOLE
+) -> DataFrame:
     """The input with the identifiers found (joined by a space), their number, and the licences (in the rules' order, joined by a comma).
 
-    Give ``hints=None`` with sentences of your own that it does not cover.
+    ``whole`` has further sentences for identifiers of ``sentences``. Give ``hints=None`` with sentences of your own
+    that it does not cover.
     """
     old = [F.col(f"`{c}`") for c in docs.columns if c not in NEW]
-    out = docs.select(*old, sentence_ids(F.col("text"), sentences, hints).alias("_ids")).withColumn("_left", F.col("_ids"))
+    out = docs.select(*old, sentence_ids(F.col("text"), known_sentences(sentences, whole), hints).alias("_ids")).withColumn("_left", F.col("_ids"))
     for i, (_, needed) in enumerate(rules):
         pattern = "".join(f"<{k}>" for k in needed)
         out = out.select("*", F.contains("_left", F.lit(pattern)).alias(f"_hit{i}")).withColumn("_left", F.replace("_left", F.lit(pattern), F.lit("|")))

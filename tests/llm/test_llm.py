@@ -381,6 +381,89 @@ def test_licenses(spark):
     assert "Python" not in text and "Arrow" not in text
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM.
+"""
+BSD_TEXT = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_NAMES = """3) Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE_TEXT = """# Copyright 2020 Someone
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language.
+"""
+GPL_TEXT = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+MPL_TEXT = """ * This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_licenses_canonical(spark):
+    mit, apache = "mit_name mit_grant mit_condition as_is", "apache_notice apache_grant apache_as_is"
+    bsd = "reserved bsd_grant bsd_source bsd_binary"
+    cases = [
+        (MIT_TEXT, mit, "MIT"), (MIT_TEXT.replace("\n", "\r\n"), mit, "MIT"), ("\n\n".join(" ".join(p.split()) for p in MIT_TEXT.split("\n\n")), mit, "MIT"),
+        ("The MIT License (MIT)\n" + MIT_TEXT.split("\n\n", 2)[2], mit, "MIT"),
+        (BSD_TEXT, bsd, "BSD-2-Clause, Proprietary"), (BSD_TEXT + BSD_NAMES, bsd + " bsd_names", "BSD-3-Clause, Proprietary"),
+        (APACHE_TEXT, apache, "Apache-2.0"), (APACHE_TEXT.replace("# ", "").replace("#", ""), apache, "Apache-2.0"),
+        (GPL_TEXT, "gpl_free gpl_terms gpl_hope", "GPL-3.0"), (MPL_TEXT, "mpl_notice", "MPL-2.0"),
+        ("All\u00a0rights reserved.", "reserved", "Proprietary"), ("All rights\u00a0reserved.", "reserved", "Proprietary"), ("All rights\nreserved", "reserved", "Proprietary"),
+        ("This program is free\nsoftware: and", "gpl_free", ""), ("All rights\n\nreserved", "", ""), ("Not all rights reserved", "", ""), ("all rights reserved here", "", ""),
+        ("See v. 2. All rights reserved", "reserved", "Proprietary"), ("All rights\ue000reserved", "reserved", "Proprietary"),
+    ]
+    got = {r.doc_id: r for r in licenses.scanned(frame(spark, [c[0] for c in cases], extra=False)).collect()}
+    assert [(got[i].license_sentences, got[i].licenses) for i in range(len(cases))] == [c[1:] for c in cases]
+    hint = licenses.HINTS.removeprefix("(?i)").split("|")
+    assert all(" " not in h for h in hint)
+    assert all(any(h in s for h in hint) for s in licenses.known_sentences(licenses.SENTENCES, licenses.WHOLE))
+
+
 # --- 10
 
 
