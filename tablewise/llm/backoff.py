@@ -4,9 +4,12 @@ A word's score is its n-gram's count over that of the context, if the n-gram occ
 n-gram, times ``alpha``. Counts leave out the document that is scored, so that a text is not known by itself. A
 document's score is the mean of the natural logarithms over its words.
 
-The relations: documents form chunks (by hash) of bounded size; a chunk explodes into its different n-grams with their counts, which
-are partitioned by hash into buckets; a bucket adds up the counts of all chunks and joins the totals back to
-each chunk's n-grams; a chunk sums them per document. An n-gram is one entry for each chunk, however frequent, so
+The relations: documents form chunks (by hash) of bounded size; a chunk's different n-grams with their counts, packed as arrays,
+are partitioned by hash into buckets; a bucket adds up the counts of all chunks and gives each chunk the totals of
+its n-grams; a chunk sums them per document. Most longer n-grams occur in one chunk only, which then knows their
+totals itself. To find these, the first bits of all hashes (some more than tell the corpus's n-grams apart) are
+compared in the same way before; only n-grams whose first bits another chunk has too are sent whole. Nothing is
+left out by this: equal first bits of different n-grams cost a request more. An n-gram is one entry for each chunk, however frequent, so
 there is no hot key; chunks and buckets grow in number with the corpus, not in size. N-grams are 64-bit hashes.
 
 Defined cases: a null or empty text has no words and a null score. Rows without ``doc_id`` are scored like any other; each row counts
@@ -27,21 +30,32 @@ from tablewise.llm.common import Rolling, as_bytes, by_value, hash_words, mix
 
 by_value(__name__)
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
 #: Characters of text in a chunk, and in what a bucket answers for.
 CHUNK_CHARS = 6_000_000
 BUCKET_CHARS = 12_000_000
 LEAST_BUCKETS = 64
+#: Bits of a hash beyond those that number the words: an n-gram in 2 ** SPARE_BITS or so is sent in vain.
+SPARE_BITS = 4
+
+
+def small(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def whole(b: bytes) -> bytes:
+    return pa.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True) if any(b[:8]) else b""
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Integers with their bytes side by side, which compress where they are small."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Integers with their bytes side by side, compressed."""
+    return small(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpacked(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    raw = np.frombuffer(whole(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, len(raw) // 8).T).view("<u8").ravel()
 
 
 class Grams:
@@ -70,21 +84,59 @@ class Grams:
         self.counts = np.bincount(index, minlength=len(self.hashes))
 
 
-def requests(order: int, buckets: int):
+def first_bits(hashes: np.ndarray, width: int, buckets: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The different first ``width`` bits of ordered hashes, which of them each hash has, and where buckets begin and end."""
+    short, index = np.unique(hashes >> np.uint64(64 - width), return_inverse=True)
     bits = (buckets - 1).bit_length()
+    return short, index, np.searchsorted(short >> np.uint64(width - bits), np.arange((1 << bits) + 1)).tolist()
+
+
+def prints(order: int, buckets: int, width: int):
+    """First bits of a chunk's n-grams for each bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        grams = Grams(as_bytes(table.column("text").combine_chunks()), order)
-        edge = np.searchsorted(grams.hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1)).tolist()
-        rows = []
-        for b, (i, j) in enumerate(zip(edge, edge[1:])):
-            if i < j:
-                h = grams.hashes[i:j]
-                rows.append((b, packed(np.diff(h, prepend=np.uint64(0))), packed(grams.counts[i:j])))
-        b, h, c = map(list, zip(*rows)) if rows else ([], [], [])
+        short, _, edge = first_bits(Grams(as_bytes(table.column("text").combine_chunks()), order).hashes, width, buckets)
+        rows = [(b, packed(np.diff(short[i:j], prepend=np.uint64(0)))) for b, (i, j) in enumerate(zip(edge, edge[1:])) if i < j]
+        b, p = map(list, zip(*rows)) if rows else ([], [])
         chunk = table.column("chunk").slice(0, 1).to_pylist() * len(rows)
-        return pa.table({"bucket": pa.array(b, pa.int32()), "chunk": pa.array(chunk, pa.int64()), "grams": pa.array(h, pa.binary()), "counts": pa.array(c, pa.binary())})
+        return pa.table({"bucket": pa.array(b, pa.int32()), "chunk": pa.array(chunk, pa.int64()), "prints": pa.array(p, pa.binary())})
+
+    return run
+
+
+def shared(table: pa.Table) -> pa.Table:
+    """One bit for each first bits of a chunk in one bucket: whether another chunk has them too."""
+    table = table.combine_chunks()
+    parts = [np.cumsum(unpacked(x), dtype=np.uint64) for x in table.column("prints").to_pylist()]
+    _, index, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    both = np.split(count[index] > 1, np.cumsum([len(p) for p in parts])[:-1])
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "shared": pa.array([small(np.packbits(x).tobytes()) for x in both], pa.binary())})
+
+
+def told_shared(found: pa.Table, edge: list[int]) -> np.ndarray:
+    """The bits of ``shared`` for all of a chunk's first bits; ``found`` is in the order of the buckets."""
+    bits = np.zeros(edge[-1], bool)
+    for b, x in zip(found.column("bucket").to_pylist(), found.column("shared").to_pylist()):
+        bits[edge[b] : edge[b + 1]] = np.unpackbits(np.frombuffer(whole(x), np.uint8), count=edge[b + 1] - edge[b])
+    return bits
+
+
+def requests(order: int, buckets: int, width: int):
+    """A chunk's n-grams that another chunk may have, for each bucket."""
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        docs, found = docs.combine_chunks(), found.combine_chunks().sort_by("bucket")
+        grams = Grams(as_bytes(docs.column("text").combine_chunks()), order)
+        _, index, edge = first_bits(grams.hashes, width, buckets)
+        ask = told_shared(found, edge)[index]
+        at = np.searchsorted(index, edge).tolist()
+        h, c = [], []
+        for b in found.column("bucket").to_pylist():
+            these = slice(at[b], at[b + 1])
+            h.append(packed(np.diff(grams.hashes[these][ask[these]], prepend=np.uint64(0))))
+            c.append(packed(grams.counts[these][ask[these]]))
+        return pa.table({"bucket": found.column("bucket"), "chunk": found.column("chunk"), "grams": pa.array(h, pa.binary()), "counts": pa.array(c, pa.binary()), "shared": found.column("shared")})
 
     return run
 
@@ -103,14 +155,16 @@ def answers(table: pa.Table) -> pa.Table:
         sums = np.add.reduceat(np.concatenate(counts)[order], np.flatnonzero(new))
         totals[order] = sums[np.cumsum(new) - 1]
     parts = np.split(totals, np.cumsum([len(h) for h in hashes])[:-1])
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "totals": pa.array([packed(p) for p in parts], pa.binary())})
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "totals": pa.array([packed(p) for p in parts], pa.binary()), "shared": table.column("shared")})
 
 
-def scores(order: int, alpha: float, words: int):
+def scores(order: int, alpha: float, words: int, buckets: int, width: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         docs, found = docs.combine_chunks(), found.combine_chunks().sort_by("bucket")
         grams = Grams(as_bytes(docs.column("text").combine_chunks()), order)
-        totals = np.concatenate([unpacked(x) for x in found.column("totals").to_pylist()] or [np.empty(0, np.uint64)]).astype(np.int64)
+        _, index, edge = first_bits(grams.hashes, width, buckets)
+        totals = grams.counts.astype(np.int64)  # of n-grams that no other chunk has
+        totals[told_shared(found, edge)[index]] = np.concatenate([unpacked(x) for x in found.column("totals").to_pylist()] or [np.empty(0, np.uint64)]).astype(np.int64)
         left = []
         for index in grams.index:  # counts elsewhere: totals without those of the document itself
             value = np.zeros(len(index), np.int64)
@@ -138,7 +192,7 @@ def scores(order: int, alpha: float, words: int):
     return run
 
 
-def scored(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
+def scored(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS, least_buckets: int = LEAST_BUCKETS, spare_bits: int = SPARE_BITS) -> DataFrame:
     """``doc_id, n_words``, ``n_full`` (words whose longest n-gram occurs elsewhere) and ``score`` of every row.
 
     A context's count is that of the n-gram one shorter that ends before the word, the document left out.
@@ -148,6 +202,9 @@ def scored(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk_char
     chunks = chars // chunk_chars + 1
     buckets = 1 << max(chars * order // bucket_chars, least_buckets - 1).bit_length()
     keyed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
-    asked = keyed.groupBy("chunk").applyInArrow(requests(order, buckets), "bucket int, chunk bigint, grams binary, counts binary")
-    told = asked.groupBy("bucket").applyInArrow(answers, "chunk bigint, bucket int, totals binary")
-    return keyed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(scores(order, alpha, words), "doc_id bigint, n_words bigint, n_full bigint, score double")
+    width = min(max((words * order).bit_length(), buckets.bit_length()) + spare_bits, 64)
+    first = keyed.groupBy("chunk").applyInArrow(prints(order, buckets, width), "bucket int, chunk bigint, prints binary")
+    known = first.groupBy("bucket").applyInArrow(shared, "chunk bigint, bucket int, shared binary")
+    asked = keyed.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(requests(order, buckets, width), "bucket int, chunk bigint, grams binary, counts binary, shared binary")
+    told = asked.groupBy("bucket").applyInArrow(answers, "chunk bigint, bucket int, totals binary, shared binary")
+    return keyed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(scores(order, alpha, words, buckets, width), "doc_id bigint, n_words bigint, n_full bigint, score double")

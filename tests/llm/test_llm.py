@@ -234,6 +234,13 @@ def test_backoff_against_brute_force(spark, order):
     assert backoff.scored(frame(spark)).count() == len(TEXTS) + 3
 
 
+def test_backoff_uses_trigrams(spark):
+    docs = frame(spark, ["a b c x", "a b c y", "b c z a b w"], extra=False)
+    assert {r.doc_id: r.n_full for r in backoff.scored(docs).collect()} == {0: 1, 1: 1, 2: 0}
+    rows = lambda **o: sorted(map(tuple, backoff.scored(frame(spark), chunk_chars=3000, **o).collect()), key=str)
+    assert rows() == rows(spare_bits=64) == rows(spare_bits=0, least_buckets=2) and rows() != rows(order=2)
+
+
 # --- 5
 
 
