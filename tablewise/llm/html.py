@@ -1,10 +1,11 @@
 """Main text of web pages from the standard library's parser events.
 
 The events of a page become lines, one for each block element. A line has the length of its text and the
-number of tags in it; their ratio, smoothed by a Gaussian over neighbouring lines, is clustered by a
-threshold (a quarter of the mean) into content and other lines.
-A content line stands for its region: all lines of the ``article`` or ``main`` element that holds it, or, on pages
-without one, the stretch of lines from the first to the last of its cluster. Menus, page headers, footers,
+number of tags in it. All lines of ``article`` and ``main`` elements are content, short articles like long ones. On
+pages without one, the ratio of length to tags, smoothed by a Gaussian over neighbouring lines, is clustered by a
+threshold: a quarter of the mean, for which no line counts more than ``CAP`` times the median, so that a very long
+line does not push others out. Content is the stretch from the first to the last line of the containers that lines
+of this cluster stand in. Menus, page headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles are known by their element, role, class or
 id, and are never lines. The parser goes through the page once; nothing is shuffled.
 
@@ -29,6 +30,8 @@ by_value(__name__)
 
 #: Width of the Gaussian in lines.
 SIGMA = 1.5
+#: In the threshold only, a line counts at most so many times the median ratio.
+CAP = 4
 # Fixed values of the markup language.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4"
@@ -37,6 +40,8 @@ BLOCKS = frozenset(
 HOLDERS = frozenset("article aside body details dialog div figure footer form head header main menu nav section table ul ol dl".split())
 OUT = frozenset("head script style noscript template nav menu aside form footer button select textarea iframe svg canvas object dialog title".split())
 CLOSED = OUT - HOLDERS
+#: Elements that hold a stretch of the page.
+CONTAINERS = frozenset("article body div main section".split())
 OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay"
     " sidebar aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar comment comments respond reply replies disqus share sharing social related"
@@ -63,21 +68,22 @@ def named(tag: str, value: str) -> set[str]:
 
 
 class Lines(HTMLParser):
-    """Collects ``(text, tags, region)`` of the lines of one page; region 0 is outside any article."""
+    """Collects ``(text, tags, region, container)`` of the lines of one page; region 0 is outside any article."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # holder, whether it hides its content, region
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.open: list[tuple[str, bool, int, int]] = []  # holder, whether it hides its content, region, container
         self.buffer: list[str] = []
         self.tags = self.regions = self.hidden = 0
         self.region = 0
+        self.container = self.containers = 0
 
     def flush(self) -> None:
         if self.buffer:
             text = " ".join("".join(self.buffer).split())
             if text:
-                self.lines.append((text, self.tags, self.region))
+                self.lines.append((text, self.tags, self.region, self.container))
             self.buffer = []
         self.tags = 0
 
@@ -103,6 +109,7 @@ class Lines(HTMLParser):
         for kinds in (("p",), NEXT_ENDS.get(tag, ())):
             while self.open and self.open[-1][0] in kinds:
                 self.hidden -= self.open.pop()[1]
+                self.container = self.open[-1][3] if self.open else 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -119,7 +126,10 @@ class Lines(HTMLParser):
                 if not self.region:
                     self.regions += 1
                     self.region = self.regions
-            self.open.append((tag, hides, self.region))
+            if tag in CONTAINERS:
+                self.containers += 1
+                self.container = self.containers
+            self.open.append((tag, hides, self.region, self.container))
             self.hidden += hides
 
     def handle_startendtag(self, tag, attrs):
@@ -135,10 +145,10 @@ class Lines(HTMLParser):
         self.tags += 1
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                for _, hides, _ in self.open[i:]:
+                for _, hides, *_ in self.open[i:]:
                     self.hidden -= hides
                 del self.open[i:]
-                self.region = self.open[-1][2] if self.open else 0
+                self.region, self.container = self.open[-1][2:4] if self.open else (0, 0)
                 return
 
     def handle_data(self, data):
@@ -152,21 +162,19 @@ def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(x, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def content(lines: list[tuple[str, int, int]]) -> list[str]:
-    """The lines of the regions that the smoothed text-to-tag ratio selects."""
+def content(lines: list[tuple[str, int, int, int]]) -> list[str]:
+    """The lines of all articles, or else of the stretch that the smoothed text-to-tag ratio selects."""
     if not lines:
         return []
-    ratio = smoothed(np.array([len(t) / max(tags, 1) for t, tags, _ in lines]))
-    high = ratio >= ratio.mean() / 4
-    region = np.array([r for _, _, r in lines])
-    chosen = np.unique(region[high & (region > 0)])
-    if len(chosen):
-        keep = np.isin(region, chosen)
-    else:
-        keep = np.zeros(len(lines), bool)
-        at = np.flatnonzero(high)
+    region = np.array([x[2] for x in lines])
+    keep = region > 0
+    if not keep.any():
+        ratio = np.array([len(x[0]) / max(x[1], 1) for x in lines])
+        high = smoothed(ratio) >= np.minimum(ratio, CAP * np.median(ratio)).mean() / 4
+        container = np.array([x[3] for x in lines])
+        at = np.flatnonzero(np.isin(container, np.unique(container[high])))
         keep[at[0] : at[-1] + 1] = True
-    return [t for (t, _, _), k in zip(lines, keep) if k]
+    return [x[0] for x, k in zip(lines, keep) if k]
 
 
 def main_text(page: str | None) -> str:

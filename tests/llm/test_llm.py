@@ -365,6 +365,18 @@ def test_html_unclosed_and_hidden():
     assert html.main_text("<table><tr><td class=ad>Buy<td>1<tr><td>2</table>") == "1\n2"
 
 
+def test_html_skewed():
+    paragraphs = [f"{i:02} " + "x" * 97 for i in range(30)]
+    texts = ["A heading of 20 chars", "y" * 50_000, *paragraphs]
+    lines = f"<h1>{texts[0]}</h1>" + "".join(f"<p>{x}</p>" for x in texts[1:])
+    for page in (f"<body>{lines}</body>", f"<body><div>{lines}<p>End.</p></div><div><a>1</a></div>"):
+        assert html.main_text(page).split("\n")[:32] == texts
+    assert html.main_text(f"<body><div>{lines}<p>End.</p></div>").endswith("End.")
+    short = "<article><p>Short one.</p></article>"
+    long = "<article>" + "".join(f"<p>{'z' * 5000}</p>" for _ in range(30)) + "</article>"
+    assert html.main_text(short + long + short).count("Short one.") == 2
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (2, None, None, None)], "page_id bigint, url string, html string, text string")
     got = html.extracted(pages).orderBy("page_id").collect()
