@@ -7,7 +7,8 @@ threshold: a quarter of the mean, for which no line counts more than ``CAP`` tim
 line does not push others out. Content is the stretch from the first to the last line of the containers that lines
 of this cluster stand in. Menus, page headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles are known by their element, role, class or
-id, and are never lines. The parser goes through the page once; nothing is shuffled.
+id, and are never lines. A class or id counts by its whole name or last part, the id of a heading or paragraph never;
+and a ``div`` or ``section`` with such a name that holds most of the page's text stays. The parser goes through the page once; nothing is shuffled.
 
 Defined cases: null and empty html give the empty text. An unclosed paragraph ends at the next block, an unclosed list
 item or cell at the next one, other unclosed elements with the element around them or the page. A tag cut off by the end of the page is dropped. Repeated rows give equal
@@ -51,6 +52,13 @@ HEAD_WORDS = frozenset(["header"])
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 #: First and last parts of class names that tell what a page has, and do not name the element (``with-sidebar``, ``comments-open``).
 TELLING = frozenset("has have with without no not is show hide open closed enabled disabled on off".split())
+#: Last parts of class names and ids that name a form; what is in it stands before.
+FORMS = frozenset("box container wrapper wrap unit slot bar list".split())
+#: Elements that may be named like a part of the page and yet hold its main text; and those whose id is made from their text.
+WRAPPERS = frozenset(["div", "section"])
+TITLED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+#: Ways to be hidden.
+SHOWN, BY_NAME, ALWAYS = 0, 1, 2
 #: Elements without content, and those that the next one of their kind ends.
 VOID = frozenset(["hr"])
 NEXT_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
@@ -58,58 +66,66 @@ WORD = re.compile("[a-z]+")
 
 
 def named(tag: str, value: str) -> set[str]:
-    """The words of a class or id that say what the element is; of an article only whole names do."""
+    """The words of a class or id that say what the element is: whole names, and the last parts of others but for an article."""
     out = set()
     for name in value.lower().split():
         words = WORD.findall(name)
-        if words and (len(words) == 1 or tag != "article" and words[0] not in TELLING and words[-1] not in TELLING):
+        if len(words) == 1:
             out.update(words)
+        elif words and tag != "article" and words[0] not in TELLING and words[-1] not in TELLING:
+            while len(words) > 1 and words[-1] in FORMS:
+                words.pop()
+            out.add(words[-1])
     return out
 
 
 class Lines(HTMLParser):
-    """Collects ``(text, tags, region, container)`` of the lines of one page; region 0 is outside any article."""
+    """Collects ``(text, tags, region, container, wrapper)`` of the lines of one page; region 0 is outside any article.
+
+    ``wrapper`` is the number of the innermost element around that is hidden by its name for now, or 0.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.open: list[tuple[str, bool, int, int]] = []  # holder, whether it hides its content, region, container
+        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.open: list[tuple[str, bool, int, int, int]] = []  # holder, whether it hides its content, region, container, wrapper
         self.buffer: list[str] = []
         self.tags = self.regions = self.hidden = 0
         self.region = 0
-        self.container = self.containers = 0
+        self.container = self.containers = self.wrapper = 0
+        self.around = [0]  # the wrapper around each wrapper
 
     def flush(self) -> None:
         if self.buffer:
             text = " ".join("".join(self.buffer).split())
             if text:
-                self.lines.append((text, self.tags, self.region, self.container))
+                self.lines.append((text, self.tags, self.region, self.container, self.wrapper))
             self.buffer = []
         self.tags = 0
 
-    def hides(self, tag: str, attrs) -> bool:
+    def hides(self, tag: str, attrs) -> int:
         if tag in OUT:
-            return True
-        inside = self.region > 0
+            return ALWAYS
+        how, inside = SHOWN, self.region > 0
         if tag == "header" and not inside:
-            return True
+            return ALWAYS
         for name, value in attrs:
-            if value and name in ("class", "id"):
+            if value and (name == "class" or name == "id" and tag not in TITLED):
                 words = named(tag, value)
-                if not OUT_WORDS.isdisjoint(words) or not inside and not HEAD_WORDS.isdisjoint(words):
-                    return tag not in ("body", "html", "main")
+                if tag not in ("body", "html", "main") and (not OUT_WORDS.isdisjoint(words) or not inside and not HEAD_WORDS.isdisjoint(words)):
+                    how = BY_NAME if tag in WRAPPERS else ALWAYS
             elif name == "role" and value in OUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
+                return ALWAYS
             elif name == "style" and value and "display:none" in "".join(value.lower().split()):
-                return True
-        return False
+                return ALWAYS
+        return how
 
     def end_before(self, tag: str) -> None:
         """End what a block ends that has no end tag: the paragraph, and the one before of its kind."""
         for kinds in (("p",), NEXT_ENDS.get(tag, ())):
             while self.open and self.open[-1][0] in kinds:
                 self.hidden -= self.open.pop()[1]
-                self.container = self.open[-1][3] if self.open else 0
+                self.container, self.wrapper = self.open[-1][3:] if self.open else (0, 0)
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -121,7 +137,11 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         if tag in HOLDERS or tag in CLOSED or attrs and tag in BLOCKS:
-            hides = self.hides(tag, attrs)
+            how = self.hides(tag, attrs)
+            hides = how == ALWAYS
+            if how == BY_NAME and not self.hidden:
+                self.around.append(self.wrapper)
+                self.wrapper = len(self.around) - 1
             if tag in ("article", "main") and not hides:
                 if not self.region:
                     self.regions += 1
@@ -129,7 +149,7 @@ class Lines(HTMLParser):
             if tag in CONTAINERS:
                 self.containers += 1
                 self.container = self.containers
-            self.open.append((tag, hides, self.region, self.container))
+            self.open.append((tag, hides, self.region, self.container, self.wrapper))
             self.hidden += hides
 
     def handle_startendtag(self, tag, attrs):
@@ -148,7 +168,7 @@ class Lines(HTMLParser):
                 for _, hides, *_ in self.open[i:]:
                     self.hidden -= hides
                 del self.open[i:]
-                self.region, self.container = self.open[-1][2:4] if self.open else (0, 0)
+                self.region, self.container, self.wrapper = self.open[-1][2:] if self.open else (0, 0, 0)
                 return
 
     def handle_data(self, data):
@@ -162,7 +182,20 @@ def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(x, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def content(lines: list[tuple[str, int, int, int]]) -> list[str]:
+def shown(lines: list[tuple[str, int, int, int, int]], around: list[int]) -> list[tuple[str, int, int, int, int]]:
+    """The lines without those in wrappers that are named like a part of the page and hold no more than half of its text."""
+    size = [0] * len(around)
+    for x in lines:
+        size[x[4]] += len(x[0])
+    for i in range(len(around) - 1, 0, -1):  # what is inside is counted before
+        size[around[i]] += size[i]
+    stays = [True] * len(around)
+    for i in range(1, len(around)):
+        stays[i] = stays[around[i]] and 2 * size[i] > size[0]
+    return [x for x in lines if stays[x[4]]]
+
+
+def content(lines: list[tuple[str, int, int, int, int]]) -> list[str]:
     """The lines of all articles, or else of the stretch that the smoothed text-to-tag ratio selects."""
     if not lines:
         return []
@@ -187,7 +220,7 @@ def main_text(page: str | None) -> str:
     parser.feed(page)
     parser.close()
     parser.flush()
-    return "\n".join(content(parser.lines))
+    return "\n".join(content(shown(parser.lines, parser.around)))
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -377,6 +377,18 @@ def test_html_skewed():
     assert html.main_text(short + long + short).count("Short one.") == 2
 
 
+def test_html_names():
+    body = "".join(f"<p>{prose(30, i)}</p>" for i in range(3))
+    text = "\n".join(" ".join(prose(30, i).split()) for i in range(3))
+    for kept in ("<h2 id=related-work>Kept</h2>", "<h2 id=comments>Kept</h2>", "<p id=share-prices>Kept</p>", "<section id=menu-planning>Kept</section>"):
+        assert html.main_text(f"<article>{kept}{body}</article>") == html.main_text(f"<body>{kept}{body}</body>") == f"Kept\n{text}"
+    for hidden in ("<div class=left-sidebar>Out</div>", "<section id=comments>Out</section>", "<div class=ad-container-2>Out</div>", "<h2 class=related>Out</h2>"):
+        assert html.main_text(f"<article>{hidden}{body}</article>") == text
+    for name in ("content-left-sidebar", "sidebar"):
+        assert html.main_text(f"<body><div class=menu>Out</div><div class={name}>{body}<div class=share>Out</div></div></body>") == text
+    assert html.main_text(f"<body><div hidden class=sidebar>{body}</div><p>In</p></body>") == "In"
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (2, None, None, None)], "page_id bigint, url string, html string, text string")
     got = html.extracted(pages).orderBy("page_id").collect()
