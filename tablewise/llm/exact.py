@@ -71,7 +71,8 @@ def _found(docs: DataFrame, prefix: int, slots: int, also: Sequence[Column]) ->
     digest = F.when(F.col("same_length") & F.col("same_start"), F.unhex(F.sha2(normal(F.col("text")), 256)))
     read = store(marked.select("doc_id", "also", "length", digest.alias("digest")), "digests")
     sizes = read.where("digest IS NOT NULL").groupBy("length", "digest").agg(F.max("doc_id").alias("most"), F.count("*").alias("size"))
-    return read.join(sizes.where("size > 1"), ["length", "digest"], "left")
+    sizes = store(sizes.where("size > 1"), "groups")  # a join of two plain shuffles, whose hot side can be split
+    return read.join(sizes, ["length", "digest"], "left")
 
 
 def groups(docs: DataFrame, *, prefix: int = PREFIX, slots: int = SLOTS, also: Sequence[Column] = ()) -> DataFrame:
