@@ -16,18 +16,45 @@ def union(template, names):
     return "\nUNION ALL\n".join(template.replace("{c}", n) for n in names)
 
 
-@query("p_profile_lineitem", "lineitem", sql="""
-WITH keys AS (SELECT count(*) AS n FROM lineitem)
-""" + union("""SELECT '{c}' AS name, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS n_unique,
-round(min(CAST({c} AS DOUBLE)), 4) AS minimum, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS median,
-round(max(CAST({c} AS DOUBLE)), 4) AS maximum FROM lineitem""", LINEITEM_NUMERIC) + """
-UNION ALL """ + union("""SELECT '{c}', count(*) - count({c}), count(DISTINCT {c}), NULL, NULL, NULL
-FROM lineitem""", LINEITEM[8:]))
+_CLASSES = ["l_returnflag", "l_linestatus"]
+_PROFILE = """
+SELECT '{c}' AS name, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS n_unique, {kind} AS semantic,
+       {numeric} AS numeric, {classes} AS classes, {when} AS period
+FROM lineitem"""
+_FIGURES = """{{'n': count({c}), 'minimum': round(min({c})::DOUBLE, 4), 'maximum': round(max({c})::DOUBLE, 4), 'mean': round(avg({c}), 4),
+ 'median': round(quantile_cont({c}::DOUBLE, 0.5), 4), 'std': round(stddev_samp({c}), 4), 'q1': round(quantile_cont({c}::DOUBLE, 0.25), 4),
+ 'q3': round(quantile_cont({c}::DOUBLE, 0.75), 4), 'zeros': count_if({c} = 0)::BIGINT, 'negatives': count_if({c} < 0)::BIGINT,
+ 'fence': (SELECT count_if({c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a))::BIGINT FROM lineitem,
+   (SELECT quantile_cont({c}::DOUBLE, 0.25) AS a, quantile_cont({c}::DOUBLE, 0.75) AS b FROM lineitem)),
+ 'z': (SELECT count_if(abs({c} - m) * 0.6745 / d > 3.5)::BIGINT FROM lineitem,
+   (SELECT m, quantile_cont(abs(x.{c} - m)::DOUBLE, 0.5) AS d FROM lineitem x, (SELECT quantile_cont({c}::DOUBLE, 0.5) AS m FROM lineitem) GROUP BY m))}}"""
+_TOP = """(SELECT list(v || ' ' || n ORDER BY n DESC, v) FROM (SELECT {c} AS v, count(*) AS n FROM lineitem GROUP BY 1))"""
+_FIELDS = ("n", "minimum", "maximum", "mean", "median", "std", "q1", "q3", "zeros", "negatives")
+
+
+def _profile_sql():
+    for c in LINEITEM:
+        parts = {"kind": "'numeric'", "numeric": "NULL", "classes": "NULL", "when": "NULL"}
+        if c in LINEITEM_NUMERIC:
+            parts["numeric"] = _FIGURES.format(c=c)
+        elif c in _CLASSES:
+            parts |= {"kind": "'categorical'", "classes": _TOP.format(c=c)}
+        else:
+            parts |= {"kind": "'temporal'", "when": "[substr(min(l_shipdate)::VARCHAR, 1, 10), substr(max(l_shipdate)::VARCHAR, 1, 10)]"}
+        yield _PROFILE.format(c=c, **parts)
+
+
+@query("p_profile_lineitem", "lineitem", sql="\nUNION ALL\n".join(_profile_sql()))
 def p_profile(lineitem):
     table = profile.profile(lineitem, name="lineitem").to_df(lineitem.sparkSession)
+    rounded = {"minimum", "maximum", "mean", "median", "std", "q1", "q3"}
+    figures = [(F.round(f"numeric.{c}", 4) if c in rounded else F.col(f"numeric.{c}")).alias(c) for c in _FIELDS]
+    numeric = F.struct(*figures, F.col("iqr_outliers").alias("fence"), F.col("modified_z_outliers").alias("z"))
+    shown = F.transform("categorical.top", lambda t: F.concat_ws(" ", t["value"], t["n"]))
+    ends = F.array(F.substring("temporal.earliest", 1, 10), F.substring("temporal.latest", 1, 10))
     return table.select(
-        "name", "null_count", "n_unique",
-        *[F.round(f"numeric.{c}", 4).alias(c) for c in ("minimum", "median", "maximum")],
+        "name", "null_count", "n_unique", "semantic",
+        F.when(F.col("numeric").isNotNull(), numeric).alias("numeric"), shown.alias("classes"), F.when(F.col("temporal").isNotNull(), ends).alias("period"),
     )
 
 
@@ -62,10 +89,9 @@ round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 4) AS q1, round(quantile_cont(CA
 CAST(count_if({c} = 0) AS BIGINT) AS zeros, CAST(count_if({c} < 0) AS BIGINT) AS negatives,
 (SELECT round(avg((CAST(x.{c} AS DOUBLE) - m) ** 3) / pow(avg((CAST(x.{c} AS DOUBLE) - m) ** 2), 1.5) + 0.0, 3)
  FROM lineitem x, (SELECT avg({c}) AS m FROM lineitem)) AS skew
-FROM lineitem""", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]))
+FROM lineitem""", LINEITEM_NUMERIC))
 def p_numeric(lineitem):
-    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
-    df = stats.numeric_stats(lineitem, cols)
+    df = stats.numeric_stats(lineitem)
     return df.withColumns(
         {c: F.round(c, 4) for c in ("mean", "median", "std", "q1", "q3")} | {"skew": F.round("skew", 3) + 0.0}
     )
@@ -73,9 +99,9 @@ def p_numeric(lineitem):
 
 @query("p_value_counts", "lineitem", sql=union("""
 SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY 2""",
-["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"]))
+LINEITEM))
 def p_values(lineitem):
-    return stats.value_counts(lineitem, ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"])
+    return stats.value_counts(lineitem, lineitem.columns)
 
 
 @query("p_categorical_stats", "part", sql=union("""

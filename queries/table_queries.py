@@ -576,6 +576,7 @@ def g34(events):
     return out.select("event_id", F.round("v", 6).alias("v"))
 
 
+_MEASURES = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split()
 _DESCRIBE = """SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,
   round(var_samp({c}), 2) AS variance, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
   round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS median,
@@ -583,18 +584,18 @@ _DESCRIBE = """SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 4) AS
   round(skewness({c}) * (count({c}) - 2) / sqrt(count({c}) * (count({c}) - 1.0)), 3) + 0.0 AS skew FROM lineitem"""
 
 
-@query("g35_describe", "lineitem", sql=" UNION ALL ".join(_DESCRIBE.replace("{c}", c) for c in ("l_quantity", "l_extendedprice", "l_discount")))
+@query("g35_describe", "lineitem", sql=" UNION ALL ".join(_DESCRIBE.replace("{c}", c) for c in _MEASURES))
 def g35(lineitem):
-    df = A.describe(lineitem, ["l_quantity", "l_extendedprice", "l_discount"])
+    df = A.describe(lineitem)
     df = df.withColumns({c: F.round(c, 4) for c in ("mean", "std", "p25", "median", "p75")})
     return df.withColumns({"variance": F.round("variance", 2), "kurtosis": F.round("kurtosis", 3), "skew": F.round("skew", 3) + 0.0})
 
 
 @query("g36_corr_matrix", "lineitem", sql=" UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS r FROM lineitem"
-    for a in ("l_quantity", "l_extendedprice", "l_tax") for b in ("l_quantity", "l_extendedprice", "l_tax")))
+    for a in _MEASURES for b in _MEASURES))
 def g36(lineitem):
-    df = A.correlation_matrix(lineitem, ["l_quantity", "l_extendedprice", "l_tax"])
+    df = A.correlation_matrix(lineitem)
     return df.withColumn("r", F.round("r", 6) + 0.0)
 
 

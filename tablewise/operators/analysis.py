@@ -11,22 +11,22 @@ from pyspark.sql.window import Window
 from tablewise.functions.numeric import float_div
 from tablewise.functions.types import columns_where, ident, is_numeric
 from tablewise.operators.ordered import group_quantiles, group_totals, match_keys, tie_ranks
-from tablewise.operators.stats import column_quantiles, correlations, wide
+from tablewise.operators.stats import column_quantiles, correlations, stacked
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, *, bound: int | None = None) -> DataFrame:
     """Count, mean, std, variance, min, quartiles, max, skew and excess kurtosis of each column."""
-    columns = list(columns or columns_where(df, is_numeric))
-    def moments(c: Column) -> dict[str, Column]:
-        x = c.cast("double")
+    values = {c: F.col(ident(c)) for c in columns or columns_where(df, is_numeric)}
+
+    def moments(x: Column) -> dict[str, Column]:
         return {
             "n": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "variance": F.var_samp(x),
             "min": F.min(x), "max": F.max(x), "skew": F.skewness(x), "kurtosis": F.kurtosis(x),
         }
 
     places = {"p25": 0.25, "median": 0.5, "p75": 0.75}
-    middle = column_quantiles(df, {c: F.col(ident(c)) for c in columns}, places, bound=bound)
-    return wide(df, columns, moments).join(F.broadcast(middle), "column")  # one row for each column
+    middle = column_quantiles(df, values, places, bound=bound)
+    return stacked(df, values, moments).drop("at").join(F.broadcast(middle), "column")  # one row for each column
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

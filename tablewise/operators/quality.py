@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions.text import strip
 from tablewise.functions.types import columns_where, comparable, ident, is_floating, is_numeric, is_string
-from tablewise.operators.stats import QUARTILES, column_quantiles, column_shapes, nulls_distinct, wide, wide_by_name
+from tablewise.operators.stats import QUARTILES, column_quantiles, column_shapes, nulls_distinct, numbers, stacked, wide
 
 # Thresholds of the findings.
 NULL_RATE_NOTE = 0.20
@@ -24,27 +26,30 @@ Z_CUTOFF = 3.5
 MIN_OUTLIER_VALUES = 4
 
 
-def row_fingerprint(columns: Sequence[Column]) -> Column:
-    """128 bits that stand for a row, so wide rows and long text need not travel.
-
-    The hash passes over nulls, so whether each column is null is hashed beside its value.
-    """
-    parts = [x for c in columns for x in (c, c.isNull())]
-    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
+def _null_marks(columns: Sequence[Column]) -> list[Column]:
+    """Which of ``columns`` are null, as bits of whole numbers: the hash passes over nulls."""
+    bits = [F.when(c.isNull(), F.lit(1 << (i % 62))).otherwise(F.lit(0)).cast("long") for i, c in enumerate(columns)]
+    return [reduce(lambda x, y: x.bitwiseOR(y), bits[at : at + 62]) for at in range(0, len(bits), 62)]
 
 
 def duplicates(df: DataFrame) -> DataFrame:
     """Rows, exact extra copies, and extra copies once text is stripped and lower-cased.
 
-    One scan; only two fingerprints a row are shuffled, and equal rows combine map-side, so a row
-    copied over and over does not load one task.
+    One scan; only two 128-bit fingerprints a row are shuffled, so wide rows and long text need not travel, and equal rows
+    combine map-side, so a row copied over and over does not load one task.
     """
-    texts = set(columns_where(df, is_string))
-    plain = [comparable(F.col(ident(f.name)), f.dataType) for f in df.schema.fields]
-    normal = [F.lower(strip(x)) if c in texts else x for c, x in zip(df.columns, plain)]
-    prints = df.select(row_fingerprint(plain).alias("exact"), row_fingerprint(normal).alias("near"))
-    exact = prints.groupBy("exact", "near").agg(F.count("*").alias("copies"))
-    near = exact.groupBy("near").agg(F.sum("copies").alias("copies"), F.count("*").alias("kinds"))
+    cells = {f.name: comparable(F.col(ident(f.name)), f.dataType) for f in df.schema.fields}
+    texts = [cells[c] for c in columns_where(df, is_string)]
+    others = [x for c, x in cells.items() if c not in columns_where(df, is_string)] + _null_marks(list(cells.values()))
+    plain = [x.alias(f"t{i}") for i, x in enumerate(texts)]
+    base = df.select(F.xxhash64(F.lit(1), *others).alias("a"), F.xxhash64(F.lit(2), *others).alias("b"), *plain)
+    base = base.select("*", *[F.lower(strip(F.col(f"t{i}"))).alias(f"n{i}") for i in range(len(texts))])
+    prints = base.select(*[
+        F.xxhash64(half, *[f"{kind}{i}" for i in range(len(texts))]).alias(f"{name}_{half}")
+        for name, kind in (("exact", "t"), ("near", "n")) for half in ("a", "b")
+    ])
+    exact = prints.groupBy(*prints.columns).agg(F.count("*").alias("copies"))
+    near = exact.groupBy("near_a", "near_b").agg(F.sum("copies").alias("copies"), F.count("*").alias("kinds"))
     return near.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum("copies") - F.sum("kinds"), F.lit(0)).alias("duplicate_rows"),
@@ -115,7 +120,7 @@ def outlier_counts(
     """IQR-fence and modified-z outliers of each numeric column.
 
     Quartiles and the median deviation are exact column quantiles; what counts as an outlier is then a fixed test, so
-    one wide aggregate counts all columns. ``centre`` gives the quartiles by column if they are known.
+    one aggregate over the cells counts all columns. ``centre`` gives the quartiles by column if they are known.
     """
     columns = list(columns or columns_where(df, is_numeric))
     x = {c: F.col(ident(c)).cast("double") for c in columns}
@@ -124,25 +129,32 @@ def outlier_counts(
     middle = {r["column"]: r for r in centre.collect()}  # one row for each column
     away = {c: F.abs(x[c] - F.lit(middle[c]["median"])) for c in columns}
     spread = {r["column"]: r["mad"] for r in column_quantiles(df, away, {"mad": 0.5}, bound=bound).collect()}
-    level = [c for c in columns if spread[c] == 0]  # most values are equal: the mean deviation has to serve
-    means = dict(zip(level, df.agg(*[F.avg(away[c]) for c in level]).first())) if level else {}
-
-    def fields(name: str, _: Column) -> dict[str, Column]:
-        q1, q3 = middle[name]["q1"], middle[name]["q3"]
-        fence = z = F.lit(False)
-        if q1 is not None and q3 > q1:
-            fence = (x[name] < q1 - FENCE * (q3 - q1)) | (x[name] > q3 + FENCE * (q3 - q1))
-        if spread[name]:
-            z = away[name] * MAD_SCALE / spread[name] > Z_CUTOFF
-        elif means.get(name):
-            z = away[name] / (MEAN_AD_SCALE * means[name]) > Z_CUTOFF
-        enough = F.count(x[name]) >= MIN_OUTLIER_VALUES
+    level = {c: away[c] for c in columns if spread[c] == 0}  # most values are equal: the mean deviation has to serve
+    means = {r["column"]: r["mean"] for r in stacked(df, level, lambda v: {"mean": F.avg(v)}).collect()} if level else {}
+
+    none = float("nan")  # nothing is above it
+    low, high, factor, divisor, tested = [], [], [], [], []
+    for c in columns:
+        q1, q3 = middle[c]["q1"], middle[c]["q3"]
+        fenced = q1 is not None and q3 > q1
+        low.append(q1 - FENCE * (q3 - q1) if fenced else -math.inf)
+        high.append(q3 + FENCE * (q3 - q1) if fenced else none)
+        tested.append(bool(spread[c] or means.get(c)))
+        factor.append(MAD_SCALE if spread[c] else 1.0)
+        divisor.append(spread[c] or MEAN_AD_SCALE * (means.get(c) or 0.0) or 1.0)
+    centres = [none if middle[c]["median"] is None else middle[c]["median"] for c in columns]
+
+    def fields(v: Column) -> dict[str, Column]:
+        own = lambda values: F.get(numbers(values), F.col("at"))
+        fence = (v < own(low)) | (v > own(high))
+        z = (own(tested) == 1) & (F.abs(v - own(centres)) * own(factor) / own(divisor) > Z_CUTOFF)
+        enough = F.count(v) >= MIN_OUTLIER_VALUES
         return {
             "iqr_outliers": F.when(enough, F.count_if(fence)).otherwise(0).cast("long"),
             "modified_z_outliers": F.when(enough, F.count_if(z)).otherwise(0).cast("long"),
         }
 
-    return wide_by_name(df, columns, fields)
+    return stacked(df, x, fields).drop("at")
 
 
 def candidate_keys(df: DataFrame) -> DataFrame:

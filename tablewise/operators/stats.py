@@ -1,18 +1,18 @@
-"""Statistics of many columns in one job: a wide aggregate over native types, or stacked (column, value) pairs.
+"""Statistics of many columns in one job, from plans whose size does not grow with the width.
 
-Moments and text facts are wide aggregates and move no values. Quantiles are bracketed by sketches first, so that
-only the values around them are counted. Exact distinct counts shuffle values once, in the type they have.
+Moments and text facts stack the cells of a row and aggregate them map-side by column; they move no values. Quantiles are bracketed
+by summaries first, so that only the values around them are counted. Columns of few values are counted by one scan; exact
+distinct counts of the others shuffle each value once, in the type it has.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -21,42 +21,32 @@ from tablewise.functions import dates
 from tablewise.functions.numeric import lenient_double
 from tablewise.functions.text import strip
 from tablewise.functions.types import columns_where, comparable, ident, is_floating, is_numeric, is_string
-from tablewise.operators.ordered import running
-from tablewise.session import materialise, pin
+from tablewise.operators import selection
+from tablewise.operators.tallies import tallies
+from tablewise.session import pin, together
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 TOP_VALUES = 5
 #: Characters up to which a text travels as it is where values are only counted; longer ones as a digest.
 LONG_TEXT = 256
-#: Sketches of quantiles err by one part in ``ACCURACY`` of the rows; brackets are four times as wide.
-ACCURACY = 10_000
-MARGIN = 4 / ACCURACY
+#: Share of the rows from which on a column may be a key, given an estimate of its distinct values.
+LIKELY_KEY = 0.85
 #: Share of the second moment below which a deviation is rounding: the side is constant.
 CONSTANT = 1e-13
 
 
-def wide_by_name(
-    df: DataFrame, columns: Sequence[str], fields: Callable[[str, Column], Mapping[str, Column]]
+def wide(
+    df: DataFrame, columns: Sequence[str], fields: Callable[[Column], Mapping[str, Column]]
 ) -> DataFrame:
-    """One aggregate over all ``columns``, returned as one row for each column."""
+    """One aggregate over ``columns`` in the types they have, returned as one row for each column."""
     structs = [
-        F.struct(
-            F.lit(name).alias("column"),
-            *[e.alias(k) for k, e in fields(name, F.col(ident(name))).items()],
-        ).alias(f"c{i}")
+        F.struct(F.lit(name).alias("column"), *[e.alias(k) for k, e in fields(F.col(ident(name))).items()]).alias(f"c{i}")
         for i, name in enumerate(columns)
     ]
     row = df.agg(*structs)
     return row.select(F.inline(F.array(*row.columns)))
 
 
-def wide(
-    df: DataFrame, columns: Sequence[str], fields: Callable[[Column], Mapping[str, Column]]
-) -> DataFrame:
-    """:func:`wide_by_name` for aggregates that do not depend on the column's name."""
-    return wide_by_name(df, columns, lambda _, c: fields(c))
-
-
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, n) for the non-null values of all columns as text: one shuffle, combined map-side."""
 
@@ -69,38 +59,58 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return stacked.groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-def column_shapes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows, nulls, exact distinct values and the largest and smallest frequency of each column.
+def column_shapes(df: DataFrame, columns: Sequence[str] | None = None, *, exact: bool = True) -> DataFrame:
+    """Rows, nulls, distinct values and the largest and smallest frequency of each column.
 
-    Values are counted in their own type (whole, real or text; long text as a 128-bit digest): one shuffle, combined
-    map-side, that is aggregated at once and written nowhere.
+    One scan tells which columns have few values, and counts these. Only the others are counted by value, in the type they
+    have (whole, real or text; long text as a 128-bit digest), which shuffles a value once and writes nothing. With ``exact``
+    false that is done only for columns that may be keys: full, not floating, and about as many values as rows.
+    The others then have an estimated ``distinct``, no frequencies, and ``estimated`` set.
     """
-    empty = {"text": F.lit(None).cast("string"), "whole": F.lit(None).cast("long"), "real": F.lit(None).cast("double")}
-
-    def typed(c: str) -> Column:
-        dtype, x = df.schema[c].dataType, F.col(ident(c))
+    columns = list(columns or df.columns)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    present = {c: comparable(F.col(ident(c)), types[c]) for c in columns}
+    told = {r["at"]: r for r in tallies(df, [F.when(x.isNotNull(), F.xxhash64(x)) for x in present.values()]).collect()}
+    if not told:  # no partition at all
+        told = {i: Row(rows=0, nulls=0, exact=True, distinct=0, max_n=None, min_n=None) for i in range(len(columns))}
+
+    def wanted(c: str, r: Row) -> bool:
+        likely_key = not is_floating(types[c]) and r["nulls"] == 0 and r["distinct"] >= LIKELY_KEY * r["rows"]
+        return not r["exact"] and (exact or likely_key)
+
+    many = [c for c, r in zip(columns, map(told.get, range(len(columns)))) if wanted(c, r)]
+    counted = _counted(df, {c: (present[c], types[c]) for c in many}) if many else {}
+    rows = []
+    for i, c in enumerate(columns):
+        r = told[i]
+        known = counted.get(c, r)
+        n = r["rows"] - r["nulls"]
+        rows.append((c, r["rows"], r["nulls"], known["distinct"], n if n else None, known["max_n"], known["min_n"], not (r["exact"] or c in counted)))
+    schema = "column string, rows long, nulls long, distinct long, n long, max_n long, min_n long, estimated boolean"
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _counted(df: DataFrame, columns: Mapping[str, tuple[Column, T.DataType]]) -> dict[str, Row]:
+    """Exact distinct values and frequencies: one job for each kind of value, whatever the number of columns."""
+    kinds: dict[str, list[Column]] = {}
+    for at, (c, (x, dtype)) in enumerate(columns.items()):
         if is_floating(dtype):
-            kind, cell = "real", x.cast("double")
+            kind, cell = "double", x.cast("double") + 0.0
         elif isinstance(dtype, T.IntegralType):
-            kind, cell = "whole", x.cast("long")
+            kind, cell = "long", x.cast("long")
+        elif isinstance(dtype, T.DateType):
+            kind, cell = "long", F.unix_date(x).cast("long")
         else:
-            kind, cell = "text", comparable(x, dtype).cast("string")
+            kind, cell = "string", x.cast("string")
             cell = F.when(F.char_length(cell) > LONG_TEXT, F.concat(F.lit("md5:"), F.md5(cell))).otherwise(cell)
-        parts = empty | {kind: cell}
-        return F.struct(F.lit(c).alias("column"), *[v.alias(k) for k, v in parts.items()])
-
-    cells = df.select(F.inline(F.array(*[typed(c) for c in columns or df.columns])))
-    counts = cells.groupBy("column", *empty).agg(F.count("*").alias("n"))
-    missing = F.coalesce(F.col("text"), F.col("whole").cast("string"), F.col("real").cast("string")).isNull()
-    present = F.when(~missing, F.col("n"))
-    return counts.groupBy("column").agg(
-        F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("nulls"),
-        F.count(present).alias("distinct"),
-        F.sum(present).alias("n"),
-        F.max(present).alias("max_n"),
-        F.min(present).alias("min_n"),
-    )
+        kinds.setdefault(kind, []).append(F.struct(F.lit(at).alias("at"), cell.alias("x")))
+
+    def counts(cells: list[Column]) -> list[Row]:
+        stacked = df.select(F.inline(F.array(*cells))).where("x IS NOT NULL").groupBy("at", "x").agg(F.count("*").alias("n"))
+        return stacked.groupBy("at").agg(F.count("*").alias("distinct"), F.max("n").alias("max_n"), F.min("n").alias("min_n")).collect()
+
+    names = list(columns)
+    return {names[r["at"]]: r for found in together(df.sparkSession, *[partial(counts, cells) for cells in kinds.values()]) for r in found}
 
 
 def nulls_distinct(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -113,81 +123,48 @@ def nulls_distinct(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 def column_quantiles(
     df: DataFrame, values: Mapping[str, Column], probabilities: Mapping[str, float], *, bound: int | None = None
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles of each of ``values``: one row (column, quantiles).
+    """Exact, linearly interpolated quantiles of each of ``values``: one row (column, quantiles)."""
+    return selection.quantiles(df, values, probabilities, bound=bound)
+
+
+def stacked(df: DataFrame, values: Mapping[str, Column], fields: Callable[[Column], Mapping[str, Column]], kind: str = "double") -> DataFrame:
+    """Aggregates of the cells of each of ``values``: one row (at, column, fields) for each, from one plan for any width.
 
-    A first scan brackets every quantile by sketches of known error. A second counts the values below each bracket, and
-    only the few inside it are counted one by one and put in order. A bracket of a single value is the answer.
+    ``fields`` gets the cell and may use its position ``at``. Every column has a null cell of its own besides, so a table
+    without rows has a row for each column too: count cells, not rows.
     """
     names = list(values)
-    table = df.select(*[x.cast("double").alias(f"v{i}") for i, x in enumerate(values.values())])
-    tried = sorted({min(max(p + d, 0.0), 1.0) for p in probabilities.values() for d in (-MARGIN, MARGIN)})
-    seen = table.agg(*[
-        F.struct(F.count(c).alias("n"), F.min(c).alias("least"), F.max(c).alias("most"),
-                 F.percentile_approx(c, tried, ACCURACY).alias("at")).alias(c)
-        for c in table.columns
-    ]).first()
-    found: dict[tuple[int, str], float] = {}
-    brackets: dict[tuple[int, str], tuple[float, float]] = {}
-    for i, c in enumerate(table.columns):
-        for name, p in probabilities.items():
-            if not (s := seen[c])["n"]:
-                continue
-            low, high = (s["at"][tried.index(min(max(p + d, 0.0), 1.0))] for d in (-MARGIN, MARGIN))
-            if s["n"] * MARGIN < 2:  # so few rows that a bracket may miss the next value
-                low, high = s["least"], s["most"]
-            if low == high:
-                found[i, name] = low
-            else:
-                brackets[i, name] = (low, high)
-    if brackets:
-        found |= _between(table, seen, brackets, probabilities, bound)
-    rows = [(c, *[found.get((i, q)) for q in probabilities]) for i, c in enumerate(names)]
-    return df.sparkSession.createDataFrame(rows, "column string" + "".join(f", `{q}` double" for q in probabilities))
-
-
-def _between(table, seen, brackets, probabilities, bound) -> dict[tuple[int, str], float]:
-    """The quantiles whose brackets hold several values."""
-    low = {k: F.col(f"v{k[0]}") >= F.lit(b[0]) for k, b in brackets.items()}
-    inside = {k: low[k] & (F.col(f"v{k[0]}") <= F.lit(b[1])) for k, b in brackets.items()}
-    below = table.agg(*[F.count_if(~test) for test in low.values()]).first()
-    cells = [
-        F.struct(F.lit(i).alias("i"), F.lit(q).alias("q"), F.when(test, F.col(f"v{i}")).alias("x"))
-        for (i, q), test in inside.items()
-    ]
-    near = table.where(reduce(lambda a, b: a | b, inside.values())).select(F.inline(F.array(*cells)))
-    counted = materialise(near.where("x IS NOT NULL").groupBy("i", "q", "x").agg(F.count("*").alias("n")))
-    ordered = running(counted, ["i", "q"], ["x"], sums={"upto": F.col("n")}, bound=bound)
-    places = []
-    for (i, q), before in zip(brackets, below):
-        at = probabilities[q] * (seen[f"v{i}"]["n"] - 1)
-        places.append((i, q, math.floor(at) - before, math.ceil(at) - before, at - math.floor(at)))
-    wanted = table.sparkSession.createDataFrame(places, "i int, q string, first long, second long, part double")
-    matched = ordered.join(F.broadcast(wanted), ["i", "q"])  # one row for each quantile
+    cells = df.select(F.posexplode(F.array(*[x.cast(kind) for x in values.values()])).alias("at", "x"))
+    own = df.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("at"), F.lit(None).cast(kind).alias("x"))
+    made = cells.union(own).groupBy("at").agg(*[e.alias(k) for k, e in fields(F.col("x")).items()])
+    known = df.sparkSession.createDataFrame(list(enumerate(names)), "at int, column string")
+    return made.join(F.broadcast(known), "at")  # one row for each column
 
-    def value_at(place: str) -> Column:
-        holds = (F.col("upto") - F.col("n") <= F.col(place)) & (F.col(place) < F.col("upto"))
-        return F.max(F.when(holds, F.col("x")))
 
-    picked = matched.groupBy("i", "q", "part").agg(value_at("first").alias("a"), value_at("second").alias("b"))
-    return {(r["i"], r["q"]): r["a"] + r["part"] * (r["b"] - r["a"]) for r in picked.collect()}
+def numbers(values: Sequence[float]) -> Column:
+    """An array of doubles as one constant, however long."""
+    return F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>")
 
 
 def numeric_stats(
     df: DataFrame, columns: Sequence[str] | None = None, *, bound: int | None = None
 ) -> DataFrame:
     """Min, max, mean, median, std, quartiles, zeros, negatives and skew, one row for each column."""
-    columns = list(columns or columns_where(df, is_numeric))
+    values = {c: F.col(ident(c)) for c in columns or columns_where(df, is_numeric)}
 
-    def moments(c: Column) -> dict[str, Column]:
-        x = c.cast("double")
+    def moments(x: Column) -> dict[str, Column]:
         return {
             "n": F.count(x), "minimum": F.min(x), "maximum": F.max(x), "mean": F.avg(x),
             "std": F.stddev_samp(x), "zeros": F.count_if(x == 0), "negatives": F.count_if(x < 0),
             "skew": F.when(F.count(x) >= 3, F.skewness(x)),
         }
 
-    middle = column_quantiles(df, {c: F.col(ident(c)) for c in columns}, QUARTILES, bound=bound)
-    out = wide(df, columns, moments).join(F.broadcast(middle), "column")  # one row for each column
+    of_cells, middle = together(
+        df.sparkSession,
+        lambda: pin(stacked(df, values, moments)),
+        lambda: column_quantiles(df, values, QUARTILES, bound=bound),
+    )
+    out = of_cells.join(F.broadcast(middle), "column")  # one row for each column
     return out.select(
         "column", "n", "minimum", "maximum", "mean", "median", "std", "q1", "q3", "zeros", "negatives", "skew"
     )
@@ -217,9 +194,9 @@ def categorical_stats(df: DataFrame, columns: Sequence[str], top: int = TOP_VALU
 
 def text_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Lengths, blanks, numbers and texts shaped like dates, from the whole values of each text column."""
-    return wide(
+    return stacked(
         df,
-        columns,
+        {c: F.col(ident(c)) for c in columns},
         lambda c: {
             "n": F.count(c),
             "min_length": F.min(F.char_length(c)),
@@ -229,7 +206,8 @@ def text_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             "numeric_text": (F.count(c) > 0) & (F.count_if(c.isNotNull() & lenient_double(c).isNull()) == 0),
             "shaped": F.count_if(c.rlike(dates.SHAPE)),
         },
-    )
+        "string",
+    ).drop("at")
 
 
 def text_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -9,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 from typing import Any
 
-from pyspark import inheritable_thread_target
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -52,6 +53,11 @@ def together(spark: SparkSession, *jobs: Callable[[], Any]) -> list[Any]:
         return [r.result() for r in running]
 
 
+def by_value(name: str) -> None:
+    """Send the functions of module ``name`` to executors with the task, so that no code has to be installed there."""
+    cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
 _shipped: set[str] = set()
 
 
