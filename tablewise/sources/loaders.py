@@ -16,7 +16,7 @@ from tablewise.functions.text import strip
 from tablewise.functions.types import ident, is_string
 from tablewise.operators.stats import wide
 from tablewise.session import ship_package
-from tablewise.sources import readers
+from tablewise.sources import quoted, readers
 from tablewise.sources.catalogue import CP1252, decode_cp1252
 from tablewise.sources.sinks import scratch
 
@@ -98,12 +98,19 @@ def load_delimited(
         df = _split_lines(unzip_lines(spark, path, encoding, quote), sep, quote, header, dialect.get("comment_prefix"))
     else:
         charset, wide_chars = _spark_encoding(encoding)
+        comment = dialect.get("comment_prefix")
         reader = spark.read.options(sep=sep, quote=quote, escape=quote, header=header, encoding=charset)
-        if dialect.get("comment_prefix"):
-            reader = reader.option("comment", dialect["comment_prefix"])
-        if wide_chars or _broken_lines(spark, path, quote):  # such files are not split, and their records are kept whole
-            reader = reader.option("multiLine", True)
-        df = reader.csv(path)
+        if comment:
+            reader = reader.option("comment", comment)
+        splits = None if wide_chars else quoted.functions(spark, path, sep, quote, charset)
+        if splits is None:  # 16 and 32 bit characters: such files are not split, and their records are kept whole
+            df = reader.option("multiLine", True).csv(path)
+        elif splits.where("broken").isEmpty():  # every record is a line
+            df = reader.csv(path)
+        else:
+            found = quoted.records(spark, path, splits, sep, quote, charset)
+            found = found.withColumn("value", F.regexp_replace("value", "\r\\z", ""))
+            df = _split_lines(found, sep, quote, header, comment)
         if encoding == "cp1252":
             df = df.select(
                 *[decode_cp1252(F.col(ident(c))).alias(_cp1252_name(c)) for c in df.columns]
@@ -113,12 +120,6 @@ def load_delimited(
     return narrow(df, dialect.get("decimal") or ".") if narrow_types else df
 
 
-def _broken_lines(spark: SparkSession, path: str | list[str], quote: str) -> bool:
-    """Whether a quoted field goes on in the next line anywhere: a line with an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-
 def _spark_encoding(encoding: str) -> tuple[str, bool]:
     known = {"ascii": "UTF-8", "utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16", "utf-32": "UTF-32"}
     return known.get(encoding, "ISO-8859-1"), encoding in ("utf-16", "utf-32")
@@ -190,7 +191,7 @@ def _split_lines(lines: DataFrame, sep: str, quote: str, header: bool, comment:
     first = lines.orderBy("path", "line").first()
     if first is None:
         return lines.select("value")
-    options = {"sep": sep, "quote": quote, "escape": quote}
+    options = {"sep": sep, "quote": quote, "escape": quote, "multiLine": "true"}  # line breaks in quotes stay as they are
     probe = lines.sparkSession.createDataFrame([(first["value"],)], "value string")
     # One line, read with room for as many fields as it could hold.
     room = first["value"].count(sep) + 1
