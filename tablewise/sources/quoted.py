@@ -7,7 +7,7 @@ each split into records on its own. What crosses a border between splits is at m
 these fragments are put together by a shuffle. Nothing but a single record is ever held whole.
 
 A quote opens a field only where the field starts, as the CSV reader has it, so ``5" pipe`` opens nothing. A field that is never
-closed goes on to the end of its file, less a last line break.
+closed goes on to the end of its file, less a last line break. Line breaks in quotes stay as they are written.
 """
 
 from __future__ import annotations
