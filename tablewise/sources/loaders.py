@@ -64,7 +64,7 @@ def load(spark: SparkSession, spec: Row | Mapping[str, Any], *, row_tag: str = "
     if fmt == "jsonl":
         return spark.read.json(path)
     if fmt == "json":
-        return unkey(spark.read.option("multiLine", True).json(path))
+        return load_document(spark, path)
     if fmt == "orc":
         return spark.read.orc(path)
     if fmt == "xml":
@@ -181,7 +181,7 @@ def _load_zipped_json(spark: SparkSession, path: str, fmt: str, encoding: str) -
     whole = lines.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "value"))).alias("l"))
     text = F.array_join(F.transform("l", lambda x: x["value"]), " ")
     whole.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
-    return unkey(spark.read.option("multiLine", True).json(folder))
+    return load_document(spark, folder)
 
 
 def _split_lines(lines: DataFrame, sep: str, quote: str, header: bool, comment: str | None) -> DataFrame:
@@ -223,6 +223,33 @@ def load_arrow(spark: SparkSession, path: str, fmt: str = "arrow") -> DataFrame:
 # ---- keyed JSON ----------------------------------------------------------------------------------
 
 
+def load_document(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """JSON documents: rows of an array, or the records of one document that is keyed by an identifier.
+
+    Whether a document is keyed is decided on its records as rows, with the test of :func:`unkey`; no schema names the keys, so
+    plans have one size for ten records and for millions. The document is parsed by one task, as no JSON document can be
+    split; its records are then lines on shared storage, which all later work reads in parallel.
+    """
+    documents = spark.read.text(path, wholetext=True)
+    records = documents.select(F.explode(F.from_json("value", "map<string,string>")).alias(KEY, "record"))
+    names = F.sort_array(F.json_object_keys("record"))
+    facts = records.select("record", names.alias("names")).agg(
+        F.count("*").alias("n"),
+        F.count_if(F.coalesce(F.col("record").startswith("{"), F.lit(False))).alias("objects"),
+        F.count_if((F.size("names") > 0) & ~F.array_contains("names", KEY)).alias("fit"),
+        F.count_distinct("names").alias("shapes"),
+    ).first()
+    keyed = facts["n"] == facts["objects"] == facts["fit"] and facts["n"] >= MIN_KEYED_RECORDS and facts["shapes"] == 1
+    if not keyed or documents.select(F.lit(1)).limit(2).count() > 1:
+        return spark.read.option("multiLine", True).json(path)
+    folder = scratch(spark, "records")
+    # {"key": "...", and the fields of the record
+    start = F.expr(f"""regexp_replace(to_json(named_struct('{KEY}', {KEY})), '\\\\}}$', ',')""")
+    records.select(F.concat(start, F.substr("record", F.lit(2))).alias("value")).repartition(spark.sparkContext.defaultParallelism).write.text(folder)
+    out = spark.read.json(folder)
+    return out.select(KEY, *[ident(c) for c in out.columns if c != KEY])
+
+
 def unkey(df: DataFrame) -> DataFrame:
     """Records keyed by an identifier become rows with a ``key`` column.
 

@@ -10,6 +10,7 @@ import zipfile
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tablewise.sources import catalogue as C
 from tablewise.sources import loaders as L
@@ -179,6 +180,37 @@ def test_other_shapes_are_left_alone(spark):
         assert L.unkey(df).columns == df.columns
 
 
+KEYED = {
+    "three": ('{"a": {"x": 1, "y": "p\\n\\"q\\""}, "b }": {"y": "}", "x": 2.5}, "c\\"\\\\": {"x": 3, "y": null}}', [('a', 1.0, 'p\n"q"'), ("b }", 2.5, "}"), ('c"\\', 3.0, None)]),
+    "two": ('{"a": {"x": 1}, "b": {"x": 2}}', None),
+    "other fields": ('{"a": {"x": 1}, "b": {"z": 2}, "c": {"x": 3}}', None),
+    "not a record": ('{"a": {"x": 1}, "b": {"x": 2}, "c": {"x": 3}, "d": 4}', None),
+    "has key": ('{"a": {"key": 1}, "b": {"key": 2}, "c": {"key": 3}}', None),
+    "array": ('[{"x": 1}, {"x": 2}, {"x": 3}]', None),
+}
+
+
+@pytest.mark.parametrize("name", KEYED)
+def test_keyed_documents(spark, tmp_path, name):
+    text, want = KEYED[name]
+    (tmp_path / "d.json").write_text(text)
+    df = L.load_document(spark, str(tmp_path))
+    if want is None:
+        plain = spark.read.option("multiLine", True).json(str(tmp_path))
+        assert df.schema == plain.schema and df.collect() == plain.collect()
+    else:
+        assert df.columns == ["key", "x", "y"] and sorted(map(tuple, df.collect())) == want
+
+
+def test_a_document_with_many_keys(spark, tmp_path):
+    n = 200_000
+    with (tmp_path / "d.json").open("w") as f:
+        f.write("{" + ",\n".join(f'"k{i}": {{"v": {i}, "w": "t{i % 7}"}}' for i in range(n)) + "}")
+    df = L.load_document(spark, str(tmp_path))
+    assert df.dtypes == [("key", "string"), ("v", "bigint"), ("w", "string")] and df.rdd.getNumPartitions() > 1
+    assert df.agg(F.count("*"), F.sum("v"), F.count_distinct("key")).first() == (n, n * (n - 1) // 2, n)
+
+
 def test_xml_loads(spark, specs):
     assert sorted(r["a"] for r in L.load(spark, specs["rows.xml"]).collect()) == [1, 2]
 
