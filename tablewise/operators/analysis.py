@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewise.functions.numeric import float_div
+from tablewise.functions.tails import chi_square_tail, t_two_sided
 from tablewise.functions.types import columns_where, ident, is_numeric
 from tablewise.operators.ordered import group_quantiles, group_totals, match_keys, tie_ranks
 from tablewise.operators.stats import column_quantiles, correlations, stacked
@@ -98,7 +99,7 @@ def trend(df: DataFrame, when: str, measure: str) -> DataFrame:
 
 
 def welch(df: DataFrame, group: str, a, b, measure: str) -> DataFrame:
-    """Welch's t and its degrees of freedom for two groups, from one scan of their moments."""
+    """Welch's t, its degrees of freedom and two-sided p-value for two groups, from one scan of their moments."""
     x = F.col(ident(measure)).cast("double")
 
     def moments(value) -> list[Column]:
@@ -108,12 +109,13 @@ def welch(df: DataFrame, group: str, a, b, measure: str) -> DataFrame:
     names = ["na", "ma", "va", "nb", "mb", "vb"]
     row = df.agg(*[e.alias(n) for e, n in zip(moments(a) + moments(b), names)])
     ea, eb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
-    return row.select(
+    tested = row.select(
         ((F.col("ma") - F.col("mb")) / F.sqrt(ea + eb)).alias("t"),
         (
             (ea + eb) * (ea + eb) / (ea * ea / (F.col("na") - 1) + eb * eb / (F.col("nb") - 1))
         ).alias("df"),
     )
+    return tested.withColumn("p", t_two_sided(F.col("t"), F.col("df")))
 
 
 def regression(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -122,7 +124,7 @@ def regression(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Chi-square statistic and degrees of freedom of the cross-tab of two columns.
+    """Chi-square statistic, degrees of freedom and p-value of the cross-tab of two columns.
 
     Empty cells count with their expected value, without building the full grid: the sum over all
     cells of (o - e)^2 / e equals the sum over filled cells of o^2 / e, less the number of rows.
@@ -139,10 +141,11 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
         "term", F.col("o") * F.col("o") / (F.col("ra") * F.col("rb"))
     )
     summed = terms.agg(F.sum("term").alias("s"))
-    return total.join(F.broadcast(summed)).select(  # one row each
+    tested = total.join(F.broadcast(summed)).select(  # one row each
         (F.col("n") * (F.col("s") - 1)).alias("chi2"),
         ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("dof"),
     )
+    return tested.withColumn("p", chi_square_tail(F.col("chi2"), F.col("dof")))
 
 
 def cohorts(df: DataFrame, user: str, when: str) -> DataFrame:
