@@ -2,7 +2,7 @@
 
 A window function sends every row of a group to one task. That is the best plan while groups are
 small, so each function first measures the largest group with a map-side-combined count. When a
-group is larger than ``bound`` rows (or there is no group key at all), the rows are instead
+group is larger than ``bound`` rows, and always where there is no group key, the rows are instead
 range-partitioned on (key, order) into slices, each slice is computed on its own, and only what
 crosses a slice border travels: one carried value, or the last few rows, for each slice. A key is
 cut by a border only if it is the last key of one slice and the first of a later one, so
@@ -30,9 +30,7 @@ Order = Sequence[str]
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Row count of the biggest group (of the whole table when ``by`` is empty)."""
-    if not by:
-        return df.count()
+    """Row count of the biggest group."""
     top = df.groupBy(*by).count().agg(F.max("count")).first()[0]
     return int(top or 0)
 
@@ -102,7 +100,7 @@ def running(
         out |= {n: F.last(f"_in_{n}", ignorenulls=True).over(behind) for n in following}
         return out
 
-    if _fits(df, by, bound):
+    if by and _fits(df, by, bound):
         return df.withColumns(local(by)).drop(*sources)
 
     sliced = slice_rows(df, by, order, slices)
@@ -151,7 +149,7 @@ def look_back(
     ``columns`` receives the ordered window and returns the new columns; frames inside it must not
     reach further back than ``reach`` rows.
     """
-    if _fits(df, by, bound):
+    if by and _fits(df, by, bound):
         return df.withColumns(dict(columns(_window(by, order))))
 
     sliced = slice_rows(df, by, order, slices)

@@ -4,7 +4,7 @@ SHAPES = (
     ("total_by_category", "Sum of a number for each group",
      "total revenue by return flag; total price of orders by region; total quantity by supplier nation"),
     ("mean_by_category", "Mean of a number for each group",
-     "mean retail price by brand; average order price for each priority; average cost for each supplier"),
+     "average account balance by region; average order price for each priority; average cost for each supplier"),
     ("ratio_by_category", "One total over another for each group",
      "ratio of tax to price by line status; highest ratio of balance to orders by segment; revenue over quantity by brand"),
     ("top_rows", "The largest rows",

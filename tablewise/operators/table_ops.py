@@ -8,9 +8,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tablewise.functions.types import ident, is_floating
+from tablewise.operators import ordered
 from tablewise.operators.ordered import group_totals, match_keys, running
+from tablewise.session import materialise
 
 #: Values in one part of a group's list.
 LIST_PART = 100_000
@@ -50,7 +53,39 @@ def tail(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 
 def slice_rows(df: DataFrame, order: Sequence[str], start: int, n: int) -> DataFrame:
-    return df.orderBy(*order).offset(start).limit(n)
+    """Rows ``start`` to ``start + n`` in ascending order, however deep.
+
+    Only the order columns are sorted, in range slices; their counts tell which slices hold the first and the last row, and
+    these tell the keys to filter by. No task holds the rows that are passed over.
+    """
+    total = df.count()
+    last = min(start + n, total) - 1
+    if n <= 0 or start >= total:
+        return df.limit(0)
+    keys = ordered.slice_rows(df.select(*map(ident, order)), [], order)
+    sizes = sorted((r[ordered.SLICE], r["count"]) for r in keys.groupBy(ordered.SLICE).count().collect())  # one row for each slice
+    first_key, below = _key_at(keys, sizes, order, start)
+    last_key, _ = _key_at(keys, sizes, order, last)
+    place = F.struct(*map(ident, order))
+    ends = first_key.withColumnRenamed("_key", "_first").join(F.broadcast(last_key.withColumnRenamed("_key", "_last")))  # one row each
+    between = df.join(F.broadcast(ends))
+    kept = between.where((place >= F.col("_first")) & (place <= F.col("_last"))).drop("_first", "_last")
+    if kept.count() == last - start + 1:
+        return kept.orderBy(*map(ident, order))
+    return kept.orderBy(*map(ident, order)).offset(start - below).limit(last - start + 1)  # rows that tie with the first or last
+
+
+def _key_at(keys: DataFrame, sizes: list[tuple[int, int]], order: Sequence[str], place: int) -> tuple[DataFrame, int]:
+    """The order columns of the row at a place, as one struct, and the number of rows below them."""
+    before = 0
+    for slice_, size in sizes:
+        if place < before + size:
+            break
+        before += size
+    window = Window.partitionBy(ordered.SLICE).orderBy(*map(ident, order))
+    here = keys.where(F.col(ordered.SLICE) == slice_).withColumns({"_row": F.row_number().over(window), "_rank": F.rank().over(window)})
+    found = materialise(here.where(F.col("_row") == place - before + 1).select(F.struct(*map(ident, order)).alias("_key"), "_rank"))
+    return found.select("_key"), before + found.first()["_rank"] - 1
 
 
 def drawn(key: str, seed: int = 0) -> Column:
@@ -61,7 +96,7 @@ def drawn(key: str, seed: int = 0) -> Column:
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """Exactly ``n`` rows, the same for the same seed: the smallest hashes win."""
-    return df.orderBy(drawn(key, seed), ident(key)).limit(n)
+    return slice_rows(df.withColumn("_drawn", drawn(key, seed)), ["_drawn", key], 0, n).drop("_drawn")
 
 
 def sample_share(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
@@ -120,7 +155,7 @@ def asof_join(
     """Each left row with the latest right row at or before it (within ``by``).
 
     Both sides are put in one order, right rows first on equal times, and the last right row seen is
-    carried forward. One exchange, no pairs, and a hot key is cut into slices.
+    carried forward. One exchange, no pairs; a hot key is cut into slices, and so is a time that many rows share.
     """
     payload = [c for c in right.columns if c not in by]
     clash = sorted(set(payload) & set(left.columns))
@@ -140,8 +175,8 @@ def asof_join(
         F.lit(None).cast(left.select(F.struct(*left.columns).alias("l")).schema["l"].dataType).alias("_left"),
         F.struct(*payload).alias("_right"),
     )
-    both = a.unionByName(b)
-    carried = running(both, by, ["_t", "_side"], last={"_hit": F.col("_right")}, bound=bound, slices=slices)
+    both = a.unionByName(b).withColumn("_n", F.monotonically_increasing_id())  # borders may fall between equal times
+    carried = running(both, by, ["_t", "_side", "_n"], last={"_hit": F.col("_right")}, bound=bound, slices=slices)
     rows = carried.where(F.col("_side") == 1)
     matched = F.when(F.col("_t").isNotNull(), F.col("_hit"))
     keys = [F.col(c).isNotNull() for c in by]

@@ -5,12 +5,16 @@ from __future__ import annotations
 import datetime as dt
 import inspect
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
+from pyspark.errors import (
+    AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException, NumberFormatException,
+    SparkRuntimeException,
+)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +30,12 @@ RECIPES: dict[str, Callable[..., recipes.Answer]] = {name: getattr(recipes, name
 SCHEMA = (
     "question string, recipe string, status string, verdict string, confidence double,"
     " caveats array<struct<code:string,severity:string,message:string>>, code string,"
-    " card_hash string, preview array<string>, dropped long, created timestamp"
+    " card_hash string, preview array<string>, dropped long, created timestamp, run string, place int"
+)
+#: What is wrong with a question, as opposed to what is wrong with the cluster.
+UNANSWERABLE = (
+    AnalysisException, IllegalArgumentException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException,
+    NumberFormatException, SparkRuntimeException, ValueError, TypeError, KeyError,
 )
 
 
@@ -94,7 +103,7 @@ def route_all(source: Source, questions: Sequence[Question]) -> list[str | None]
 
 
 def ask(source: Source, question: Question, recipe: str | None) -> Finding:
-    """Answer one question and check the answer. A failure is a finding too."""
+    """Answer one question and check the answer. A question that cannot be answered is a finding too; a lost cluster is an error."""
     if recipe is None:
         return Finding(question.text, None, "unanswered", reason="no question shape fits")
     fn = RECIPES[recipe]
@@ -104,7 +113,7 @@ def ask(source: Source, question: Question, recipe: str | None) -> Finding:
         answer = fn(source.df, **given)
         answer.df.persist(StorageLevel.DISK_ONLY)
         checked = critique.review(question.text, answer, source.profile)
-    except Exception as e:  # recorded, not dropped: one bad question must not end the run
+    except UNANSWERABLE as e:  # recorded, not dropped: one bad question must not end the run
         return Finding(question.text, recipe, "unanswered", reason=f"{type(e).__name__}: {_message(e)}")
     return Finding(question.text, recipe, "answered", answer, checked)
 
@@ -114,16 +123,18 @@ def _message(e: Exception) -> str:
     return str(e).partition(";\n")[0] if isinstance(e, AnalysisException) else str(e)
 
 
-def answer_all(source: Source, questions: Sequence[Question]) -> DataFrame:
+def answer_all(source: Source, questions: Sequence[Question], run: str | None = None) -> DataFrame:
     """The findings table of many questions; each answer is computed once over the whole source.
 
+    ``run`` and ``place`` identify a finding: a run that is repeated under its name adds nothing to a table of findings.
+
     An answer is kept on the executors' disks while it is checked and previewed, and forgotten then; lost parts are
     computed again.
     """
-    rows = []
-    for question, recipe in zip(questions, route_all(source, questions)):
+    rows, run = [], run or uuid.uuid4().hex
+    for place, (question, recipe) in enumerate(zip(questions, route_all(source, questions)), 1):
         found = ask(source, question, recipe)
-        rows.append(_row(source, question, found))
+        rows.append((*_row(source, question, found), run, place))
         if found.answer is not None:
             found.answer.df.unpersist()
         source.findings.append(found)

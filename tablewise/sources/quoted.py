@@ -16,7 +16,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -118,7 +118,7 @@ def _records(batches, sep: str, quote: str):
 def lines(spark: SparkSession, path: str | list[str], charset: str) -> DataFrame:
     """(file, block, value): lines of all files with the split that they start in, in order within each task."""
     text = spark.read.option("lineSep", "\n").text(path)
-    value: Column = F.col("value") if charset == "UTF-8" else F.decode(F.col("value").cast("binary"), F.lit(charset))
+    value = F.col("value") if charset == "UTF-8" else F.decode(F.col("value").cast("binary"), charset)
     return text.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), value.alias("value"))
 
 

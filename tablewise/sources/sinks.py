@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewise.session import ensure_checkpoint_dir
+from tablewise.session import ensure_checkpoint_dir, materialise
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -65,6 +65,21 @@ def write_arrow(df: DataFrame, path: str) -> int:
     return df.mapInArrow(write, "rows long").agg(F.sum("rows")).first()[0] or 0
 
 
-def append_findings(findings: DataFrame, path: str) -> None:
-    """Add findings to the table of findings; earlier ones are never touched."""
-    findings.write.mode("append").partitionBy("card_hash").parquet(path)
+def append_findings(findings: DataFrame, path: str, keys: Sequence[str] = ("run", "place")) -> int:
+    """Add findings to the table of findings and return how many were new; earlier ones are never touched.
+
+    Findings whose ``keys`` the table holds already are left out, so a run that failed half-way is simply run again. Without these
+    columns everything is added. One writer at a time.
+    """
+    spark = findings.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = all(k in findings.columns for k in keys)
+    if known:
+        findings = findings.dropDuplicates(list(keys))
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            earlier = spark.read.parquet(path)
+            if all(k in earlier.columns for k in keys):
+                findings = findings.join(earlier.select(*keys).distinct(), list(keys), "left_anti")
+    new = materialise(findings)  # a table must not be read while it is written
+    new.write.mode("append").partitionBy("card_hash").parquet(path)
+    return new.count()

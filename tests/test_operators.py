@@ -273,3 +273,22 @@ def test_chart_proposals(spark):
         V.prepare(df, V.ChartSpec("bar", "c", "w"))
     assert V.drawn_form(V.ChartSpec("area", "c", "v", "s"), 2).form == "line"
     assert V.drawn_form(V.ChartSpec("area", "c", "v"), 1).form == "area"
+
+
+@pytest.mark.parametrize(("start", "n"), [(0, 5), (13, 40), (390, 50), (399, 1), (400, 3), (7, 0)])
+def test_deep_slices(spark, start, n):
+    """Ties and nulls at the borders, against sorting the whole."""
+    data = [(i, None if i % 9 == 0 else i * 7 % 23, f"r{i}") for i in range(400)]
+    df = spark.createDataFrame(data, "id int, v int, s string").repartition(6)
+    order = sorted(data, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert [tuple(r) for r in G.slice_rows(df, ["v", "id"], start, n).collect()] == order[start : start + n]
+    tied = [r["v"] for r in G.slice_rows(df, ["v"], start, n).collect()]
+    assert tied == [r[1] for r in order[start : start + n]]
+
+
+def test_asof_with_one_time_only(spark):
+    left = spark.range(300).select("id", F.lit(5).alias("t"))
+    right = spark.createDataFrame([(5, "at"), (3, "before"), (6, "after")], "u int, w string")
+    for slices in (None, 7):
+        got = G.asof_join(left, right, "t", "u", slices=slices, bound=10)
+        assert got.count() == 300 and {r["w"] for r in got.collect()} == {"at"}

@@ -83,3 +83,10 @@ def test_line_states():
     assert inside('a,"b') and inside('"') and inside('"a""') and inside('x,"y""","z')
     assert not inside('a,b"') and not inside('""') and not inside('"a"b,c') and not inside("")
     assert inside("text", True) and inside('""', True) and not inside('"', True) and not inside('end",a', True) and inside('end","again', True)
+
+
+def test_other_encodings(small_splits, tmp_path):
+    text = 'id,one,two\nr1,"Süd\nOst",é\nr2,"5 €",ü\n' * 1
+    (tmp_path / "a.csv").write_bytes(text.encode("cp1252"))
+    df = L.load_delimited(small_splits, str(tmp_path), {}, "cp1252")
+    assert rows_of(df) == [("r1", "Süd\nOst", "é"), ("r2", "5 €", "ü")]

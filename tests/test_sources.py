@@ -254,3 +254,16 @@ def test_arrow_and_findings_sinks(spark, tmp_path):
     sinks.append_findings(one, f"{tmp_path}/f")
     sinks.append_findings(one, f"{tmp_path}/f")
     assert spark.read.parquet(f"{tmp_path}/f").count() == 2
+
+
+def test_findings_of_a_run_are_added_once(spark, tmp_path):
+    def rows(*places, run="r1", card="c"):
+        return spark.createDataFrame([(card, run, p, f"q{p}") for p in places], "card_hash string, run string, place int, question string")
+
+    path = f"{tmp_path}/f"
+    assert sinks.append_findings(rows(1, 2), path) == 2
+    assert sinks.append_findings(rows(1, 2, 3, 3), path) == 1  # the run failed after two and is run again
+    assert sinks.append_findings(rows(1, 2, 3), path) == 0
+    assert sinks.append_findings(rows(1, run="r2", card="d"), path) == 1
+    got = sorted((r["run"], r["place"]) for r in spark.read.parquet(path).collect())
+    assert got == [("r1", 1), ("r1", 2), ("r1", 3), ("r2", 1)]
