@@ -38,6 +38,7 @@ PLACEHOLDER = {
     "phone": "<phone>",
 }
 REDACTED = "<redacted>"
+ANY_DIGIT = r"(?U)\d"
 
 _SENSITIVE = re.compile(
     r"(?:^|_|\b)(?:" + "|".join(SENSITIVE_WORDS) + r")(?:$|_|\b)", re.IGNORECASE
@@ -87,21 +88,34 @@ _TESTED = (("card", CARD, _is_card), ("phone", PHONE, _is_phone))
 def mask_text(text: Column) -> Column:
     """The text with every recognised value replaced by its placeholder.
 
-    Cards go before phones: both match long digit runs, and a Luhn-valid run is a card.
+    Cards go before phones: both match long digit runs, and a Luhn-valid run is a card. Most texts have no digit, which every
+    kind but e-mail needs.
     """
-    for kind, _ in _PLAIN:
-        text = mask_one(text, kind)
-    for kind, _, _ in _TESTED:
-        text = let(text, lambda t: mask_one(t, kind))
-    return text
+
+
+    def rest(t: Column) -> Column:
+        for kind, _ in _PLAIN[1:]:
+            t = mask_one(t, kind)
+        for kind, _, _ in _TESTED:
+            t = let(t, lambda x: mask_one(x, kind))
+        return t
+
+    return let(mask_one(text, "email"), lambda t: F.when(t.rlike(ANY_DIGIT), rest(t)).otherwise(t))
 
 
 def mask_report(text: Column) -> Column:
     """Struct of the masked ``text`` and the ``kinds`` masked in it, in masking order."""
-    state = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
-    for kind in PLACEHOLDER:
-        state = let(state, lambda s: let(mask_one(s["text"], kind), lambda masked: _step(s, kind, masked)))
-    return state
+
+    def after(state: Column, kind: str) -> Column:
+        return let(state, lambda s: let(mask_one(s["text"], kind), lambda masked: _step(s, kind, masked)))
+
+    def rest(state: Column) -> Column:
+        for kind in list(PLACEHOLDER)[1:]:
+            state = after(state, kind)
+        return state
+
+    start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
+    return let(after(start, "email"), lambda s: F.when(s["text"].rlike(ANY_DIGIT), rest(s)).otherwise(s))
 
 
 def mask_one(text: Column, kind: str) -> Column:
@@ -109,7 +123,8 @@ def mask_one(text: Column, kind: str) -> Column:
     mask = F.lit(PLACEHOLDER[kind])
     for name, pattern in _PLAIN:
         if name == kind:
-            return F.regexp_replace(text, pattern, PLACEHOLDER[kind])
+            masked = F.regexp_replace(text, pattern, PLACEHOLDER[kind])
+            return F.when(text.contains("@"), masked).otherwise(text) if kind == "email" else masked
     pattern, test = next((p, t) for name, p, t in _TESTED if name == kind)
     return substitute(text, pattern, lambda m: F.when(test(m), mask).otherwise(m))
 

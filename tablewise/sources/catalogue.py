@@ -107,7 +107,7 @@ def content_lines(text: Column, comment: Column) -> Column:
 
 
 def outside_quotes(line: Column) -> Column:
-    return F.regexp_replace(line, r'"[^"]*("|$)', "")
+    return F.when(line.contains('"'), F.regexp_replace(line, r'"[^"]*("|$)', "")).otherwise(line)
 
 
 def occurrences(text: Column, char: Column) -> Column:
@@ -118,8 +118,8 @@ def delimiter_vote(lines: Column) -> Column:
     """Of the delimiters that occur once a line or more, the one whose count varies least over an array of lines:
     struct of variance, negative mean, rank and delimiter; null without any."""
 
-    def vote(rank: int, delimiter: str) -> Column:
-        counts = F.transform(lines, lambda x: occurrences(outside_quotes(x), F.lit(delimiter)).cast("double"))
+    def vote(bare: Column, rank: int, delimiter: str) -> Column:
+        counts = F.transform(bare, lambda x: occurrences(x, F.lit(delimiter)).cast("double"))
 
         def judged(counts: Column) -> Column:
             n = F.nullif(F.size(counts).cast("double"), F.lit(0.0))
@@ -130,7 +130,10 @@ def delimiter_vote(lines: Column) -> Column:
 
         return let(counts, judged)
 
-    return F.array_min(F.array_compact(F.array(*[vote(i, d) for i, d in enumerate(DELIMITERS)])))
+    def votes(bare: Column) -> Column:
+        return F.array_min(F.array_compact(F.array(*[vote(bare, i, d) for i, d in enumerate(DELIMITERS)])))
+
+    return let(F.transform(lines, outside_quotes), votes)  # quoted text is taken out once for all delimiters
 
 
 def number_convention(fields: Column, delimiter: Column) -> Column:
