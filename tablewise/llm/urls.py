@@ -32,8 +32,23 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-STRICT = ("porn", "xxx", "hentai", "camgirls", "escorts", "torrent", "warez", "keygen", "phishing", "malware")
-SOFT = ("adult", "sex", "nude", "dating", "casino", "bet", "poker", "slots", "viagra", "pills", "loan", "crypto", "free", "win", "hot", "vip", "promo", "ref")
+#: Terms of the production query: words of adult, fraudulent and spam sites, and of advertising that means little alone.
+STRICT = (
+    "adult", "adults", "bdsm", "blowjob", "camgirl", "camgirls", "camsex", "cumshot", "erotic", "erotica", "escort", "escorts", "fetish", "gangbang",
+    "hardcore", "hentai", "hookup", "incest", "keygen", "keygens", "malware", "milf", "nsfw", "onlyfans", "phishing", "porn", "porno", "pornos",
+    "pornhub", "pornography", "pornstar", "pornstars", "pornvideo", "pornvideos", "sexcam", "sexcams", "sexshop", "sexvideo", "sexvideos", "softcore",
+    "spam", "spammer", "spyware", "stripper", "strippers", "swinger", "swingers", "topless", "torrent", "torrents", "trojan", "upskirt", "voyeur",
+    "warez", "xvideos", "xxx",
+)
+SOFT = (
+    "ads", "adserver", "babe", "babes", "bet", "bets", "betting", "bingo", "blackjack", "bonus", "brides", "cam", "cams", "cash", "casino", "casinos",
+    "cheap", "cialis", "click", "coupon", "coupons", "crack", "cracked", "credit", "crypto", "dating", "deal", "deals", "discount", "discounts",
+    "download", "downloads", "drugs", "enlargement", "forex", "free", "gambling", "gamble", "girls", "giveaway", "hot", "jackpot", "kamagra",
+    "lesbian", "levitra", "loan", "loans", "lottery", "lucky", "mature", "mortgage", "naked", "nude", "nudes", "offer", "offers", "payday", "pharma",
+    "pharmacy", "pill", "pills", "poker", "popup", "popups", "prize", "prizes", "promo", "promos", "replica", "replicas", "rich", "roulette",
+    "serial", "sex", "sexy", "singles", "slot", "slots", "steroids", "strip", "teen", "teens", "track", "tracker", "tracking", "tramadol", "viagra",
+    "vicodin", "vip", "voucher", "vouchers", "weight", "win", "winner", "winners", "wins",
+)
 SOFT_HITS = 2
 NAMES = ["host", "path", "rule", "verdict", "n_strict", "n_soft"]
 
@@ -95,8 +110,12 @@ class Judge:
 def judged(pages: DataFrame, url: str = "url", rules=RULES, strict=STRICT, soft=SOFT, soft_hits: int = SOFT_HITS) -> DataFrame:
     """The input with ``host, path, rule, verdict`` and the numbers of strict and different soft terms."""
 
+    made = []  # the automaton, once for each task
+
     def run(urls: pa.Array) -> pa.Array:
-        judge = Judge(rules, strict, soft, soft_hits)
+        if not made:
+            made.append(Judge(rules, strict, soft, soft_hits))
+        judge = made[0]
         rows = [judge(u) for u in urls.to_pylist()]
         columns = list(zip(*rows)) or [()] * len(NAMES)
         kinds = [pa.string()] * 4 + [pa.int64()] * 2

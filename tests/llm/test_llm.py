@@ -196,6 +196,15 @@ def test_url(url, host, path, rule, verdict):
     assert urls.Judge(urls.RULES, urls.STRICT, urls.SOFT, urls.SOFT_HITS)(url)[:4] == (host, path, rule, verdict)
 
 
+@pytest.mark.parametrize("tail", ["", "?page=2&ref=x", "?utm_source=feed", "#top"])
+def test_verdicts_do_not_turn_on_tracking_parameters(tail):
+    judge = urls.Judge((), urls.STRICT, urls.SOFT, urls.SOFT_HITS)
+    for host in ("free-bets.example.com", "blog.adult-x.example.net", "www.cheap-pills.example.com", "www.spam-farm.example.org", "m.ads-track.example.com", "m.casino-win.example.com"):
+        assert judge(f"http://{host}/en/12/{tail}")[3] == "block", host
+    for url in ("http://blog.therly.example.net/en/3160", "https://essex.example.org/sexton/winter", "http://news.example.com/free-speech", "http://a.example.net/promo"):
+        assert judge(url + tail)[3] == "allow", url
+
+
 def test_urls_frame(spark):
     pages = spark.createDataFrame([(1, None, "x"), (1, "http://a.org/", "y"), (None, "http://b.de/" + "z" * 9000, None)], "page_id bigint, url string, verdict string")
     assert Counter(r.verdict for r in urls.judged(pages).collect()) == {"allow": 3}
