@@ -58,11 +58,12 @@ def p_profile(lineitem):
     )
 
 
-_SEMANTIC = {"event_id": "identifier", "ts": "temporal", "user_id": "numeric", "event_type": "categorical", "value": "numeric", "props": "categorical"}
+_WORDS = "CASE WHEN count(DISTINCT {c}) <= 50 OR count(DISTINCT {c}) <= 0.2 * count(*) THEN 'categorical' ELSE 'text' END"
+_SEMANTIC = {"event_id": "'identifier'", "ts": "'temporal'", "user_id": "'numeric'", "event_type": _WORDS, "value": "'numeric'", "props": _WORDS}
 
 
 @query("p_sampled_profile", "events", sql=" UNION ALL ".join(
-    f"SELECT '{c}' AS name, '{kind}' AS semantic, true AS estimated, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS n_unique"
+    f"SELECT '{c}' AS name, {kind.format(c=c)} AS semantic, true AS estimated, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS n_unique"
     " FROM events WHERE ('0x' || substr(md5('0:' || event_id), 1, 8))::BIGINT % 3 = 0" for c, kind in _SEMANTIC.items()))
 def p_sampled(events):
     result = profile.profile(

@@ -6,8 +6,6 @@ from queries.registry import load
 from tests.compare import compare, connect
 
 QUERIES, ORACLES = load()
-#: Run in full by other tests or by tests/compare.py; each takes many seconds for its many small jobs.
-SLOW = {"l1_look_at", "l2_ask", "l3_findings", "k_card", "c_review", "p_sampled_profile"}
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +13,7 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", [q for q in QUERIES if q not in SLOW])
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, con, sf, name):
     assert compare(spark, con, QUERIES[name], ORACLES.get(name), sf) is None
 
