@@ -39,6 +39,23 @@ def c_review(events):
     return C.caveats(facts, C.source_rules(answer) + C.result_rules(question)).select("code", "severity", "fatal")
 
 
+@query("c_source_size", "region", "events", sql="""
+SELECT 'region' AS source, 'small-source' AS code, 'warning' AS severity, 'the source has ' || count(*) || ' rows only' AS message
+FROM region HAVING count(*) BETWEEN 1 AND 29
+UNION ALL
+SELECT 'events', 'sampled-source', 'serious', 'computed on ' || count(*) FILTER (('0x' || substr(md5('0:' || event_id), 1, 8))::BIGINT % 3 = 0)
+  || ' sampled rows of about ' || count(*) || ': it describes the sample' FROM events""")
+def c_source_size(region, events):
+    """What the size of the source says: few rows, or a sample of them."""
+
+    def of(name, df, **sampling):
+        answer = R.Answer(df.agg(F.count("*").alias("n")), "counts_shares", (), ())
+        facts = C.result_facts(answer.df).join(F.broadcast(C.source_facts(profile(df, name=name, **sampling), answer, "how many")))  # one row each
+        return C.caveats(facts, C.source_rules(answer)).select(F.lit(name).alias("source"), "code", "severity", "message")
+
+    return of("region", region).unionByName(of("events", events, sample_key="event_id", stride=3))
+
+
 @query("c_tiny_groups", "events", sql="""
 WITH g AS (SELECT user_id, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT count(*) AS rows, 'tiny-groups' AS code, 'warning' AS severity, false AS fatal, CAST(count_if(n < 5) AS BIGINT)
