@@ -16,7 +16,7 @@ COST = "spark.sql.files.openCostInBytes"
 @pytest.fixture
 def small_splits(spark):
     old = {k: spark.conf.get(k) for k in (SPLIT, COST)}
-    spark.conf.set(SPLIT, "97")
+    spark.conf.set(SPLIT, "397")
     spark.conf.set(COST, "0")
     yield spark
     for k, v in old.items():
@@ -64,7 +64,7 @@ def test_states_joined_by_a_shuffle(small_splits, tmp_path, monkeypatch):
 @pytest.mark.parametrize("text", [
     'id,one,two\nr1,5" pipe,x\nr2,"a\nb",y\nr3,6" pipe,"c\n"\n',  # quotes inside a field open nothing
     'id,one,two\nr1,"open to the end\n of the file,x',
-    'id,one,two\nr1,"' + "\n" * 400 + '",x\nr2,a,b',  # whole splits inside one record
+    'id,one,two\nr1,"' + "\n" * 1500 + '",x\nr2,a,b',  # whole splits inside one record
 ])
 def test_odd_files_are_read_as_spark_reads_them_whole(small_splits, tmp_path, text):
     (tmp_path / "a.csv").write_bytes(text.encode())
