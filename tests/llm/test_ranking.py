@@ -61,7 +61,7 @@ def corpus(seed=2, n=400):
     return docs, items
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 7}, {"most": 40, "k": 3}])
+@pytest.mark.parametrize("options", [{}, {"block": 25}, {"most": 400, "k": 3}])
 def test_equals_brute_force(spark, options):
     docs, items = corpus()
     want = brute(docs, items, options.get("k", 10))
