@@ -2,13 +2,15 @@
 
 Every document gets countable features. Their shares fall into integer bins; the counts of bins for
 each (language, source) are a quantile sketch of fixed size that merges by addition, so the sketch of
-a language is the sum of its sources' sketches. A threshold lies a number of quartile spreads beyond
-the quartile of the document's own group, which moves with the group instead of being a fixed cutoff.
+a language is the sum of its sources' sketches. The octiles of a group are drawn towards those of its language, and these
+towards those of all documents, as if each had ``PRIOR_DOCS`` documents of the wider group more: a large source has its
+own, a small one leans on its language. A limit lies a number of octile spreads beyond the octile, so it moves with the
+group's level and with how much its documents differ. A document is over it if its count is, by more than what one or
+two single events make (``CHANCE``): the share of a short text says little.
 
 Defined cases: a null or empty text has no words and fails the base rules. Null and empty ``lang`` or
-``source`` form one group. Groups with fewer than ``least`` documents take the sketch of their
-language, and languages with fewer that of all documents. Equal rows get equal verdicts. An empty table gives an
-empty result. Columns of the input that are called like a result column are replaced by it.
+``source`` form one group. Equal rows get equal verdicts. An empty table gives an empty result. Columns of the input
+that are called like a result column are replaced by it.
 """
 
 from __future__ import annotations
@@ -28,10 +30,14 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Sketch: shares in thousandths, mean word length in tenths of a character, at most this bin.
 TOP_BIN = 1000
-#: Parameters of the thresholds: quartile spreads beyond the quartile, and the least distance in bins.
-SPREADS = 6
-SLACK = {"symbols": 20, "dup_lines": 450, "repeats": 350, "shouts": 20, "length": 20}
-LEAST_DOCS = 200
+#: Parameters of the thresholds: octile spreads beyond the octile, bins added for the rounding of shares, weight of the wider group.
+SPREADS = 3
+SLACK = 5
+PRIOR_DOCS = 200
+#: Features, each a count for so many units, and the counts over the limit that chance may bring.
+SHARES = {"symbols": ("n_symbols", "word_chars"), "shouts": ("n_shouts", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
+CHANCE = {"symbols": 5, "shouts": 5, "dup_lines": 3, "repeats": 60}
+FEATURES = (*SHARES, "length")
 #: Groups whose threshold table is known to be this small are joined by broadcast (about 100 bytes each).
 BROADCAST_GROUPS = 50_000
 
@@ -96,21 +102,16 @@ def count_udf():
 
 
 def bins() -> dict:
-    return {
-        "symbols": F.expr(f"least(n_symbols * 1000 div greatest(word_chars, 1), {TOP_BIN})"),
-        "shouts": F.expr(f"least(n_shouts * 1000 div greatest(word_chars, 1), {TOP_BIN})"),
-        "dup_lines": F.expr(f"least(n_dup_lines * 1000 div greatest(n_lines, 1), {TOP_BIN})"),
-        "repeats": F.expr(f"least(n_repeat_words * 1000 div greatest(n_words, 1), {TOP_BIN})"),
-        "length": F.expr(f"least(word_chars * 10 div greatest(n_words, 1), {TOP_BIN})"),
-    }
+    shares = {f: F.expr(f"least({count} * 1000 div greatest({units}, 1), {TOP_BIN})") for f, (count, units) in SHARES.items()}
+    return shares | {"length": F.expr(f"least(word_chars * 10 div greatest(n_words, 1), {TOP_BIN})")}
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """``_row`` (the whole input row), its group, the counts, base verdict and bins."""
+def features(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``_row`` (``columns`` of the input), its group, the counts, base verdict and bins."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
         docs.select(
-            F.struct("*").alias("_row"),
+            F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"),
             F.coalesce("lang", F.lit("")).alias("_lang"),
             F.coalesce("source", F.lit("")).alias("_source"),
             count_udf()("text").alias("_n"),
@@ -123,55 +124,61 @@ def features(docs: DataFrame) -> DataFrame:
 
 def sketches(feats: DataFrame) -> DataFrame:
     """Counts of bins for each group and feature, over documents that pass the base rules."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(f"_{k}").alias("bin")) for k in SLACK]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(f"_{k}").alias("bin")) for k in FEATURES]))
     return (
         feats.filter(~F.col("base_failed")).select("_lang", "_source", pairs.alias("p"))
         .groupBy("_lang", "_source", "p.feature", "p.bin").agg(F.count("*").alias("n"))
     )
 
 
-def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """First and third quartile (smallest bin that reaches the share) for each key and feature."""
+def octiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """Documents, first and last octile (smallest bin that reaches the share) for each key and feature."""
     merged = sketch.groupBy(*keys, "feature", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "feature")
     upto = group.orderBy("bin")
     ranked = merged.select(*keys, "feature", "bin", F.sum("n").over(upto).alias("cum"), F.sum("n").over(group).alias("total"))
-    at = lambda k: F.min(F.when(F.col("cum") * 4 >= F.col("total") * k, F.col("bin")))
-    return ranked.groupBy(*keys, "feature").agg(F.max("total").alias("total"), at(1).alias("q1"), at(3).alias("q3"))
+    at = lambda k: F.min(F.when(F.col("cum") * 8 >= F.col("total") * k, F.col("bin")))
+    return ranked.groupBy(*keys, "feature").agg(F.max("total").alias("total"), at(1).alias("low"), at(7).alias("high"))
 
 
-def thresholds(feats: DataFrame, spreads: int = SPREADS, least: int = LEAST_DOCS) -> DataFrame:
+def thresholds(feats: DataFrame, spreads: int = SPREADS, prior: int = PRIOR_DOCS) -> DataFrame:
     """One row for each group: ``_lang``, ``_source``, the upper limit of each feature and the lower one of length."""
     sketch = store(sketches(feats), "quality-sketch")
-    own = quartiles(sketch, "_lang", "_source").withColumnRenamed("total", "n0")
-    lang = quartiles(sketch, "_lang").toDF("_lang", "feature", "n1", "l1", "l3")
-    every = quartiles(sketch).toDF("feature", "n2", "a1", "a3")
+    own = octiles(sketch, "_lang", "_source").withColumnRenamed("total", "n0")
+    lang = octiles(sketch, "_lang").toDF("_lang", "feature", "n1", "l_low", "l_high")
+    every = octiles(sketch).select("feature", F.col("low").alias("a_low"), F.col("high").alias("a_high"))
     merged = own.join(lang, ["_lang", "feature"]).join(F.broadcast(every), "feature")  # ``every`` has one row for each feature
-    pick = lambda a, b, c: F.when(F.col("n0") >= least, F.col(a)).when(F.col("n1") >= least, F.col(b)).otherwise(F.col(c))
-    limits = merged.select("_lang", "_source", "feature", pick("q1", "l1", "a1").alias("q1"), pick("q3", "l3", "a3").alias("q3"))
-    room = F.greatest((F.col("q3") - F.col("q1")) * spreads, F.create_map(*[x for k, v in SLACK.items() for x in (F.lit(k), F.lit(v))])[F.col("feature")])
-    limits = limits.withColumn("lo", F.col("q1") - room).withColumn("hi", F.col("q3") + room)
+    for c in ("low", "high"):
+        merged = merged.withColumn(f"l_{c}", F.expr(f"(n1 * l_{c} + {prior} * a_{c}) div (n1 + {prior})"))
+        merged = merged.withColumn(c, F.expr(f"(n0 * {c} + {prior} * l_{c}) div (n0 + {prior})"))
+    room = (F.col("high") - F.col("low")) * spreads + SLACK
+    limits = merged.withColumn("lo", F.col("low") - room).withColumn("hi", F.col("high") + room)
     of = lambda f, c: F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"_{c}_{f}")
-    return limits.groupBy("_lang", "_source").agg(*[of(f, "hi") for f in SLACK], of("length", "lo"))
+    return limits.groupBy("_lang", "_source").agg(*[of(f, "hi") for f in FEATURES], of("length", "lo"))
 
 
-def judged(docs: DataFrame, **options) -> DataFrame:
-    """``features`` of every document with its limits and ``kept``."""
-    limits = store(thresholds(features(docs), **options), "quality-limits")
+def judged(docs: DataFrame, columns: list[str] | None = None, **options) -> DataFrame:
+    """``features`` of every document with its limits and ``kept``.
+
+    If only some ``columns`` and not the text are asked for, the counts are stored and no text is counted twice.
+    """
+    feats = features(docs, docs.columns if columns is None else columns)
+    if columns is not None and "text" not in columns:
+        feats = store(feats, "quality-counts")
+    limits = store(thresholds(feats, **options), "quality-limits")
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
-    within = ~F.col("base_failed")
-    for f in SLACK:
-        within &= F.col(f"_{f}") <= F.col(f"_hi_{f}")
-    within &= F.col("_length") >= F.col("_lo_length")
-    return features(docs).join(limits, ["_lang", "_source"], "left").withColumn("kept", F.coalesce(within, F.lit(False)))
+    within = ~F.col("base_failed") & F.col("_length").between(F.col("_lo_length"), F.col("_hi_length"))
+    for f, (count, units) in SHARES.items():
+        within &= (F.col(count) - CHANCE[f]) * 1000 <= F.col(f"_hi_{f}") * F.col(units)
+    return feats.join(limits, ["_lang", "_source"], "left").withColumn("kept", F.coalesce(within, F.lit(False)))
 
 
-def quality(docs: DataFrame, **options) -> DataFrame:
-    """The input's columns with the counts, ``base_failed`` and ``kept``; clashing columns are replaced."""
+def quality(docs: DataFrame, columns: list[str] | None = None, **options) -> DataFrame:
+    """``columns`` of the input (all, if None) with the counts, ``base_failed`` and ``kept``; clashing columns are replaced."""
     new = [*COUNTS, "base_failed", "kept"]
-    old = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in new]
-    return judged(docs, **options).select(*old, *new)
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in new]
+    return judged(docs, columns, **options).select(*[F.col(f"_row.`{c}`").alias(c) for c in columns], *new)
 
 
 def filtered(docs: DataFrame, **options) -> DataFrame:

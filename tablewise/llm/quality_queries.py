@@ -32,32 +32,28 @@ f AS (
   FROM c),
 u AS (UNPIVOT (SELECT lang, source, symbols, shouts, dup_lines, repeats, length FROM f WHERE NOT base_failed)
       ON symbols, shouts, dup_lines, repeats, length INTO NAME feature VALUE bin),
-o AS (SELECT lang, source, feature, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM u GROUP BY ALL),
-l AS (SELECT lang, feature, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM u GROUP BY ALL),
-a AS (SELECT feature, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM u GROUP BY ALL),
-q AS (
-  SELECT o.lang, o.source, feature,
-         CASE WHEN o.n >= 200 THEN o.q1 WHEN l.n >= 200 THEN l.q1 ELSE a.q1 END AS q1,
-         CASE WHEN o.n >= 200 THEN o.q3 WHEN l.n >= 200 THEN l.q3 ELSE a.q3 END AS q3,
-         CASE feature WHEN 'dup_lines' THEN 450 WHEN 'repeats' THEN 350 ELSE 20 END AS slack
-  FROM o JOIN l USING (lang, feature) JOIN a USING (feature)),
+o AS (SELECT lang, source, feature, count(*) AS n, quantile_disc(bin, 0.125) AS lo, quantile_disc(bin, 0.875) AS hi FROM u GROUP BY ALL),
+l AS (SELECT lang, feature, count(*) AS n, quantile_disc(bin, 0.125) AS lo, quantile_disc(bin, 0.875) AS hi FROM u GROUP BY ALL),
+a AS (SELECT feature, quantile_disc(bin, 0.125) AS lo, quantile_disc(bin, 0.875) AS hi FROM u GROUP BY ALL),
+m AS (SELECT lang, feature, (n * l.lo + 200 * a.lo) // (n + 200) AS lo, (n * l.hi + 200 * a.hi) // (n + 200) AS hi FROM l JOIN a USING (feature)),
+q AS (SELECT o.lang, source, feature, (n * o.lo + 200 * m.lo) // (n + 200) AS lo, (n * o.hi + 200 * m.hi) // (n + 200) AS hi
+      FROM o JOIN m USING (lang, feature)),
 t AS (
-  SELECT lang, source, max(q3 + greatest(6 * (q3 - q1), slack)) FILTER (feature = 'symbols') AS hs,
-         max(q3 + greatest(6 * (q3 - q1), slack)) FILTER (feature = 'shouts') AS hx,
-         max(q3 + greatest(6 * (q3 - q1), slack)) FILTER (feature = 'dup_lines') AS hd,
-         max(q3 + greatest(6 * (q3 - q1), slack)) FILTER (feature = 'repeats') AS hr,
-         max(q3 + greatest(6 * (q3 - q1), slack)) FILTER (feature = 'length') AS hl,
-         max(q1 - greatest(6 * (q3 - q1), slack)) FILTER (feature = 'length') AS ll
+  SELECT lang, source, max(hi + 3 * (hi - lo) + 5) FILTER (feature = 'symbols') AS hs,
+         max(hi + 3 * (hi - lo) + 5) FILTER (feature = 'shouts') AS hx, max(hi + 3 * (hi - lo) + 5) FILTER (feature = 'dup_lines') AS hd,
+         max(hi + 3 * (hi - lo) + 5) FILTER (feature = 'repeats') AS hr, max(hi + 3 * (hi - lo) + 5) FILTER (feature = 'length') AS hl,
+         max(lo - 3 * (hi - lo) - 5) FILTER (feature = 'length') AS ll
   FROM q GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       coalesce(NOT base_failed AND symbols <= hs AND shouts <= hx AND dup_lines <= hd AND repeats <= hr
-                AND length BETWEEN ll AND hl, false) AS kept
+       coalesce(NOT base_failed AND length BETWEEN ll AND hl
+                AND 1000 * (n_symbols - 5) <= hs * word_chars AND 1000 * (n_shouts - 5) <= hx * word_chars
+                AND 1000 * (n_dup_lines - 3) <= hd * n_lines AND 1000 * (n_repeat_words - 60) <= hr * n_words, false) AS kept
 FROM f LEFT JOIN t USING (lang, source)"""
 
 
 @query("op5_quality_rules", SQL)
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return quality.quality(docs).select(
+    return quality.quality(docs, ["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

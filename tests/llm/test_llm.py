@@ -272,6 +272,26 @@ def test_quality(spark):
     assert quality.quality(frame(spark)).count() == len(TEXTS) + 3
 
 
+def test_quality_limits_move_with_the_source(spark):
+    """What is normal in one source is not in another; a source with few documents leans on its language."""
+
+    def marked(i, every):
+        return " ".join(w + "|" * (j % every == 0) for j, w in enumerate(prose(200, i).split()))
+
+    rows = [(i, marked(i, 2 + i % 3), "en", "tables") for i in range(400)] + [(400 + i, prose(200, 400 + i), "en", "prose") for i in range(1500)]
+    rows += [(1900 + i, prose(200, 1900 + i), "en", "small") for i in range(5)] + [(1905 + i, prose(200, 2400 + i), None, None) for i in range(60)]
+    same = marked(1, 3)
+    rows += [(2000, same, "en", "tables"), (2001, same, "en", "prose"), (2002, same, None, "")]  # the last leans on all documents
+    loud = " ".join(w + "|" * 30 for w in prose(200, 7).split())
+    rows += [(2003, loud, "en", "tables"), (2004, loud, "en", "prose")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.quality(docs, ["doc_id"]).filter("kept").collect()}
+    assert {i for i, *_ in rows} - kept == {2001, 2003, 2004}
+    assert kept == {r.doc_id for r in quality.filtered(docs).collect()}
+    limits = {(r._lang, r._source): r._hi_symbols for r in quality.thresholds(quality.features(docs, ["doc_id"])).collect()}
+    assert min(limits["en", "tables"], limits["en", "small"]) > 3 * limits["en", "prose"] and ("", "") in limits
+
+
 # --- 6
 
 
