@@ -1,11 +1,17 @@
 """Main text of web pages from the standard library's parser events.
 
-The events of a page become lines, one for each block element. A line has the length of its text and the
-number of tags in it. All lines of ``article`` and ``main`` elements are content, short articles like long ones. On
-pages without one, the ratio of length to tags, smoothed by a Gaussian over neighbouring lines, is clustered by a
-threshold: a quarter of the mean, for which no line counts more than ``CAP`` times the median, so that a very long
-line does not push others out. Content is the stretch from the first to the last line of the containers that lines
-of this cluster stand in. Menus, page headers, footers,
+The events of a page become lines, one for each block element. A line has the length of its text outside links and the
+number of tags in it. Their ratio, smoothed by a Gaussian over neighbouring lines, is clustered by a threshold: a quarter of
+the mean, in which a line weighs as its length, at most ``LONG``, and no ratio counts more than ``CAP`` times the median of such
+weights, so that neither one very long line nor many short ones push others out. Content is the stretch from the first to
+the last line of the containers that lines of this cluster stand in; a container of several lines that all lie far below
+the threshold is none, nor is one of nothing but links. Lists and articles that are mostly links are no lines.
+
+``article`` and ``main`` elements are a prior, not the answer. On every page the cluster of the lines outside them is
+compared with them: they are the content, short articles like long ones, unless it holds more than ``PRIOR`` times their text.
+So teasers in articles do not hide a story that stands in a ``div``.
+
+Menus, page headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles are known by their element, role, class or
 id, and are never lines. A class or id counts by its whole name or last part, the id of a heading or paragraph never;
 and a ``div`` or ``section`` with such a name that holds most of the page's text stays. The parser goes through the page once; nothing is shuffled.
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +40,14 @@ by_value(__name__)
 SIGMA = 1.5
 #: In the threshold only, a line counts at most so many times the median ratio.
 CAP = 4
+#: Code points that a line weighs at most, those of a long paragraph.
+LONG = 500
+#: Parts of the mean that a smoothed ratio, and the highest ratio of a container, must reach.
+CLUSTER, OWN = 4, 16
+#: Text outside articles is the content if it is longer than theirs by this factor.
+PRIOR = 2
+#: A container has several lines from this number on. A list is a menu if it has so many lines and more than two thirds of its text in links.
+LIST_LINES = 3
 # Fixed values of the markup language.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4"
@@ -43,6 +58,7 @@ OUT = frozenset("head script style noscript template nav menu aside form footer
 CLOSED = OUT - HOLDERS
 #: Elements that hold a stretch of the page.
 CONTAINERS = frozenset("article body div main section".split())
+LISTS = frozenset(["ul", "ol", "dl"])
 OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay"
     " sidebar aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar comment comments respond reply replies disqus share sharing social related"
@@ -79,29 +95,51 @@ def named(tag: str, value: str) -> set[str]:
     return out
 
 
-class Lines(HTMLParser):
-    """Collects ``(text, tags, region, container, wrapper)`` of the lines of one page; region 0 is outside any article.
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int  # code points inside links
+    region: int  # the article or main element around, or 0
+    container: int
+    listing: int  # the innermost list around, or 0
+    wrapper: int  # the innermost element around that is hidden by its name for now, or 0
+
+
+class Open(NamedTuple):
+    tag: str
+    hides: bool
+    region: int
+    container: int
+    listing: int
+    wrapper: int
 
-    ``wrapper`` is the number of the innermost element around that is hidden by its name for now, or 0.
-    """
+
+class Lines(HTMLParser):
+    """Collects the lines of one page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, int]] = []
-        self.open: list[tuple[str, bool, int, int, int]] = []  # holder, whether it hides its content, region, container, wrapper
+        self.lines: list[Line] = []
+        self.open: list[Open] = []
         self.buffer: list[str] = []
-        self.tags = self.regions = self.hidden = 0
-        self.region = 0
-        self.container = self.containers = self.wrapper = 0
+        self.tags = self.linked = self.regions = self.hidden = 0
+        self.link = False
+        self.region = self.container = self.listing = self.wrapper = 0
+        self.containers = self.listings = 0
         self.around = [0]  # the wrapper around each wrapper
 
     def flush(self) -> None:
         if self.buffer:
             text = " ".join("".join(self.buffer).split())
             if text:
-                self.lines.append((text, self.tags, self.region, self.container, self.wrapper))
+                linked = min(self.linked, len(text))
+                self.lines.append(Line(text, self.tags, linked, self.region, self.container, self.listing, self.wrapper))
             self.buffer = []
-        self.tags = 0
+        self.tags = self.linked = 0
+
+    def inside(self) -> None:
+        """Take the place of the innermost open element."""
+        self.region, self.container, self.listing, self.wrapper = self.open[-1][2:] if self.open else (0, 0, 0, 0)
 
     def hides(self, tag: str, attrs) -> int:
         if tag in OUT:
@@ -124,13 +162,16 @@ class Lines(HTMLParser):
         """End what a block ends that has no end tag: the paragraph, and the one before of its kind."""
         for kinds in (("p",), NEXT_ENDS.get(tag, ())):
             while self.open and self.open[-1][0] in kinds:
-                self.hidden -= self.open.pop()[1]
-                self.container, self.wrapper = self.open[-1][3:] if self.open else (0, 0)
+                self.hidden -= self.open.pop().hides
+                self.inside()
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.flush()
             self.end_before(tag)
+            self.link = False
+        elif tag == "a":
+            self.link = True
         self.tags += 1
         if tag == "br":
             self.buffer.append(" ")
@@ -149,7 +190,10 @@ class Lines(HTMLParser):
             if tag in CONTAINERS:
                 self.containers += 1
                 self.container = self.containers
-            self.open.append((tag, hides, self.region, self.container, self.wrapper))
+            if tag in LISTS:
+                self.listings += 1
+                self.listing = self.listings
+            self.open.append(Open(tag, hides, self.region, self.container, self.listing, self.wrapper))
             self.hidden += hides
 
     def handle_startendtag(self, tag, attrs):
@@ -162,18 +206,21 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.flush()
+        elif tag == "a":
+            self.link = False
         self.tags += 1
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                for _, hides, *_ in self.open[i:]:
-                    self.hidden -= hides
+            if self.open[i].tag == tag:
+                self.hidden -= sum(x.hides for x in self.open[i:])
                 del self.open[i:]
-                self.region, self.container, self.wrapper = self.open[-1][2:] if self.open else (0, 0, 0)
+                self.inside()
                 return
 
     def handle_data(self, data):
         if not self.hidden:
             self.buffer.append(data)
+            if self.link:
+                self.linked += len(data.strip())
 
 
 def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -182,32 +229,58 @@ def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(x, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def shown(lines: list[tuple[str, int, int, int, int]], around: list[int]) -> list[tuple[str, int, int, int, int]]:
+def shown(lines: list[Line], around: list[int]) -> list[Line]:
     """The lines without those in wrappers that are named like a part of the page and hold no more than half of its text."""
     size = [0] * len(around)
     for x in lines:
-        size[x[4]] += len(x[0])
+        size[x.wrapper] += len(x.text)
     for i in range(len(around) - 1, 0, -1):  # what is inside is counted before
         size[around[i]] += size[i]
     stays = [True] * len(around)
     for i in range(1, len(around)):
         stays[i] = stays[around[i]] and 2 * size[i] > size[0]
-    return [x for x in lines if stays[x[4]]]
+    return [x for x in lines if stays[x.wrapper]]
+
+
+def unlinked(lines: list[Line], least: int, share: int, of: str) -> list[Line]:
+    """The lines without those of lists or regions (``of``) with at least ``least`` lines and text in links above ``share`` parts in six."""
+    seen: dict[int, list[int]] = {}
+    for x in lines:
+        sums = seen.setdefault(getattr(x, of), [0, 0, 0])
+        sums[0] += 1
+        sums[1] += len(x.text)
+        sums[2] += x.linked
+    menus = {k for k, (n, size, linked) in seen.items() if k and n >= least and 6 * linked > share * size}
+    return [x for x in lines if getattr(x, of) not in menus]
 
 
-def content(lines: list[tuple[str, int, int, int, int]]) -> list[str]:
-    """The lines of all articles, or else of the stretch that the smoothed text-to-tag ratio selects."""
+def clustered(lines: list[Line]) -> list[Line]:
+    """The stretch of lines that the smoothed text-to-tag ratio selects."""
     if not lines:
         return []
-    region = np.array([x[2] for x in lines])
-    keep = region > 0
-    if not keep.any():
-        ratio = np.array([len(x[0]) / max(x[1], 1) for x in lines])
-        high = smoothed(ratio) >= np.minimum(ratio, CAP * np.median(ratio)).mean() / 4
-        container = np.array([x[3] for x in lines])
-        at = np.flatnonzero(np.isin(container, np.unique(container[high])))
-        keep[at[0] : at[-1] + 1] = True
-    return [x[0] for x, k in zip(lines, keep) if k]
+    ratio = np.array([(len(x.text) - x.linked) / max(x.tags, 1) for x in lines])
+    weight = np.array([min(len(x.text), LONG) for x in lines])
+    order = np.argsort(ratio, kind="stable")
+    upto = np.cumsum(weight[order])
+    median = ratio[order][np.searchsorted(upto, upto[-1] / 2)]
+    mean = np.average(np.minimum(ratio, CAP * median), weights=weight)
+    _, container = np.unique([x.container for x in lines], return_inverse=True)
+    high, own = np.zeros(container.max() + 1, bool), np.zeros(container.max() + 1)
+    high[container[smoothed(ratio) >= mean / CLUSTER]] = True
+    np.maximum.at(own, container, ratio)
+    few = np.bincount(container) < LIST_LINES
+    at = np.flatnonzero((high & (own >= np.where(few, np.minimum(mean / OWN, 1), mean / OWN)))[container])
+    return lines[at[0] : at[-1] + 1] if len(at) else []
+
+
+def content(lines: list[Line]) -> list[Line]:
+    """All articles, or the cluster of the lines outside them if that holds far more text."""
+    lines = unlinked(lines, LIST_LINES, 4, "listing") or lines
+    lines = unlinked(lines, 1, 3, "region") or lines
+    inside = [x for x in lines if x.region]
+    outside = clustered([x for x in lines if not x.region and not (inside and x.wrapper)])
+    size, rest = (sum(len(x.text) - x.linked for x in part) for part in (inside, outside))
+    return outside if rest > PRIOR * size else inside or outside
 
 
 def main_text(page: str | None) -> str:
@@ -220,7 +293,7 @@ def main_text(page: str | None) -> str:
     parser.feed(page)
     parser.close()
     parser.flush()
-    return "\n".join(content(shown(parser.lines, parser.around)))
+    return "\n".join(x.text for x in content(shown(parser.lines, parser.around)))
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:

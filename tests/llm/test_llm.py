@@ -418,6 +418,70 @@ def test_html_names():
     assert html.main_text(f"<body><div hidden class=sidebar>{body}</div><p>In</p></body>") == "In"
 
 
+def test_html_teasers_and_lists():
+    story = [" ".join(prose(40, i).split()) for i in range(6)]
+    paragraphs = "".join(f"<p>{x}</p>" for x in story)
+    teasers = "".join(f"<article><h3><a href=/{i}>Teaser {i}</a></h3><p>Some words on it.</p></article>" for i in range(5))
+    links = "<ul>" + "".join(f"<li><a href=/{i}>link {i}</a></li>" for i in range(60)) + "</ul>"
+    foot = "<div>" + "".join(f"<p>foot {i}</p>" for i in range(60)) + "</div>"
+    for page in (f"<div>{paragraphs}</div>{teasers}", f"{teasers}<div>{paragraphs}</div>{teasers}", f"<div>{paragraphs}</div>{foot}"):
+        assert html.main_text(f"<body>{page}</body>") == "\n".join(story)
+    for holder in ("div", "article"):
+        assert html.main_text(f"<body>{links}<{holder}>{paragraphs}{links}{paragraphs}</{holder}>{links}</body>") == "\n".join(story * 2)
+    assert html.main_text(f"<body><article>{paragraphs}</article>{teasers}</body>").startswith("\n".join(story))
+    assert html.main_text(f"<article>{paragraphs}<ul><li>One <a>two</a><li>Three<li>Four</ul></article>").endswith("One two\nThree\nFour")
+    assert html.main_text(f"<body><div class=ad>{paragraphs}</div><article><p>Short.</p></article></body>") == "Short."
+    assert html.main_text(links) == "\n".join(f"link {i}" for i in range(60))  # a page of nothing else
+
+
+def test_html_planted_pages():
+    """Pages built from known parts: the story comes back whole, wherever it stands, and nothing else does."""
+    rng = random.Random(8)
+    for seed in range(150):
+        story = [" ".join(prose(rng.randint(15, 80), seed * 50 + i).split()) for i in range(rng.randint(4, 12))]
+        if rng.random() < 0.5:
+            story.insert(rng.randint(1, 3), "Short.")
+        menu = "<ul>" + "".join(f"<li><a href=/{i}>to {i}</a></li>" for i in range(rng.randint(3, 30))) + "</ul>"
+        around = [menu, "<div>" + "".join(f"<span><a>x{i}</a></span> " for i in range(9)) + "</div>", "<nav>Go</nav>", "<div class=ad>Buy</div>",
+                  "<article><a href=/>Next one to read</a></article>", "<div hidden>" + "no " * 300 + "</div>", "<footer>End</footer>"]
+        rng.shuffle(around)
+        cut = rng.randint(0, len(around))
+        holder = rng.choice(["div", "section", "article", "main"])
+        body = "".join(f"<p>{x}" + rng.choice(["", "</p>"]) for x in story)
+        page = f"<html><body>{''.join(around[:cut])}<{holder}>{body}</{holder}>{''.join(around[cut:])}</body></html>"
+        assert html.main_text(page) == "\n".join(story), (seed, holder)
+
+
+def brute_cluster(lines):
+    """The cluster in plain loops: ratios, weighted median by counting up, Gaussian by its sum, containers one by one."""
+    ratio = [(len(x.text) - x.linked) / max(x.tags, 1) for x in lines]
+    weight = [min(len(x.text), 500) for x in lines]
+    seen, median = 0.0, None
+    for r, w in sorted(zip(ratio, weight), key=lambda x: x[0]):
+        seen += w
+        if median is None and seen >= sum(weight) / 2:
+            median = r
+    mean = sum(min(r, 4 * median) * w for r, w in zip(ratio, weight)) / sum(weight)
+    gauss = [math.exp(-0.5 * (d / 1.5) ** 2) for d in range(-5, 6)]
+    smooth = [sum(ratio[min(max(i + d, 0), len(ratio) - 1)] * g for d, g in zip(range(-5, 6), gauss)) / sum(gauss) for i in range(len(ratio))]
+    good = {x.container for x, v in zip(lines, smooth) if v >= mean / 4}
+    own = {c: [r for r, x in zip(ratio, lines) if x.container == c] for c in good}
+    good = {c for c in good if max(own[c]) >= mean / 16 or len(own[c]) < 3 and max(own[c]) >= 1}
+    at = [i for i, x in enumerate(lines) if x.container in good]
+    return lines[at[0] : at[-1] + 1] if at else []
+
+
+def test_html_cluster():
+    rng = random.Random(9)
+    for _ in range(300):
+        lines = []
+        for i in range(rng.randint(1, 60)):
+            n = int(10 ** rng.uniform(0, 3))
+            lines.append(html.Line("x" * n, rng.randint(0, 9), rng.choice([0, 0, n, n // 2]), 0, i // rng.randint(1, 9), 0, 0))
+        assert html.clustered(lines) == brute_cluster(lines)
+    assert html.clustered([]) == []
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (2, None, None, None)], "page_id bigint, url string, html string, text string")
     got = html.extracted(pages).orderBy("page_id").collect()
