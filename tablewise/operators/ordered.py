@@ -227,6 +227,44 @@ def tie_ranks(
     )
 
 
+def carried_ranks(
+    df: DataFrame, value: str, tie: str, weight: str, name: str, *, slices: int | None = None
+) -> DataFrame:
+    """Add ``name``, the average rank of ``value`` among all rows, of which each counts ``weight`` times.
+
+    Rows are cut into slices by (value, tie), so that a value in a third of the table is spread over
+    many; ranks are counted inside a slice and carried over its border. Only the first and the last
+    value of a slice can go on in another one, and these few are counted over the whole table, so no
+    row is joined on its value. ``value`` must not be null.
+    """
+    sliced = slice_rows(df, [], [value, tie], slices)
+    totals = sliced.groupBy(SLICE).agg(
+        F.sum(weight).alias("_total"), F.min(value).alias("_first"), F.max(value).alias("_last")
+    )
+    before = Window.partitionBy(F.lit(0)).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = materialise(totals.withColumn("_carry", F.coalesce(F.sum("_total").over(before), F.lit(0))))
+    ends = carry.select(F.explode(F.array("_first", "_last")).alias("_end")).distinct()
+    parts = (
+        sliced.join(F.broadcast(ends), F.col(value) == F.col("_end"), "left_semi")
+        .groupBy(SLICE, F.col(value).alias("_end")).agg(F.sum(weight).alias("_n"))
+        .join(F.broadcast(carry), SLICE)
+    )
+    lower = F.when(F.col("_end") == F.col("_first"), F.lit(0)).otherwise(F.col("_total") - F.col("_n"))
+    cut = parts.groupBy("_end").agg(
+        F.sum("_n").alias("_end_ties"), F.min(F.col("_carry") + lower).alias("_end_lower")
+    )
+    upto = F.sum(weight).over(Window.partitionBy(SLICE).orderBy(value))  # with all equal values
+    ties = F.sum(weight).over(Window.partitionBy(SLICE, value))
+    ranked = (  # both tables hold at most two rows for each slice
+        sliced.withColumns({"_ties": ties, "_upto": upto})
+        .join(F.broadcast(carry.select(SLICE, "_carry")), SLICE)
+        .join(F.broadcast(cut), F.col(value) == F.col("_end"), "left")
+    )
+    lower = F.coalesce("_end_lower", F.col("_carry") + F.col("_upto") - F.col("_ties"))
+    rank = lower + (F.coalesce("_end_ties", "_ties") + 1) / 2
+    return ranked.select(*df.columns, rank.alias(name))
+
+
 def _distinct_fit(df: DataFrame, by: Sequence[str], value: str, bound: int) -> bool:
     """Whether no group holds more than ``bound`` distinct values; estimated with a wide margin."""
     if df.count() <= bound:

@@ -15,9 +15,8 @@ from pyspark.sql.window import Window
 
 from tablewise.functions.numeric import band_index, float_div, safe_corr
 from tablewise.functions.types import ident, is_numeric
-from tablewise.operators.ordered import group_quantiles, match_keys, running
+from tablewise.operators.ordered import carried_ranks, group_quantiles, match_keys
 from tablewise.operators.stats import wide
-from tablewise.session import materialise
 
 #: Groups smaller than this are left out where a rate or a ranking of means is asked for.
 MIN_GROUP = 30
@@ -76,21 +75,20 @@ def top_rows(df: DataFrame, measure: str, key: str, n: int = 10) -> Answer:
     return Answer(out, "top_rows", (measure,), ())
 
 
-def spearman(df: DataFrame, a: str, b: str, *, bound: int | None = None) -> DataFrame:
+def spearman(df: DataFrame, a: str, b: str, *, slices: int | None = None) -> DataFrame:
     """Pearson correlation of average-tie ranks, over rows where both values are present.
 
-    Ranks are computed on distinct values; rows find their rank by a join on the value. Counting
-    (a, b) pairs first keeps a value that fills a third of the table from travelling row by row.
+    Equal (a, b) pairs are counted first, and each pair carries its two ranks from slice to slice;
+    nothing is joined on a value.
     """
-    pairs = materialise(  # read three times
+    pairs = (
         df.select(_c(a).cast("double").alias("a"), _c(b).cast("double").alias("b"))
         .dropna()
         .groupBy("a", "b")
         .agg(F.count("*").cast("double").alias("w"))
     )
-    rank_a = _weighted_ranks(pairs, "a", bound)
-    rank_b = _weighted_ranks(pairs, "b", bound)
-    ranked = pairs.join(rank_a, "a").join(rank_b, "b")
+    ranked = carried_ranks(pairs, "a", "b", "w", "rank_a", slices=slices)
+    ranked = carried_ranks(ranked, "b", "a", "w", "rank_b", slices=slices)
     w, x, y = F.col("w"), F.col("rank_a"), F.col("rank_b")
     moments = ranked.agg(
         F.sum(w).alias("n"),
@@ -106,17 +104,10 @@ def spearman(df: DataFrame, a: str, b: str, *, bound: int | None = None) -> Data
     return moments.select(F.when(varies, cov / F.nullif(F.sqrt(var), F.lit(0.0))).alias("spearman"))
 
 
-def _weighted_ranks(pairs: DataFrame, value: str, bound: int | None) -> DataFrame:
-    counts = pairs.groupBy(value).agg(F.sum("w").alias("ties"))
-    upto = running(counts, [], [value], sums={"_upto": F.col("ties")}, bound=bound)
-    rank = F.col("_upto") - F.col("ties") + (F.col("ties") + 1) / 2
-    return upto.select(value, rank.alias(f"rank_{value}"))
-
-
-def correlation(df: DataFrame, a: str, b: str, *, bound: int | None = None) -> Answer:
+def correlation(df: DataFrame, a: str, b: str, *, slices: int | None = None) -> Answer:
     """Pearson and Spearman side by side; a gap between them points at outliers or a curve."""
     pearson = df.agg(safe_corr(_c(a), _c(b)).alias("pearson"))
-    out = pearson.join(F.broadcast(spearman(df, a, b, bound=bound)))  # one row each
+    out = pearson.join(F.broadcast(spearman(df, a, b, slices=slices)))  # one row each
     return Answer(out, "correlation", (a, b), ("pearson", "spearman"))
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tablewise.operators import checks as X
 from tablewise.operators import recipes as R
 from tablewise.operators import table_ops as G
 from tablewise.operators import workflows as W
+from tablewise.operators.ordered import carried_ranks
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -188,13 +190,28 @@ def test_constant_sides_have_no_correlation(spark):
     assert row["pearson"] is None and row["spearman"] is None
 
 
-@pytest.mark.parametrize("bound", [None, 3])
-def test_spearman_matches_pandas(spark, bound):
+@pytest.mark.parametrize("slices", [None, 1, 3])
+def test_spearman_matches_pandas(spark, slices):
     pdf = pd.DataFrame({"x": [1, 2, 2, 3, 5, 8, 8, 8], "y": [4, 1, 1, 7, 7, 9, 2, 9]}).astype(float)
-    got = R.spearman(spark.createDataFrame(pdf), "x", "y", bound=bound).first()["spearman"]
+    got = R.spearman(spark.createDataFrame(pdf), "x", "y", slices=slices).first()["spearman"]
     assert got == pytest.approx(pdf["x"].rank().corr(pdf["y"].rank()))
 
 
+@pytest.mark.parametrize("hot", [0.0, 0.4, 1.0])
+def test_carried_ranks_of_values_cut_by_slices(spark, hot):
+    """A value that fills many slices has one rank, whatever stands before and after it."""
+    rng = np.random.default_rng(int(hot * 10))
+    x = np.where(rng.random(400) < hot, 5.0, rng.integers(0, 60, 400).astype(float))
+    pdf = pd.DataFrame({"x": x, "row": np.arange(400), "w": rng.integers(1, 4, 400)})
+    got = carried_ranks(spark.createDataFrame(pdf), "x", "row", "w", "rank", slices=7).toPandas().sort_values("row")
+    want = pdf.loc[pdf.index.repeat(pdf["w"])].assign(rank=lambda d: d["x"].rank()).groupby("row")["rank"].first()
+    assert got["rank"].tolist() == want.tolist()
+
+
+def test_spearman_of_nothing(spark):
+    assert R.spearman(spark.createDataFrame([], "x double, y double"), "x", "y").first()["spearman"] is None
+
+
 def test_mode_breaks_ties_downwards(spark):
     df = spark.createDataFrame([("a", "z"), ("a", "b"), ("b", None), ("b", None), ("b", "q")], "g string, v string")
     assert rows(R.mode_per_category(df, "g", "v").df, "g", "v", "n") == [("a", "b", 1), ("b", None, 2)]
