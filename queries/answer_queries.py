@@ -291,7 +291,11 @@ def v4(part):
     return V.prepare(part, V.ChartSpec("line", "p_size", "p_retailprice", "p_brand"))
 
 
-@query("v5_default_spec", "orders")
+@query("v5_default_spec", "orders", sql="""
+WITH facts AS (SELECT count(DISTINCT date_trunc('month', o_orderdate)) AS months, count(DISTINCT o_orderstatus) AS classes FROM orders)
+SELECT 'monthly' AS title, 'line' AS form, 'month' AS x, 'total_measure' AS y, NULL::VARCHAR AS series FROM facts WHERE months > 1
+UNION ALL SELECT 'status', CASE WHEN classes <= 8 THEN 'column' ELSE 'bar' END, 'o_orderstatus', 'total_measure', NULL FROM facts
+UNION ALL SELECT 'pairs', 'bar', 'o_orderpriority', 'avg_measure', 'o_orderstatus' FROM facts""")
 def v5(orders):
     monthly = R.over_time(orders, "o_orderdate", "o_totalprice").df
     by_status = R.total_by_category(orders, "o_orderstatus", "o_totalprice").df

@@ -413,10 +413,40 @@ def k_spaced(events):
     return card.evenly_spaced(df, "event_id", df.count(), 5)
 
 
-@query("k_card", "orders")
+_CARD_SCHEMA = (
+    "name string, rows long, columns_count long, estimated boolean, candidate_keys array<string>, examples array<map<string, string>>, columns array<"
+    "struct<name: string, type: string, unique: long, stats: struct<min: double, median: double, max: double>, top: array<struct<value: string, n: long>>,"
+    " range: array<string>>>"
+)
+_CARD_COLUMNS = {  # type, least, middle, greatest, the three most frequent values
+    **{c: ("numeric", f"min({c})", f"median({c})", f"max({c})", "NULL") for c in ("o_orderkey", "o_custkey", "o_totalprice")},
+    **{c: ("categorical", "NULL", "NULL", "NULL",
+           f"(SELECT string_agg({c} || ' ' || n, ', ' ORDER BY n DESC, {c}) FROM (SELECT {c}, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3))")
+       for c in ("o_orderstatus", "o_orderpriority")},
+    "o_orderdate": ("temporal", "NULL", "NULL", "NULL", "strftime(min(o_orderdate), '%Y-%m-%d') || ', ' || strftime(max(o_orderdate), '%Y-%m-%d')"),
+}
+
+
+@query("k_card", "orders", sql=" UNION ALL ".join(f"""
+SELECT 'orders' AS "table", count(*) AS rows, '{c}' AS "column", '{kind}' AS type, count(DISTINCT {c}) AS "unique", round({low}, 2)::DOUBLE AS least,
+  round({middle}, 2)::DOUBLE AS middle, round({high}, 2)::DOUBLE AS greatest, {shown} AS shown, '{c}' = 'o_orderkey' AS candidate_key,
+  true AS fits
+FROM orders""" for c, (kind, low, middle, high, shown) in _CARD_COLUMNS.items()))
 def k_card(orders):
+    """The card, read back: one row for each of its columns."""
     result = profile.profile(orders, name="orders")
-    return card.build_card(result, orders, key="o_orderkey").to_df(orders.sparkSession)
+    made = card.build_card(result, orders, key="o_orderkey").to_df(orders.sparkSession)
+    fits = (F.col("size_bytes") == F.octet_length("card")) & (F.col("size_bytes") <= 5_120) & (F.col("rows") == F.col("c.rows"))
+    read = made.withColumn("c", F.from_json("card", _CARD_SCHEMA)).select(
+        F.col("c.name").alias("table"), "rows", "c.candidate_keys", fits.alias("fits"), F.inline("c.columns")
+    )
+    top = F.array_join(F.transform("top", lambda t: F.concat_ws(" ", t["value"], t["n"])), ", ")
+    ends = F.array_join(F.transform("range", lambda t: F.substring(t, 1, 10)), ", ")
+    figures = {"least": "min", "middle": "median", "greatest": "max"}
+    return read.select(
+        "table", "rows", F.col("name").alias("column"), "type", "unique", *[F.round(f"stats.{c}", 2).alias(k) for k, c in figures.items()],
+        F.coalesce(top, ends).alias("shown"), F.array_contains("candidate_keys", F.col("name")).alias("candidate_key"), "fits",
+    )
 
 
 def proposals(pages):

@@ -116,24 +116,46 @@ def s_unkey(supplier):
 
 
 def export_folder(part, orders, events):
-    """The same kinds of rows written in several formats and dialects."""
+    """The same kinds of rows written in several formats and dialects, one with decimal commas and one of a single column."""
     root = sinks.scratch(part.sparkSession, "folder")
     sinks.write_delimited(part, f"{root}/semicolon", sep=";")
     sinks.write_delimited(part, f"{root}/tabs", sep="\t")
     sinks.write_delimited(part, f"{root}/packed", compression="gzip")
+    price = F.replace(F.format_string("%.2f", "p_retailprice"), F.lit("."), F.lit(","))
+    sinks.write_delimited(part.select("p_partkey", price.alias("p_retailprice")), f"{root}/commas", sep=";")
+    sinks.write_delimited(part.select("p_brand"), f"{root}/single")
     sinks.write_ndjson(orders, f"{root}/records")
     sinks.write_parquet(orders, f"{root}/columns", codec="snappy")
     sinks.write_arrow(events.select("event_id", "value"), f"{root}/arrow")
     return root
 
 
-@query("f_catalogue", "part", "orders", "events")
+_TEXT_FACTS = ("delimiter", "quotechar", "has_header", "decimal", "thousands", "line_terminator")
+
+
+@query("f_catalogue", "part", "orders", "events", sql="""
+WITH files(folder, format, compression, encoding, confidence, warnings, delimiter, "decimal", bytes) AS (
+  SELECT 'semicolon', 'csv', 'none', 'ascii', 0.95, '', ';', '.', (SELECT sum(1 + strlen(concat_ws(';', p_partkey, p_name, p_brand, p_type, p_size, p_retailprice))) FROM part) UNION ALL
+  SELECT 'tabs', 'tsv', 'none', 'ascii', 0.95, '', chr(9), '.', (SELECT sum(1 + strlen(concat_ws(';', p_partkey, p_name, p_brand, p_type, p_size, p_retailprice))) FROM part) UNION ALL
+  SELECT 'commas', 'csv', 'none', 'ascii', 0.95, '', ';', ',', (SELECT sum(2 + length(p_partkey::VARCHAR) + length(printf('%.2f', p_retailprice))) FROM part) UNION ALL
+  SELECT 'single', 'csv', 'none', 'ascii', 0.55, 'no delimiter found; one column assumed', ',', '.', (SELECT sum(1 + length(p_brand)) FROM part) UNION ALL
+  SELECT 'packed', 'csv', 'gzip', 'ascii', 0.95, '', ',', '.', NULL UNION ALL
+  SELECT 'records', 'jsonl', 'none', 'ascii', 0.92, 'named json but the content is jsonl', NULL, NULL, NULL UNION ALL
+  SELECT 'columns', 'parquet', 'none', 'utf-8', 0.99, '', NULL, NULL, NULL UNION ALL
+  SELECT 'arrow', 'arrow', 'none', 'utf-8', 0.99, '', NULL, NULL, NULL)
+SELECT folder, format, compression, encoding, confidence::DOUBLE AS confidence, confidence >= 0.8 AS is_confident, warnings, delimiter,
+       CASE WHEN delimiter IS NOT NULL THEN '"' END AS quotechar, CASE WHEN delimiter IS NOT NULL THEN true END AS has_header, "decimal",
+       NULL::VARCHAR AS thousands, CASE WHEN delimiter IS NOT NULL THEN chr(10) END AS line_terminator, bytes::BIGINT AS bytes FROM files""")
 def f_catalogue(part, orders, events):
+    """One row for each folder: what its files are, and the bytes of those that are plain text, but for their headers."""
     root = export_folder(part, orders, events)
-    return C.catalogue(part.sparkSession, f"{root}/*/part-*").select(
-        F.regexp_extract("path", r"/([a-z]+)/part-", 1).alias("folder"), "length", "format", "compression",
-        "encoding", "dialect", "confidence", "is_confident", "warnings",
+    headers = {"semicolon": ";".join(part.columns), "tabs": "\t".join(part.columns), "commas": "p_partkey;p_retailprice", "single": "p_brand"}
+    header = F.create_map(*[F.lit(x) for k, v in headers.items() for x in (k, len(v) + 1)])[F.col("folder")]
+    found = C.catalogue(part.sparkSession, f"{root}/*/part-*").select(
+        F.regexp_extract("path", r"/([a-z]+)/part-", 1).alias("folder"), "format", "compression", "encoding", "confidence",
+        "is_confident", F.array_join("warnings", "; ").alias("warnings"), *[F.col(f"dialect.{c}").alias(c) for c in _TEXT_FACTS], "length",
     )
+    return found.groupBy(*found.drop("length").columns).agg(F.sum(F.col("length") - header).alias("bytes"))
 
 
 @query("f_delimiter", "documents", sql=r"""
