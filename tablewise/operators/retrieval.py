@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,7 @@ from pyspark.sql.window import Window
 from tablewise.functions.text import let, strip
 from tablewise.functions.tokens import NOISE, SHAPE_NOISE, stem, tokens, words
 from tablewise.operators.shapes import SHAPES
-from tablewise.session import materialise
+from tablewise.session import materialise, pin
 
 # BM25 parameters, weights and budgets.
 K1 = 1.5
@@ -27,6 +29,34 @@ FENCE = "```"
 
 #: Query terms that may be broadcast; more are joined by a shuffle.
 BROADCAST_TERMS = 1_000_000
+#: Groups that one task of a search may hold at a time, some 200 bytes each, and how many are worth a task.
+TASK_GROUPS = 1_000_000
+LEAST_GROUPS = 50_000
+
+
+def _tasks(df: DataFrame, groups: int) -> int:
+    """Tasks for so many groups: none holds too many, and all cores work if there is enough for each."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-groups // TASK_GROUPS), min(cores, groups // LEAST_GROUPS))
+
+
+def runs(values: Column, cell: Callable[[Column, Column], Column]) -> Column:
+    """``cell(value, n)`` for each different value of an array and the times that it is there."""
+
+    def starts(ordered: Column) -> Column:
+        return F.array_compact(
+            F.transform(ordered, lambda v, i: F.when((i == 0) | ~v.eqNullSafe(F.get(ordered, i - 1)), i))
+        )
+
+    def counted(ordered: Column) -> Column:
+        return let(
+            starts(ordered),
+            lambda at: F.transform(
+                at, lambda a, i: cell(F.get(ordered, a), F.coalesce(F.get(at, i + 1), F.size(ordered)) - a)
+            ),
+        )
+
+    return let(F.sort_array(values), counted)
 
 
 def token_counts(df: DataFrame, text: str) -> DataFrame:
@@ -63,7 +93,8 @@ def bm25(
     ``terms`` is the array of words of a corpus row, to be stemmed unless ``stemmed``; ``queries``
     comes from :func:`query_terms`. Only words that some query asks for leave the corpus scan, and
     they are counted by document before anything is joined, so a word that is in a third of the
-    documents costs one row each.
+    documents costs one row each. Tasks are as many as what they hold asks for: repeats are counted
+    in the row of their document, and the groups of a shuffle are bounded before it is made.
     """
     asked = materialise(queries)
     small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
@@ -73,19 +104,30 @@ def bm25(
         return F.broadcast(df) if small else df
 
     def listed(found: Column) -> Column:
-        return F.transform(
-            found, lambda w: F.struct((w if stemmed else stem(w)).alias("term"), F.size(found).alias("length"))
-        )
+        def cell(word: Column, n: Column) -> Column:
+            return F.struct((word if stemmed else stem(word)).alias("term"), F.size(found).alias("length"), n.alias("n"))
 
-    whole = corpus.agg(F.count("*").alias("docs"), F.avg(F.size(terms)).alias("average"))
+        return runs(found, cell)
+
+    whole = pin(
+        corpus.agg(
+            F.count("*").alias("docs"), F.avg(F.size(terms)).alias("average"), F.sum(F.size(terms)).alias("words")
+        )
+    )
+    size, kinds = whole.first(), vocabulary.count()
     split = corpus.select(F.col(doc).alias("doc"), F.inline(let(terms, listed)))
+    key = ["doc", "length", "term"]
+    groups = min(size["words"] or 0, size["docs"] * kinds)
     found = materialise(  # read twice: document frequencies and scores
         split.join(hint(vocabulary), "term", "left_semi")
-        .groupBy("doc", "length", "term")
-        .agg(F.count("*").alias("tf"))
+        .repartition(_tasks(corpus, groups), *key)
+        .groupBy(key)
+        .agg(F.sum("n").alias("tf"))
     )
-    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
+    frequency = materialise(found.groupBy("term").agg(F.count("*").alias("df")))
     weights = asked.join(frequency, "term")
+    matches = weights.agg(F.sum("df").alias("all"), F.count_distinct("query").alias("queries")).first()
+    tasks = _tasks(corpus, min(matches["all"] or 0, size["docs"] * matches["queries"]))
     rare = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = weights.join(F.broadcast(whole)).select(  # one row
         "query", "term", "average", (F.col("weight") * rare).alias("idf_weight")
@@ -93,9 +135,12 @@ def bm25(
     norm = K1 * (1 - B + B * F.col("length") / F.col("average"))
     part = F.col("idf_weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     # With the matches of a document in one place its scores add up there, and the window below keeps
-    # the best few of each task before anything moves: candidate pairs are never shuffled.
-    placed = found.repartition("doc") if small else found
-    scores = placed.join(hint(weights), "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
+    # the best few of each task before anything moves: candidate pairs are never shuffled, unless the
+    # questions are too many to broadcast.
+    placed = found.repartition(tasks, "doc") if small else found
+    scored = placed.join(hint(weights), "term")
+    scored = scored if small else scored.repartition(tasks, "query", "doc")
+    scores = scored.groupBy("query", "doc").agg(F.sum(part).alias("score"))
     # Sums differ in their last digits with the order of addition; ties must not depend on that.
     order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "doc")
     ranked = scores.where("score > 0").withColumn("rank", F.row_number().over(order).cast("long"))
